@@ -66,6 +66,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _member_of(terms: list[str]):
+    """One-argument predicate for ``F.filter`` (a second parameter would be
+    bound to the element index)."""
+    def pred(t: Column) -> Column:
+        return t.isin(terms)
+    return pred
+
+
 @dataclass
 class LexiconScorer:
     """Weighted bag-of-words logit per label, then sigmoid (M5)."""
@@ -91,8 +99,7 @@ class LexiconScorer:
     def logit(self, tokens: Column, label: str) -> Column:
         z = F.lit(float(self.bias))
         for w, terms in self.tiers(label):
-            hits = F.size(F.filter(tokens, lambda t, terms=terms: t.isin(terms)))
-            z = z + hits.cast("double") * F.lit(w)
+            z = z + F.size(F.filter(tokens, _member_of(terms))).cast("double") * F.lit(w)
         return z
 
     def logits(self, cleaned) -> Column:

@@ -350,3 +350,279 @@ def q_severity_topk(spark, sf_dir):
     a = _f8_analysis(spark, sf_dir).select("vec_id", "severity")
     return reports.top_k(a, 10, "severity", "vec_id").select(
         "vec_id", F.round("severity", 6).alias("severity"))
+
+
+# ---------------------------------------------------------------------------
+# Text operators (T1-T20, P8) on documents / conversations
+# ---------------------------------------------------------------------------
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return tables.table(spark, sf_dir, "documents")
+
+
+@register("contraction_expand", f"""
+SELECT doc_id, {O.expand_sql('coalesce(text, ' + chr(39) * 2 + ')')} AS expanded FROM documents""")
+def q_contraction_expand(spark, sf_dir):
+    """T1 + T5 over whole texts."""
+    return _docs(spark, sf_dir).select(
+        "doc_id", X.expand_contractions(X.null_to_empty("text")).alias("expanded"))
+
+
+@register("clean_text_rows", f"""
+SELECT doc_id, {O.clean_token_sql('text')} AS cleaned FROM documents""")
+def q_clean_text_rows(spark, sf_dir):
+    """T1-T9, T13, T15-T18 (token mode)."""
+    return _docs(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+
+
+@register("regex_tokens", f"""
+SELECT doc_id, {O.clean_regex_sql('text')} AS cleaned FROM documents""")
+def q_regex_tokens(spark, sf_dir):
+    """T14-T17 (regex mode)."""
+    return _docs(spark, sf_dir).select("doc_id", X.clean_text("text", "regex").alias("cleaned"))
+
+
+@register("conversation_clean", f"""
+SELECT conv_id, turn, role, {O.clean_token_sql('text')} AS cleaned,
+       {O.word_count_sql('text')} AS total_words FROM conversations""")
+def q_conversation_clean(spark, sf_dir):
+    """S8 on a second text table: cleaned text and word count per turn."""
+    c = tables.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", X.clean_text("text").alias("cleaned"),
+                    X.word_count("text").alias("total_words"))
+
+
+@register("word_char_counts", f"""
+SELECT doc_id, {O.word_count_sql('text')} AS total_words,
+       CAST(length(coalesce(text, '')) AS INTEGER) AS total_chars,
+       length(coalesce(text, '')) = n_chars AS chars_match FROM documents""")
+def q_word_char_counts(spark, sf_dir):
+    """T19 + T20."""
+    d = _docs(spark, sf_dir)
+    chars = X.char_count("text")
+    return d.select("doc_id", X.word_count("text").alias("total_words"), chars.alias("total_chars"),
+                    (chars == F.col("n_chars")).alias("chars_match"))
+
+
+
+
+@register("nonblank_texts", f"""
+SELECT conv_id, turn FROM conversations
+WHERE regexp_matches(coalesce(text, ''), '[^{X.WS_CHARS}]')""")
+def q_nonblank_texts(spark, sf_dir):
+    """Rows whose text is not blank."""
+    c = tables.table(spark, sf_dir, "conversations")
+    return c.filter(~X.is_blank("text")).select("conv_id", "turn")
+
+
+# ---------------------------------------------------------------------------
+# Scoring (M1, M5, M8, M10) and the composite jobs
+# ---------------------------------------------------------------------------
+
+LABELS = ["sexual", "violence", "substance", "language"]
+
+
+def _docs_scored_sql() -> str:
+    ps = O.probs_sql("cleaned")
+    pcols = ",\n         ".join(
+        f"CASE WHEN cleaned = '' THEN 0.0 ELSE {p} END AS p_{lab}" for p, lab in zip(ps, LABELS))
+    dc = f"""
+dc AS (
+  SELECT doc_id, lang, source, {O.clean_token_sql('text')} AS cleaned,
+         {O.word_count_sql('text')} AS total_words
+  FROM documents)"""
+    dp = f"""
+dp AS (
+  SELECT *, {pcols}
+  FROM dc)"""
+    dcat = f"""
+dcat AS (
+  SELECT *, {O.rescale_sql('p_language')} AS explicit, {O.rescale_sql('p_violence')} AS violence,
+         {O.rescale_sql('p_sexual')} AS sexual_content, {O.rescale_sql('p_substance')} AS substance_use
+  FROM dp)"""
+    return O.with_(dc, dp, dcat, _classify_cte("dcat", "p_sexual", "p_violence", "p_substance", "p_language", "dr"))
+
+
+def _classify_cte(src, p0, p1, p2, p3, name) -> str:
+    sv, ss, sl, sd = ("violence / 100.0", "sexual_content / 100.0", "explicit / 100.0", "substance_use / 100.0")
+    cv, cs, cl, cd = (S.clip01(x) for x in (sv, ss, sl, sd))
+    r = S.rating(cv, cs, cl, cd)
+    descs = S.descriptors(cv, cs, cl, cd)
+    high = "(explicit > 30 OR violence > 35 OR sexual_content > 30 OR substance_use > 30)"
+    mid = "(explicit > 10 OR violence > 15 OR sexual_content > 10 OR substance_use > 10)"
+    return f"""
+{name} AS (
+  SELECT *, least(100.0, explicit * 0.25 + violence * 0.25 + sexual_content * 0.25 + substance_use * 0.25) AS severity,
+         100.0 * ({p0} + {p1} + {p2} + {p3}) / 4.0 AS csi_probability,
+         {r} AS mcr_rating,
+         concat_ws('; ', {', '.join(descs)}) AS mcr_descriptors,
+         NOT {mid} AS kid_safe,
+         CASE WHEN {high} THEN 'Explicit' WHEN {mid} THEN 'Moderate' ELSE 'Clean' END AS safety_level,
+         CASE WHEN {high} THEN '#E81123' WHEN {mid} THEN '#FF8C00' ELSE '#1DB954' END AS rating_color
+  FROM {src})"""
+
+
+def _lexicon_sql() -> str:
+    ps = O.probs_sql("cleaned")
+    cols = ", ".join(f"round({p}, 9) AS p_{lab}" for p, lab in zip(ps, LABELS))
+    return f"""
+WITH dc AS (SELECT doc_id, {O.clean_token_sql('text')} AS cleaned FROM documents)
+SELECT doc_id, {cols} FROM dc"""
+
+
+@register("lexicon_scores", _lexicon_sql())
+def q_lexicon_scores(spark, sf_dir):
+    """M10 + M5: lexicon logits -> sigmoid (inline, map-only)."""
+    d = _docs(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+    p = d.select("doc_id", LexiconScorer()(F.col("cleaned")).alias("p"))
+    return p.select("doc_id", *[F.round(F.col("p")[i], 9).alias(f"p_{lab}") for i, lab in enumerate(LABELS)])
+
+
+@register("lexicon_scores_table", _lexicon_sql())
+def q_lexicon_scores_table(spark, sf_dir):
+    """M10 through the general path: explode, join a lexicon table,
+    partial-aggregate, pivot (for lexicons too large to inline)."""
+    from ratewise.operators.scoring import lexicon_scores_join
+    d = _docs(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+    lex = LexiconScorer().table(spark)
+    p = lexicon_scores_join(d, "doc_id", "cleaned", lex)
+    return p.select("doc_id", *[F.round(F.col("probs")[i], 9).alias(f"p_{lab}") for i, lab in enumerate(LABELS)])
+
+
+def _scored_select_sql() -> str:
+    return _docs_scored_sql() + """
+SELECT doc_id, round(explicit, 6) AS explicit, round(violence, 6) AS violence,
+       round(sexual_content, 6) AS sexual_content, round(substance_use, 6) AS substance_use,
+       total_words, round(severity, 6) AS severity, round(csi_probability, 6) AS csi_probability,
+       mcr_rating, mcr_descriptors, kid_safe, safety_level, rating_color,
+       CASE WHEN cleaned = '' THEN NULL ELSE 'original_default' END AS scaling_method
+FROM dr"""
+
+
+def _scored_output(df: DataFrame) -> DataFrame:
+    return df.select(
+        "doc_id", *[F.round(c, 6).alias(c) for c in ("explicit", "violence", "sexual_content", "substance_use")],
+        "total_words", F.round("severity", 6).alias("severity"),
+        F.round("csi_probability", 6).alias("csi_probability"), "mcr_rating",
+        F.array_join("mcr_descriptors", "; ").alias("mcr_descriptors"),
+        "kid_safe", "safety_level", "rating_color", "scaling_method")
+
+
+@register("score_and_rate", _scored_select_sql())
+def q_score_and_rate(spark, sf_dir):
+    """Text -> clean -> lexicon probabilities -> severity, rating,
+    safety (one map-only stage)."""
+    return _scored_output(jobs.score_and_rate(_docs(spark, sf_dir), "text"))
+
+
+@register("dedup_score_and_rate", _scored_select_sql())
+def q_dedup_score_and_rate(spark, sf_dir):
+    """Same result, each distinct cleaned text scored once."""
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    return _scored_output(jobs.dedup_score_and_rate(d, "doc_id", "text"))
+
+
+@register("severity_topk_by_group", _docs_scored_sql() + """
+SELECT lang, doc_id, round(severity, 6) AS severity, rank FROM (
+  SELECT lang, doc_id, severity,
+         row_number() OVER (PARTITION BY lang ORDER BY severity DESC, doc_id) AS rank FROM dr)
+WHERE rank <= 3""")
+def q_severity_topk_by_group(spark, sf_dir):
+    """K3 per group: three most severe documents per language."""
+    s = jobs.score_and_rate(_docs(spark, sf_dir), "text").select("lang", "doc_id", "severity")
+    top = reports.top_k_by_group(s, 3, "lang", "severity", "doc_id")
+    return top.select("lang", "doc_id", F.round("severity", 6).alias("severity"),
+                      F.col("rank").cast("int").alias("rank"))
+
+
+@register("compliance_rollup", _docs_scored_sql() + """,
+agg AS (
+  SELECT lang, mcr_rating, count(*) AS n, round(avg(severity), 6) AS avg_severity,
+         CAST(GROUPING(lang, mcr_rating) AS INTEGER) AS level
+  FROM dr GROUP BY ROLLUP (lang, mcr_rating))
+SELECT lang, mcr_rating, n, avg_severity, level,
+       round(CASE WHEN level = 0 THEN CAST(n AS DOUBLE) * 100.0 /
+                       CAST(sum(CASE WHEN level = 0 THEN n END) OVER (PARTITION BY lang) AS DOUBLE)
+                  WHEN level = 1 THEN CAST(n AS DOUBLE) * 100.0 /
+                       CAST((SELECT n FROM agg WHERE level = 3) AS DOUBLE)
+                  ELSE 100.0 END, 6) AS share_pct
+FROM agg""")
+def q_compliance_rollup(spark, sf_dir):
+    """Counts, mean severity and shares by language x rating with
+    subtotals (ROLLUP)."""
+    s = jobs.score_and_rate(_docs(spark, sf_dir), "text")
+    out = reports.compliance_rollup(s, "lang", "mcr_rating", "severity")
+    return out.withColumn("level", F.col("level").cast("int"))
+
+
+@register("label_check", _docs_scored_sql() + """
+SELECT count(*) AS n,
+       count(*) FILTER (WHERE p_language > 0.5 AND toxic = 1) AS tp,
+       count(*) FILTER (WHERE p_language > 0.5 AND toxic <> 1) AS fp,
+       count(*) FILTER (WHERE NOT p_language > 0.5 AND toxic = 1) AS fn,
+       count(*) FILTER (WHERE NOT p_language > 0.5 AND toxic <> 1) AS tn
+FROM dr JOIN labels USING (doc_id)""")
+def q_label_check(spark, sf_dir):
+    """Language probability against the toxic label at 0.5."""
+    s = jobs.score_and_rate(_docs(spark, sf_dir), "text")
+    s = s.select("doc_id", V.prob("raw_probabilities", 4).alias("p_language"))
+    return reports.label_check(s, tables.table(spark, sf_dir, "labels"), "p_language", "toxic", 0.5)
+
+
+# ---------------------------------------------------------------------------
+# Event time and streams (J3, J4) on events
+# ---------------------------------------------------------------------------
+
+_EVENTS_RATED = f"""
+WITH ev AS (
+  SELECT event_id, ts, event_type,
+         x1*x1*x1 AS violence_score, x2*x2*x2 AS sexual_score,
+         x3*x3*x3 AS language_score, x4*x4*x4 AS substance_score
+  FROM (SELECT event_id, ts, event_type,
+               ((event_id*7919)%1009)/CAST(1008 AS DOUBLE) AS x1,
+               ((event_id*6133)%1013)/CAST(1012 AS DOUBLE) AS x2,
+               ((event_id*3571)%1019)/CAST(1018 AS DOUBLE) AS x3,
+               ((event_id*2749)%1021)/CAST(1020 AS DOUBLE) AS x4
+        FROM events)),{O.rated_cte('ev')}"""
+
+
+@register("windowed_rating_counts", _EVENTS_RATED + """
+SELECT CAST(date_trunc('day', ts) AS DATE) AS window_start,
+       CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS DATE) AS window_end,
+       MCR_rating, count(*) AS n
+FROM rated GROUP BY ALL""")
+def q_windowed_rating_counts(spark, sf_dir):
+    """J4 batch twin: rating counts per one-day event-time window."""
+    from ratewise.streaming import rate_stream
+    rated = rate_stream.rating_stream(tables.table(spark, sf_dir, "events"))
+    return (rated.groupBy(F.window("ts", "1 day").alias("w"), "MCR_rating")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"),
+                    "MCR_rating", "n"))
+
+
+@register("stream_rating", _EVENTS_RATED + """
+SELECT event_id, event_type, MCR_rating, MCR_descriptors, MCR_max_score FROM rated""")
+def q_stream_rating(spark, sf_dir):
+    """Events rated by a Structured Streaming query (file source ->
+    stateless rating -> Parquet sink); equals the batch rating."""
+    from ratewise.streaming import rate_stream
+    stream = rate_stream.rating_stream(rate_stream.event_stream(spark, sf_dir))
+    out = rate_stream.run_to_parquet(stream, "stream_rating")
+    return spark.read.parquet(out).select("event_id", "event_type", "MCR_rating",
+                                          "MCR_descriptors", "MCR_max_score")
+
+
+@register("stream_windowed_counts", _EVENTS_RATED + """
+SELECT CAST(w AS DATE) AS window_start, CAST(w + INTERVAL 1 DAY AS DATE) AS window_end, MCR_rating, count(*) AS n
+FROM (SELECT date_trunc('day', ts) AS w, MCR_rating FROM rated)
+WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY w, MCR_rating""")
+def q_stream_windowed_counts(spark, sf_dir):
+    """Watermarked windowed counts in append mode; only windows the
+    watermark (max event time - 1 hour) has closed are emitted."""
+    from ratewise.streaming import rate_stream
+    counts = rate_stream.windowed_rating_counts(rate_stream.event_stream(spark, sf_dir))
+    out = rate_stream.run_to_parquet(counts, "stream_windowed_counts", output_mode="append")
+    return spark.read.parquet(out)

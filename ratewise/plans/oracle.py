@@ -118,20 +118,20 @@ def clean_token_sql(text: str) -> str:
     t = f"lower({expand_sql(f'coalesce({text}, {chr(39)}{chr(39)})')})"
     spaced = f"regexp_replace({t}, '{PUNCT}', ' ', 'g')"
     toks = f"string_split_regex({spaced}, '{WS_CLASS}')"
-    cores = f"list_transform({toks}, w -> regexp_extract(w, '{TOKEN}', 1))"
-    kept = f"list_filter({cores}, w -> w <> '')"
+    cores = f"list_transform({toks}, lambda w: regexp_extract(w, '{TOKEN}', 1))"
+    kept = f"list_filter({cores}, lambda w: w <> '')"
     return finish_sql(f"array_to_string({kept}, ' ')")
 
 
 def clean_regex_sql(text: str) -> str:
     t = expand_sql(f"coalesce({text}, '')")
     words = f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+')"
-    ascii_words = f"list_filter({words}, w -> regexp_full_match(w, '[a-zA-Z]+'))"
+    ascii_words = f"list_filter({words}, lambda w: regexp_full_match(w, '[a-zA-Z]+'))"
     return finish_sql(f"lower(array_to_string({ascii_words}, ' '))")
 
 
 def word_count_sql(text: str) -> str:
-    return f"CAST(len(list_filter(string_split_regex(coalesce({text}, ''), '{WS_CLASS}'), w -> w <> '')) AS INTEGER)"
+    return f"CAST(len(list_filter(string_split_regex(coalesce({text}, ''), '{WS_CLASS}'), lambda w: w <> '')) AS INTEGER)"
 
 
 # --- lexicon scorer -------------------------------------------------------------
@@ -143,7 +143,7 @@ def logit_sql(tokens: str, label: str) -> str:
     z = f"CAST({DEFAULT_BIAS} AS DOUBLE)"
     for w, terms in sorted(by_w.items()):
         inlist = ", ".join(S.q(t) for t in terms)
-        z = f"({z} + CAST(len(list_filter({tokens}, t -> t IN ({inlist}))) AS DOUBLE) * {w})"
+        z = f"({z} + CAST(len(list_filter({tokens}, lambda t: t IN ({inlist}))) AS DOUBLE) * {w})"
     return z
 
 

@@ -98,3 +98,21 @@ def text_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
         return c.select((F.col("conv_id") * F.lit(1_000_000) + F.col("turn")).alias("id"),
                         "text", F.col("role").alias("lang"), F.lit("conversations").alias("source"))
     raise ValueError(f"no text table {name!r}")
+
+
+def event_scores(events: DataFrame) -> DataFrame:
+    """Score quadruple per event (same generators as F7 over ``event_id``)
+    with ``ts`` as TIMESTAMP.  A pure projection, so it works on batch and
+    streaming frames alike."""
+    k = F.col("event_id")
+    xs = [_unit(k, a, m) for a, m in SCORE_GENERATORS]
+    return events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        _cube(xs[0]).alias("violence_score"), _cube(xs[1]).alias("sexual_score"),
+        _cube(xs[2]).alias("language_score"), _cube(xs[3]).alias("substance_score"))
+
+
+def stream_path(sf_dir: str, name: str) -> str:
+    """Path of a table usable by the streaming file source (a glob, since
+    the source wants a directory or pattern, not a bare file)."""
+    return os.path.join(sf_dir, f"{name}.parque[t]")
