@@ -20,6 +20,8 @@ import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,9 +176,6 @@ def model_scorer(spec: ModelSpec, max_batch: int = 64) -> Callable[[Column], Col
     model in chunks of ``max_batch`` sorted by length (less padding).  Empty
     texts get zeros without touching the model (M1).  Output is checked to
     have four columns."""
-    import numpy as np
-    import pandas as pd
-
     spec.check()
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -227,3 +226,27 @@ def analysis_columns(text, cleaned, probs, words=None, empty=None) -> dict[str,
     out["confidence_scores"] = p
     out["scaling_method"] = F.when(empty, F.lit(None).cast("string")).otherwise(F.lit(SCALING_METHOD))
     return out
+
+
+def lexicon_model_loader(path: str | None = None, lexicon=None, bias: float = DEFAULT_BIAS):
+    """Stand-in model for the plug-in contract: the lexicon scorer written
+    as a per-batch Python callable ``list[str] -> (n, 4) probabilities``.
+    Used to check that the plug-in path and the native path agree."""
+    import math
+
+    lex = lexicon or DEFAULT_LEXICON
+    weights = {lab: dict(terms) for lab, terms in lex.items()}
+
+    def predict(texts: list[str]):
+        out = []
+        for t in texts:
+            toks = t.split(" ")
+            row = []
+            for lab in LABEL_ORDER:
+                w = weights.get(lab, {})
+                z = bias + sum(w.get(tok, 0.0) for tok in toks)
+                row.append(1.0 / (1.0 + math.exp(-z)))
+            out.append(row)
+        return out
+
+    return predict
