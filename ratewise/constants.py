@@ -139,12 +139,12 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 # Our own patterns (Java regex, also valid for RE2 unless noted)
 # ---------------------------------------------------------------------------
 
-# The 29 characters Python's str.isspace() accepts.
-WS_CLASS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-# Same set, to be used inside another character class.
-WS_CHARS = (r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# The 29 characters Python's str.isspace() accepts: ASCII whitespace,
+# \x1c-\x1f, \x85 and the Unicode separators (Zs, Zl, Zp).  Written with
+# \p{Z} rather than listing code points above U+00FF, which makes Java's
+# negated classes many times slower; the same text is valid RE2.
+WS_CHARS = r"\t\n\x0b\x0c\r\x1c-\x1f\x{85}\p{Z}"
+WS_CLASS = f"[{WS_CHARS}]"
 
 # A text the numeric coercion accepts (others become NULL).
 NUM_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"

@@ -71,6 +71,31 @@ def mcr_rating(v, s, l, d) -> Column:
         ladder_rating(max_score(v, s, l, d)))
 
 
+def rating_of_clipped(v: Column, s: Column, l: Column, d: Column) -> Column:
+    """R3-R6 on scores already clipped to [0, 1] (no re-clipping)."""
+    cs = [v, s, l, d]
+    high = reduce(lambda a, b: a + b, [(x > MULTIPLE_HIGH).cast("int") for x in cs])
+    m = F.greatest(*cs)
+    return F.when((m > SINGLE_EXTREME) | (high >= MULTIPLE_HIGH_COUNT), F.lit("M-AO")).otherwise(
+        ladder_rating(m))
+
+
+def tier_descriptors(v: Column, s: Column, l: Column, d: Column) -> list[Column]:
+    """R7-R10 on clipped scores, in list order (language, violence, sexual,
+    substance); each NULL when no tier applies."""
+    return [_tier(l, LANGUAGE_TIERS), _tier(v, VIOLENCE_TIERS),
+            _tier(s, SEXUAL_TIERS), _tier(d, SUBSTANCE_TIERS)]
+
+
+def concern_of_clipped(v: Column, s: Column, l: Column, d: Column, m: Column) -> Column:
+    """R15 given clipped scores and their max."""
+    cs = dict(zip(["violence", "sexual", "language", "substance"], (v, s, l, d)))
+    expr = F
+    for name in CONCERN_ORDER:
+        expr = expr.when(cs[name] == m, F.lit(name))
+    return expr
+
+
 def rating_level(rating: Column) -> Column:
     """Ordinal 0..4 of a rating code (M-E=0 ... M-AO=4), NULL if unknown."""
     expr = F

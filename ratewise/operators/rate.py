@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.constants import DEFAULT_SCORE_COLUMNS, EXPORT_COLUMNS
-from ratewise.functions.rating import rating_columns
-from ratewise.functions.scores import clean_score
+from ratewise.functions import rating as R
+from ratewise.functions.scores import clean_score, clip01
 from ratewise.operators.index import with_row_index
 
 CATEGORIES = ["violence", "sexual", "language", "substance"]
@@ -53,7 +53,38 @@ def rate_scores(df: DataFrame, violence_col: str | None = None, sexual_col: str
     cols = [names[c] for c in CATEGORIES]
     require_columns(df, cols)
     out = clean_scores(df, cols) if clean else df
-    return out.withColumns(rating_columns(*cols, prefix=prefix))
+    return with_rating(out, *cols, prefix=prefix, clipped=clean)
+
+
+_TMP = ["__v", "__s", "__l", "__d", "__max", "__descs"]
+
+
+def with_rating(df: DataFrame, v: str, s: str, l: str, d: str, prefix: str = "MCR_",
+                clipped: bool = False) -> DataFrame:
+    """R20 as staged projections: clipped scores -> max, rating and
+    descriptor list -> texts.  Each stage refers to the previous one's
+    columns, so no output column re-inlines the whole rule set and every
+    projection stays inside whole-stage codegen."""
+    if clipped:
+        stage0 = df.withColumns({t: F.col(c) for t, c in zip(_TMP[:4], (v, s, l, d))})
+    else:
+        stage0 = df.withColumns({t: clip01(c) for t, c in zip(_TMP[:4], (v, s, l, d))})
+    cs = [F.col(t) for t in _TMP[:4]]
+    stage1 = stage0.withColumns({
+        "__max": F.greatest(*cs),
+        "__descs": F.array_compact(F.array(R.tier_descriptors(*cs))),
+        f"{prefix}rating": R.rating_of_clipped(*cs),
+    })
+    r, ds, m = F.col(f"{prefix}rating"), F.col("__descs"), F.col("__max")
+    stage2 = stage1.withColumns({
+        f"{prefix}descriptors": R.descriptor_text_from(r, ds),
+        f"{prefix}max_score": m,
+        f"{prefix}highest_concern": R.concern_of_clipped(*cs, m),
+        f"{prefix}recommendation": R.recommendation(r),
+    })
+    stage3 = stage2.withColumn(f"{prefix}final_rating",
+                               R.final_rating_from(r, ds, F.col(f"{prefix}descriptors")))
+    return stage3.drop(*_TMP)
 
 
 def export_frame(rated: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -25,8 +25,10 @@ def rating_histogram(rated: DataFrame, rating_col: str = "MCR_rating") -> DataFr
 def descriptor_counts(rated: DataFrame, text_col: str = "MCR_descriptors") -> DataFrame:
     """G3 + U5: frequency of each descriptor text; 'None' rows are skipped,
     'Everyone' and 'Parental Guidance Suggested' count."""
-    d = (rated.select(text_col).filter(F.col(text_col) != NO_DESCRIPTOR)
-         .select(F.explode(F.split(F.col(text_col), DESCRIPTOR_SEPARATOR, -1)).alias("descriptor")))
+    # filter after the explode: a filter on the derived text itself would be
+    # pushed below the rating projections with the whole rule set inlined
+    d = (rated.select(F.explode(F.split(F.col(text_col), DESCRIPTOR_SEPARATOR, -1)).alias("descriptor"))
+         .filter(F.col("descriptor") != NO_DESCRIPTOR))
     return d.groupBy("descriptor").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -112,6 +112,13 @@ class LexiconScorer:
         tokens = F.split(_c(cleaned), " ")
         return F.array(*[V.sigmoid(self.logit(tokens, lab)) for lab in LABEL_ORDER])
 
+    def score_frame(self, df: DataFrame, cleaned: str, out: str) -> DataFrame:
+        """Same as ``__call__`` but split once into its own column, so the
+        interpreted array filters share one token array per row."""
+        tok = df.withColumn("__tokens", F.split(F.col(cleaned), " "))
+        probs = F.array(*[V.sigmoid(self.logit(F.col("__tokens"), lab)) for lab in LABEL_ORDER])
+        return tok.withColumn(out, probs).drop("__tokens")
+
     def table(self, spark) -> DataFrame:
         rows = [(t, lab, float(w)) for lab, terms in self.lexicon.items() for t, w in terms]
         return spark.createDataFrame(rows, "term string, label string, weight double")
@@ -213,6 +220,29 @@ def _zero_probs() -> Column:
     return F.array(*[F.lit(0.0)] * 4)
 
 
+def apply_scorer(df: DataFrame, scorer, cleaned: str, out: str) -> DataFrame:
+    """Add the scorer's probabilities of ``cleaned`` as column ``out``."""
+    if hasattr(scorer, "score_frame"):
+        return scorer.score_frame(df, cleaned, out)
+    return df.withColumn(out, scorer(F.col(cleaned)))
+
+
+def with_analysis(df: DataFrame, probs: str, words: Column, empty: Column) -> DataFrame:
+    """M1 + M8 as staged projections: the (zeroed when empty) probability
+    array first, then the rescaled categories from it."""
+    p = F.when(empty, _zero_probs()).otherwise(F.transform(F.col(probs), lambda x: x.cast("double")))
+    stage = df.withColumns({"__p": p, "__empty": empty, "total_words": words})
+    cats = V.category_percentages("__p")
+    out = stage.withColumns({name: F.when(F.col("__empty"), F.lit(0.0)).otherwise(col)
+                             for name, col in cats.items()})
+    out = out.withColumns({
+        "raw_probabilities": F.col("__p"),
+        "confidence_scores": F.col("__p"),
+        "scaling_method": F.when(F.col("__empty"), F.lit(None).cast("string")).otherwise(F.lit(SCALING_METHOD)),
+    })
+    return out.drop("__p", "__empty")
+
+
 def analysis_columns(text, cleaned, probs, words=None, empty=None) -> dict[str, Column]:
     """M1 + M8: DM5 columns from raw text, cleaned text and probabilities.
     Empty cleaned text gives zeros and no scaling method.  ``words`` /

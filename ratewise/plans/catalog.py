@@ -18,6 +18,7 @@ from ratewise.functions import sql_text as S
 from ratewise.functions import sqlfuncs
 from ratewise.functions import text as X
 from ratewise.operators import quality, rate, reports
+from ratewise.operators.partitioning import spread
 from ratewise.operators.scoring import LexiconScorer
 from ratewise.plans import jobs
 from ratewise.plans import oracle as O
@@ -232,7 +233,7 @@ def _f8_analysis(spark, sf_dir) -> DataFrame:
     f8 = tables.embedding_probabilities(spark, sf_dir)
     cats = V.category_percentages("probs")
     out = f8.withColumns(cats).withColumn("raw_probabilities", F.col("probs"))
-    return out.withColumns(jobs.classification_columns())
+    return jobs.with_classification(out)
 
 
 def _f8_sql_cte() -> str:
@@ -358,7 +359,9 @@ def q_severity_topk(spark, sf_dir):
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return tables.table(spark, sf_dir, "documents")
+    """Documents, spread over all cores when the scan yields fewer splits
+    (text cleaning is CPU-bound; a no-op when the input has many files)."""
+    return spread(tables.table(spark, sf_dir, "documents"), key="doc_id")
 
 
 @register("contraction_expand", f"""

@@ -31,7 +31,8 @@ from ratewise.functions import rating as R
 from ratewise.functions import severity as V
 from ratewise.functions import text as X
 from ratewise.operators import joins, quality, rate
-from ratewise.operators.scoring import LexiconScorer, analysis_columns
+from ratewise.operators.partitioning import spread
+from ratewise.operators.scoring import LexiconScorer, analysis_columns, apply_scorer, with_analysis
 from ratewise.session import materialise
 from ratewise.sources import csv_io
 
@@ -43,7 +44,7 @@ from ratewise.sources import csv_io
 def classification_columns(explicit="explicit", violence="violence",
                            sexual_content="sexual_content", substance_use="substance_use",
                            probs="raw_probabilities") -> dict[str, Column]:
-    """V4-V9 + R19 in rescaled space (DM6 minus the DM5 part)."""
+    """V4-V9 + R19 in rescaled space as single expressions (U1 form)."""
     args = (explicit, violence, sexual_content, substance_use)
     v, s, l, d = V.percent_scores(*args)
     r = R.mcr_rating(v, s, l, d)
@@ -61,17 +62,46 @@ def classification_columns(explicit="explicit", violence="violence",
     }
 
 
+_CTMP = ["__cv", "__cs", "__cl", "__cd"]
+
+
+def with_classification(df: DataFrame, explicit="explicit", violence="violence",
+                        sexual_content="sexual_content", substance_use="substance_use",
+                        probs="raw_probabilities") -> DataFrame:
+    """V4-V9 + R19 (rescaled space) as staged projections, so the rating
+    and safety ladders are computed once per row inside codegen."""
+    args = (explicit, violence, sexual_content, substance_use)
+    from ratewise.functions.scores import clip01
+    stage0 = df.withColumns({t: clip01(c) for t, c in zip(_CTMP, V.percent_scores(*args))})
+    cs = [F.col(t) for t in _CTMP]
+    stage1 = stage0.withColumns({
+        "severity": V.severity(*args),
+        "csi_probability": V.csi_probability(probs),
+        "mcr_rating": R.rating_of_clipped(*cs),
+        "mcr_descriptors": F.array_compact(F.array(R.tier_descriptors(*cs))),
+        "kid_safe": V.kid_safe(*args),
+        "safety_level": V.safety_level(*args),
+    })
+    r = F.col("mcr_rating")
+    stage2 = stage1.withColumns({
+        "mcr_recommendation": R.recommendation(r),
+        "mcr_explanation": R.explanation(r),
+        "rating_color": V.rating_color("safety_level"),
+    })
+    return stage2.drop(*_CTMP)
+
+
 def analyse_text(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
     """M8: add ``cleaned``, ``probs`` and the DM5 columns."""
     scorer = scorer or LexiconScorer()
     with_clean = df.withColumn("cleaned", X.clean_text(text_col, mode))
-    scored = with_clean.withColumn("probs", scorer(F.col("cleaned")))
-    return scored.withColumns(analysis_columns(text_col, "cleaned", "probs"))
+    scored = apply_scorer(with_clean, scorer, "cleaned", "probs")
+    return with_analysis(scored, "probs", words=X.word_count(text_col), empty=F.col("cleaned") == "")
 
 
 def score_and_rate(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
     """DM6 per row (map-only with a native scorer)."""
-    return analyse_text(df, text_col, scorer, mode).withColumns(classification_columns())
+    return with_classification(analyse_text(df, text_col, scorer, mode))
 
 
 def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", scorer=None,
@@ -89,13 +119,14 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
     """
     scorer = scorer or LexiconScorer()
     keep = keep or []
+    df = spread(df, key=id_col)  # CPU-bound cleaning on all cores (no-op at scale)
     keyed = df.select(id_col, *keep, X.word_count(text_col).alias("total_words"),
                       X.clean_text(text_col, mode).alias("cleaned"))
     keyed = keyed.withColumn("key", F.sha2(F.col("cleaned"), 256))
     distinct = (keyed.groupBy("key")
                 .agg(F.first("cleaned").alias("cleaned"), F.count(F.lit(1)).alias("n_rows")))
-    scored = distinct.select("key", "n_rows", (F.col("cleaned") == "").alias("cleaned_empty"),
-                             scorer(F.col("cleaned")).alias("probs"))
+    scored = apply_scorer(distinct, scorer, "cleaned", "probs").select(
+        "key", "n_rows", (F.col("cleaned") == "").alias("cleaned_empty"), "probs")
     if checkpoint:
         scored = materialise(scored)
     total = scored.agg(F.sum("n_rows")).first()[0] or 0
@@ -103,9 +134,8 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
     rows = keyed.select(id_col, *keep, "total_words", "key")  # no text crosses the join
     joined = joins.salted_lookup_join(rows, scored.select("key", "cleaned_empty", "probs"), "key", hot,
                                       buckets=salt_buckets, spread_by=F.xxhash64(F.col(id_col)))
-    analysed = joined.withColumns(analysis_columns(None, None, "probs", words="total_words",
-                                                   empty="cleaned_empty"))
-    return analysed.withColumns(classification_columns())
+    analysed = with_analysis(joined, "probs", words=F.col("total_words"), empty=F.col("cleaned_empty"))
+    return with_classification(analysed)
 
 
 # ---------------------------------------------------------------------------
