@@ -93,9 +93,14 @@ def regex_tokens(t) -> Column:
     return F.regexp_extract_all(F.lower(_c(t)), F.lit(REGEX_WORD), 0)
 
 
-def _finish(joined: Column) -> Column:
-    """T16 + T17: keep ASCII letters and spaces, collapse, strip."""
-    letters = F.regexp_replace(joined, "[^a-zA-Z ]", "")
+def _finish(joined: Column, letters_only: bool = False) -> Column:
+    """T16 + T17: keep ASCII letters and spaces, collapse, strip.
+
+    When the joined words are known to hold letters only (token and regex
+    modes), dropping every non-ASCII character is the same operation and
+    Java runs ``\\P{ASCII}+`` many times faster than ``[^a-zA-Z ]``."""
+    pattern = r"\P{ASCII}+" if letters_only else "[^a-zA-Z ]"
+    letters = F.regexp_replace(joined, pattern, "")
     return F.trim(F.regexp_replace(letters, " +", " "))
 
 
@@ -108,7 +113,7 @@ def clean_text(t, mode: str = "token") -> Column:
         toks = regex_tokens(base)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return _finish(F.array_join(toks, " "))
+    return _finish(F.array_join(toks, " "), letters_only=True)
 
 
 def clean_tokens(t, mode: str = "token") -> Column:
