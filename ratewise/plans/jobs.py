@@ -33,7 +33,7 @@ from ratewise.functions import text as X
 from ratewise.operators import joins, quality, rate
 from ratewise.operators.partitioning import spread
 from ratewise.operators.scoring import LexiconScorer, analysis_columns, apply_scorer, with_analysis
-from ratewise.session import materialise
+from ratewise.session import materialise, write_table
 from ratewise.sources import csv_io
 
 
@@ -112,8 +112,9 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
 
     1. ``key = sha2(cleaned)``; group by key keeps one text and the row
        count per key (partial aggregate: duplicates collapse map-side).
-    2. Score the distinct texts; checkpoint them to the shared folder so an
-       executor loss never re-runs inference.
+    2. Score the distinct texts; write them to the shared checkpoint folder
+       so an executor loss never re-runs inference.  The keyed rows are
+       written there too, so the text is cleaned once.
     3. Join scores back to ``(id, key)`` rows (small rows, no text); keys
        holding many rows are salted over ``salt_buckets`` reducers.
     """
@@ -123,12 +124,16 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
     keyed = df.select(id_col, *keep, X.word_count(text_col).alias("total_words"),
                       X.clean_text(text_col, mode).alias("cleaned"))
     keyed = keyed.withColumn("key", F.sha2(F.col("cleaned"), 256))
+    if checkpoint:
+        # one cleaning pass: both the distinct texts and the join-back rows
+        # read this table (the join side prunes the text column away)
+        keyed = write_table(keyed, "dedup_keyed")
     distinct = (keyed.groupBy("key")
                 .agg(F.first("cleaned").alias("cleaned"), F.count(F.lit(1)).alias("n_rows")))
     scored = apply_scorer(distinct, scorer, "cleaned", "probs").select(
         "key", "n_rows", (F.col("cleaned") == "").alias("cleaned_empty"), "probs")
     if checkpoint:
-        scored = materialise(scored)
+        scored = write_table(scored, "dedup_scores")
     total = scored.agg(F.sum("n_rows")).first()[0] or 0
     hot = joins.hot_keys(scored, "key", "n_rows", total, max_hot=max_hot, min_rows=min_hot_rows)
     rows = keyed.select(id_col, *keep, "total_words", "key")  # no text crosses the join

@@ -58,6 +58,16 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: lineage is cut like ``checkpoint()``, and later readers get column
+    pruning (a wide text column is never read by a step that skips it)."""
+    import uuid
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, so a lost
     executor recomputes from the checkpoint instead of re-running upstream
