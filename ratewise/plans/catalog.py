@@ -629,3 +629,25 @@ def q_stream_windowed_counts(spark, sf_dir):
     counts = rate_stream.windowed_rating_counts(rate_stream.event_stream(spark, sf_dir))
     out = rate_stream.run_to_parquet(counts, "stream_windowed_counts", output_mode="append")
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# J1 end to end: CSV in, 18-column CSV out, statistics observed on the way
+# ---------------------------------------------------------------------------
+
+
+@register("rate_catalogue_csv", O.RATED_F7 + """
+SELECT song_index, MCR_rating, MCR_descriptors, MCR_highest_concern, MCR_final_rating FROM rated""")
+def q_rate_catalogue_csv(spark, sf_dir):
+    """The orders-derived scores as a CSV file in the
+    scratch folder, rated by the batch job and read back from its export."""
+    import os
+    import uuid
+    from ratewise.session import checkpoint_path
+    from ratewise.sources import csv_io
+    base = checkpoint_path(spark, f"catalogue-{uuid.uuid4().hex[:8]}")
+    src = os.path.join(base, "scores.csv")
+    csv_io.write_csv(tables.order_scores(spark, sf_dir), src)
+    res = jobs.rate_catalogue(spark, src)
+    return res.frame.select(F.col("song_index").cast("bigint").alias("song_index"), "MCR_rating",
+                            "MCR_descriptors", "MCR_highest_concern", "MCR_final_rating")
