@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.constants import DESCRIPTOR_SEPARATOR, NO_DESCRIPTOR
+from ratewise.session import write_table
 
 
 def rating_histogram(rated: DataFrame, rating_col: str = "MCR_rating") -> DataFrame:
@@ -63,6 +64,9 @@ def compliance_rollup(scored: DataFrame, group_col: str = "lang",
            .agg(F.count(F.lit(1)).alias("n"),
                 F.round(F.avg(severity_col), 6).alias("avg_severity"),
                 F.grouping_id().alias("level")))
+    # The rolled-up table is tiny ((groups + 1) x 6 rows); write it once so
+    # the two uses below do not each re-run the upstream scoring.
+    agg = write_table(agg, "rollup")
     # group subtotal: a window per group over <= 6 aggregated rows each;
     # grand total: the single level-3 row, broadcast (one row, bounded).
     group_total = F.sum(F.when(F.col("level") == 0, F.col("n"))).over(Window.partitionBy(group_col))
