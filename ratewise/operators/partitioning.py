@@ -18,9 +18,12 @@ def spread(df: DataFrame, key: str | None = None, target: int | None = None) ->
     when the input has fewer.  With ``key`` (a unique id) the rows are hash
     partitioned on it, which needs no local sort and routes a retried task's
     rows the same way."""
-    sc = df.sparkSession.sparkContext
-    target = target or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = target or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave partitioning to Spark
+        return df
+    if current >= target:
         return df
     if key is not None:
         return df.repartition(target, F.xxhash64(F.col(key)))

@@ -536,7 +536,7 @@ def q_severity_topk_by_group(spark, sf_dir):
     s = jobs.score_and_rate(_docs(spark, sf_dir), "text").select("lang", "doc_id", "severity")
     top = reports.top_k_by_group(s, 3, "lang", "severity", "doc_id")
     return top.select("lang", "doc_id", F.round("severity", 6).alias("severity"),
-                      F.col("rank").cast("int").alias("rank"))
+                      F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("compliance_rollup", _docs_scored_sql() + """,

@@ -23,11 +23,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9) + 0.0
+        return v + 0.0 if STRICT else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dt.datetime):
@@ -54,6 +57,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return dict(name=name, ok=None, rows=len(s_rows), sec=round(t1 - t0, 2), note="no oracle")
     rel = con.execute(sql)
     d_cols = [d[0] for d in rel.description]
+    d_types = dict(zip(d_cols, [str(d[1]) for d in rel.description]))
+    type_map = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "float": "FLOAT"}
+    s_types = {f.name: type_map.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    bad_types = {c: (s_types[c], d_types.get(c)) for c in s_cols
+                 if c in d_types and s_types[c] != d_types[c]}
     d_rows = [tuple(norm(x) for x in r) for r in rel.fetchall()]
     res = dict(name=name, rows=len(s_rows), oracle_rows=len(d_rows), sec=round(t1 - t0, 2))
     if sorted(s_cols) != sorted(d_cols):
@@ -64,6 +74,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
     cs, cd = Counter(s_rows), Counter(d_rows)
     if cs == cd:
         res.update(ok=True)
+        if bad_types:
+            res.update(types=bad_types)
     else:
         only_s = list((cs - cd).elements())[:3]
         only_d = list((cd - cs).elements())[:3]
