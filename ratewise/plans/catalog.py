@@ -651,3 +651,35 @@ def q_rate_catalogue_csv(spark, sf_dir):
     res = jobs.rate_catalogue(spark, src)
     return res.frame.select(F.col("song_index").cast("bigint").alias("song_index"), "MCR_rating",
                             "MCR_descriptors", "MCR_highest_concern", "MCR_final_rating")
+
+
+# ---------------------------------------------------------------------------
+# The text pipeline on a stream, and the model plug-in contract
+# ---------------------------------------------------------------------------
+
+
+@register("stream_score_and_rate", _scored_select_sql())
+def q_stream_score_and_rate(spark, sf_dir):
+    """J3 on text: documents arriving on a file stream are cleaned, scored
+    and rated by the same stateless columns as the batch job."""
+    from ratewise.streaming import rate_stream
+    schema = tables.table(spark, sf_dir, "documents").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(tables.stream_path(sf_dir, "documents")))
+    out = rate_stream.run_to_parquet(_scored_output(jobs.score_and_rate(stream, "text")),
+                                     "stream_score_and_rate")
+    return spark.read.parquet(out)
+
+
+@register("model_plugin_rating", _docs_scored_sql() + """
+SELECT doc_id, mcr_rating, safety_level, kid_safe, round(severity, 2) AS severity FROM dr""")
+def q_model_plugin_rating(spark, sf_dir):
+    """Scores from a model behind the plug-in contract (iterator
+    pandas UDF, Arrow batches, float32 output, one evaluation per row).  The
+    model here is the Python twin of the lexicon, so the rating must equal
+    the native path; severity is compared at two decimals (float32)."""
+    from ratewise.operators.scoring import ModelSpec, lexicon_model_loader, model_scorer
+    scorer = model_scorer(ModelSpec("lexicon-twin", lexicon_model_loader))
+    s = jobs.score_and_rate(_docs(spark, sf_dir), "text", scorer=scorer)
+    return s.select("doc_id", "mcr_rating", "safety_level", "kid_safe",
+                    F.round("severity", 2).alias("severity"))
