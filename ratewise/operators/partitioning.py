@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
     """Repartition to ``target`` (default: default parallelism) partitions
-    when the input has fewer.  With ``key`` (a unique id) the rows are hash
-    partitioned on it, which needs no local sort and routes a retried task's
-    rows the same way."""
+    when the input has fewer.
+
+    Rows are hash-partitioned on their scan position
+    (``monotonically_increasing_id``, stable for a retried scan task), mixed
+    with ``key`` when given.  So the spread stays even when one key holds a
+    third of all rows, and unlike round-robin it needs no local sort to be
+    deterministic."""
     try:
         target = target or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
@@ -25,6 +29,6 @@ def spread(df: DataFrame, key: str | None = None, target: int | None = None) ->
         return df
     if current >= target:
         return df
-    if key is not None:
-        return df.repartition(target, F.xxhash64(F.col(key)))
-    return df.repartition(target)
+    pos = F.monotonically_increasing_id()
+    h = F.xxhash64(F.col(key), pos) if key is not None else F.xxhash64(pos)
+    return df.repartition(target, h)

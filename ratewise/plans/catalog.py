@@ -601,8 +601,8 @@ def q_windowed_rating_counts(spark, sf_dir):
     rated = rate_stream.rating_stream(tables.table(spark, sf_dir, "events"))
     return (rated.groupBy(F.window("ts", "1 day").alias("w"), "MCR_rating")
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"),
-                    "MCR_rating", "n"))
+            .select(tables.utc_date(F.col("w.start")).alias("window_start"),
+                    tables.utc_date(F.col("w.end")).alias("window_end"), "MCR_rating", "n"))
 
 
 @register("stream_rating", _EVENTS_RATED + """

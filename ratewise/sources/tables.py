@@ -100,14 +100,31 @@ def text_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
     raise ValueError(f"no text table {name!r}")
 
 
+def event_time(df: DataFrame, col: str = "ts") -> Column:
+    """Event time as TIMESTAMP (an instant), independent of the session time
+    zone: a TIMESTAMP_NTZ wall clock is read as UTC.  Watermarks need
+    TIMESTAMP; the plain cast would read the wall clock in the session zone."""
+    from pyspark.sql import types as T
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        tz = df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+        return F.from_utc_timestamp(c.cast("timestamp"), tz)
+    return c
+
+
+def utc_date(c: Column) -> Column:
+    """Calendar date (UTC) of an instant, whatever the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / F.lit(86400)).cast("int"))
+
+
 def event_scores(events: DataFrame) -> DataFrame:
     """Score quadruple per event (same generators as F7 over ``event_id``)
-    with ``ts`` as TIMESTAMP.  A pure projection, so it works on batch and
-    streaming frames alike."""
+    with ``ts`` as TIMESTAMP (UTC wall clock).  A pure projection, so it
+    works on batch and streaming frames alike."""
     k = F.col("event_id")
     xs = [_unit(k, a, m) for a, m in SCORE_GENERATORS]
     return events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        "event_id", event_time(events).alias("ts"), "event_type",
         _cube(xs[0]).alias("violence_score"), _cube(xs[1]).alias("sexual_score"),
         _cube(xs[2]).alias("language_score"), _cube(xs[3]).alias("substance_score"))
 

@@ -46,8 +46,8 @@ def windowed_rating_counts(events: DataFrame, window: str = "1 day", delay: str
     return (rated.withWatermark("ts", delay)
             .groupBy(F.window("ts", window).alias("w"), "MCR_rating")
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date(F.col("w.start")).alias("window_start"),
-                    F.to_date(F.col("w.end")).alias("window_end"), "MCR_rating", "n"))
+            .select(tables.utc_date(F.col("w.start")).alias("window_start"),
+                    tables.utc_date(F.col("w.end")).alias("window_end"), "MCR_rating", "n"))
 
 
 def run_to_parquet(stream: DataFrame, name: str, output_mode: str = "append",

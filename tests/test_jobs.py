@@ -131,7 +131,7 @@ def test_windowed_stream_emits_closed_windows_only(spark):
     counts = rate_stream.windowed_rating_counts(rate_stream.event_stream(spark, SF_SMALL))
     got = spark.read.parquet(rate_stream.run_to_parquet(counts, "t_window"))
     ev = tables.table(spark, SF_SMALL, "events")
-    batch = (rate_stream.rating_stream(ev).groupBy(F.to_date("ts").alias("window_start"), "MCR_rating")
+    batch = (rate_stream.rating_stream(ev).groupBy(tables.utc_date(F.col("ts")).alias("window_start"), "MCR_rating")
              .agg(F.count(F.lit(1)).alias("n")))
     last = ev.agg(F.max(F.to_date("ts"))).first()[0]
     exp = sorted(tuple(r) for r in batch.filter(F.col("window_start") < F.lit(last)).collect())
@@ -151,3 +151,39 @@ def test_entry_contract(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 30
+
+
+def test_late_events_behind_watermark_are_dropped(spark):
+    import datetime as dt
+    import time
+    from ratewise.streaming import rate_stream
+    d = tempfile.mkdtemp(prefix="rw-late-")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    day = dt.datetime(2024, 1, 1)
+    first = [(i, day + dt.timedelta(hours=i), 0, "view", 1.0, "") for i in range(60)]  # up to day 3 11:00
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(d, "b1"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(d, "b*")))
+    counts = rate_stream.windowed_rating_counts(stream)
+    base = os.path.join(d, "run")
+    out_q = (counts.writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ck"))
+             .start())
+    try:
+        out_q.processAllAvailable()
+        time.sleep(1)
+        # second batch: one late row for day 1 (behind the watermark) and rows
+        # on day 4 that push the watermark past day 3
+        second = [(1000, day + dt.timedelta(hours=5), 0, "view", 1.0, "")] + \
+                 [(2000 + i, day + dt.timedelta(days=3, hours=i), 0, "view", 1.0, "") for i in range(3)] + \
+                 [(3000, day + dt.timedelta(days=5, hours=2), 0, "view", 1.0, "")]
+        spark.createDataFrame(second, schema).coalesce(1).write.parquet(os.path.join(d, "b2"))
+        out_q.processAllAvailable()
+        out_q.processAllAvailable()
+    finally:
+        out_q.stop()
+    got = spark.read.parquet(os.path.join(base, "out"))
+    per_day = {r.window_start: r.n for r in got.groupBy("window_start").agg(F.sum("n").alias("n")).collect()}
+    assert per_day[dt.date(2024, 1, 1)] == 24       # the late row did not count
+    assert per_day[dt.date(2024, 1, 4)] == 3        # closed by the later watermark
+    assert dt.date(2024, 1, 6) not in per_day       # still open when input ended

@@ -95,3 +95,11 @@ def test_descriptor_counts_filter_stays_above_generate(spark):
     plan = reports.descriptor_counts(rated)._jdf.queryExecution().optimizedPlan().toString()
     # the 'None' filter sits on the exploded column, not inlined into the scan side
     assert plan.index("Filter") < plan.index("Generate")
+
+
+def test_spread_even_with_one_hot_id(spark):
+    df = spark.range(0, 9000, numPartitions=1).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"))
+    sizes = [r.n for r in spread(df, key="doc_id", target=6).groupBy(F.spark_partition_id())
+             .agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * min(sizes)
