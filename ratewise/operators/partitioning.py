@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Tasks per core after a spread: several, so that a few very long texts
+# cannot leave the other cores idle at the end of the stage.
+TASKS_PER_CORE = 4
+
+
 def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
-    """Repartition to ``target`` (default: default parallelism) partitions
-    when the input has fewer.
+    """Repartition to ``target`` partitions (default: ``TASKS_PER_CORE`` x
+    default parallelism) when the input has fewer than one per core.
 
     Rows are hash-partitioned on their scan position
     (``monotonically_increasing_id``, stable for a retried scan task), mixed
@@ -23,11 +28,15 @@ def spread(df: DataFrame, key: str | None = None, target: int | None = None) ->
     third of all rows, and unlike round-robin it needs no local sort to be
     deterministic."""
     try:
-        target = target or df.sparkSession.sparkContext.defaultParallelism
+        cores = df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
     except Exception:  # e.g. a Spark Connect session: leave partitioning to Spark
         return df
-    if current >= target:
+    if target is None:
+        if current >= cores:
+            return df
+        target = TASKS_PER_CORE * cores
+    elif current >= target:
         return df
     pos = F.monotonically_increasing_id()
     h = F.xxhash64(F.col(key), pos) if key is not None else F.xxhash64(pos)

@@ -235,3 +235,6 @@ def rate_single_song(spark: SparkSession, violence: float, sexual: float, langua
 
 
 EXPORT = EXPORT_COLUMNS
+
+# U4 name: batch rating of a CSV file (same job as rate_catalogue)
+rate_csv = rate_catalogue
