@@ -1,6 +1,6 @@
 """Column -> Column builders (no Python runs per row).
 
-    from ratewise.functions import mcr_rating, severity, clean_text
+    from ratewise.functions import mcr_rating, severity_index, clean_text
 """
 
 from ratewise.functions.rating import (  # noqa: F401
@@ -24,7 +24,7 @@ from ratewise.functions.severity import (  # noqa: F401
     rating_color,
     rescale,
     safety_level,
-    severity,
     sigmoid,
 )
+from ratewise.functions.severity import severity as severity_index  # noqa: F401  (module name stays free)
 from ratewise.functions.text import char_count, clean_text, is_blank, word_count  # noqa: F401
