@@ -34,9 +34,6 @@ from ratewise.constants import (
 )
 from ratewise.functions.scores import clip01
 
-ColLike = "str | Column"
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -104,7 +101,7 @@ def rating_level(rating: Column) -> Column:
     return expr
 
 
-def _tier(x: Column, tiers, mild_floor: bool = False) -> Column:
+def _tier(x: Column, tiers) -> Column:
     expr = F
     for limit, text in tiers:
         expr = expr.when(x > limit, F.lit(text))

@@ -61,9 +61,6 @@ DEFAULT_LEXICON: dict[str, list[tuple[str, float]]] = {
     ],
 }
 
-PROBS_TYPE = T.ArrayType(T.DoubleType(), containsNull=False)
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

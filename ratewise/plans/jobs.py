@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ratewise.constants import (
     DESCRIPTOR_SEPARATOR,
     EMPTY_DESCRIPTOR_TEXT,
-    EXPORT_COLUMNS,
     NO_DESCRIPTOR,
     RATINGS,
     LANGUAGE_TIERS,
@@ -32,8 +31,8 @@ from ratewise.functions import severity as V
 from ratewise.functions import text as X
 from ratewise.operators import joins, quality, rate
 from ratewise.operators.partitioning import spread
-from ratewise.operators.scoring import LexiconScorer, analysis_columns, apply_scorer, with_analysis
-from ratewise.session import materialise, write_table
+from ratewise.operators.scoring import LexiconScorer, apply_scorer, with_analysis
+from ratewise.session import write_table
 from ratewise.sources import csv_io
 
 
@@ -234,7 +233,5 @@ def rate_single_song(spark: SparkSession, violence: float, sexual: float, langua
                      text.alias("descriptors_text"), R.final_rating_from(r, ds, text).alias("final_rating"))
 
 
-EXPORT = EXPORT_COLUMNS
-
 # U4 name: batch rating of a CSV file (same job as rate_catalogue)
 rate_csv = rate_catalogue

@@ -88,15 +88,11 @@ def embedding_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table with a text column (documents or conversations) as
-    (id, text, group columns)."""
+    """A driver table with a text column, as (keys..., text)."""
     if name == "documents":
-        return table(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("id"), "text", "lang", "source")
+        return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if name == "conversations":
-        c = table(spark, sf_dir, "conversations")
-        return c.select((F.col("conv_id") * F.lit(1_000_000) + F.col("turn")).alias("id"),
-                        "text", F.col("role").alias("lang"), F.lit("conversations").alias("source"))
+        return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     raise ValueError(f"no text table {name!r}")
 
 
