@@ -181,6 +181,8 @@ def model_scorer(spec: ModelSpec, max_batch: int = 64) -> Callable[[Column], Col
     texts get zeros without touching the model (M1).  Output is checked to
     have four columns."""
     spec.check()
+    from ratewise.session import ship_package
+    ship_package()  # workers unpickle the loader from this package
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -75,3 +75,34 @@ def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> str | None:
+    """Make ``ratewise`` importable in Python workers (needed by pandas UDFs
+    that reference its functions): zip the package once per application into
+    the shared checkpoint folder and register it with ``addPyFile``."""
+    import zipfile
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return None
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = checkpoint_path(spark, f"pyfiles-{sc.applicationId}")
+    local = base[5:] if base.startswith("file:") else base
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, "ratewise.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+    return target
