@@ -103,3 +103,20 @@ def test_spread_even_with_one_hot_id(spark):
     sizes = [r.n for r in spread(df, key="doc_id", target=6).groupBy(F.spark_partition_id())
              .agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 6 and max(sizes) < 2 * min(sizes)
+
+
+def test_rating_screen_pushes_to_parquet(spark):
+    import tempfile
+    from ratewise.functions import rating as R
+    path = tempfile.mkdtemp(prefix="rw-push-") + "/scores"
+    tables.order_scores(spark, SF_SMALL).write.parquet(path)
+    cols = ["violence_score", "sexual_score", "language_score", "substance_score"]
+    stored = spark.read.parquet(path)
+    screened = stored.filter(R.rating_filter("M-T", *cols)).select("song_index")
+    with _conf(spark, {"spark.sql.maxMetadataStringLength": "10000"}):
+        plan = screened._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "LessThanOrEqual(violence_score,0.7)" in plan
+    # and only the needed columns are read
+    assert "ReadSchema: struct<song_index:bigint,violence_score:double" in plan
+    exact = rate_scores(stored).filter(F.col("MCR_rating").isin("M-E", "M-P", "M-T"))
+    assert screened.count() == exact.count()

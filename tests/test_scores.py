@@ -43,3 +43,9 @@ def test_clip_idempotent(spark):
     once = df.select(clean_score("x", df.schema["x"].dataType).alias("y"))
     twice = once.select(clean_score("y", once.schema["y"].dataType).alias("z"), "y")
     assert twice.filter("z <> y").count() == 0
+
+
+def test_whitespace_around_numbers(spark):
+    df = spark.createDataFrame([("\t0.5\n",), (" 1e-1 ",), ("\r.25",)], "x string")
+    got = [r.y for r in df.select(clean_score("x", df.schema["x"].dataType).alias("y")).collect()]
+    assert got == [0.5, 0.1, 0.25]
