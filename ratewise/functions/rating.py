@@ -128,11 +128,19 @@ def substance_descriptor(d) -> Column:
     return _tier(clip01(_c(d)), SUBSTANCE_TIERS)
 
 
+def descriptor_list(tiers: list[Column]) -> Column:
+    """R11 from the four nullable tier columns: ARRAY<STRING> of the
+    present ones, in order.  Built with concat_ws (skips NULL) and split
+    rather than a lambda filter, so it stays inside whole-stage codegen."""
+    has = F.coalesce(*tiers).isNotNull()
+    return F.when(has, F.split(F.concat_ws(DESCRIPTOR_SEPARATOR, *tiers), DESCRIPTOR_SEPARATOR, -1)) \
+        .otherwise(F.array().cast("array<string>"))
+
+
 def descriptors(v, s, l, d) -> Column:
     """ARRAY<STRING> in the order language, violence, sexual, substance."""
-    return F.array_compact(F.array(
-        language_descriptor(l), violence_descriptor(v),
-        sexual_descriptor(s), substance_descriptor(d)))
+    return descriptor_list([language_descriptor(l), violence_descriptor(v),
+                            sexual_descriptor(s), substance_descriptor(d)])
 
 
 def descriptor_text_from(rating: Column, descs: Column) -> Column:

@@ -72,7 +72,7 @@ def with_rating(df: DataFrame, v: str, s: str, l: str, d: str, prefix: str = "MC
     cs = [F.col(t) for t in _TMP[:4]]
     stage1 = stage0.withColumns({
         "__max": F.greatest(*cs),
-        "__descs": F.array_compact(F.array(R.tier_descriptors(*cs))),
+        "__descs": R.descriptor_list(R.tier_descriptors(*cs)),
         f"{prefix}rating": R.rating_of_clipped(*cs),
     })
     r, ds, m = F.col(f"{prefix}rating"), F.col("__descs"), F.col("__max")

@@ -229,7 +229,7 @@ def apply_scorer(df: DataFrame, scorer, cleaned: str, out: str) -> DataFrame:
 def with_analysis(df: DataFrame, probs: str, words: Column, empty: Column) -> DataFrame:
     """M1 + M8 as staged projections: the (zeroed when empty) probability
     array first, then the rescaled categories from it."""
-    p = F.when(empty, _zero_probs()).otherwise(F.transform(F.col(probs), lambda x: x.cast("double")))
+    p = F.when(empty, _zero_probs()).otherwise(F.col(probs).cast("array<double>"))
     stage = df.withColumns({"__p": p, "__empty": empty, "total_words": words})
     cats = V.category_percentages("__p")
     out = stage.withColumns({name: F.when(F.col("__empty"), F.lit(0.0)).otherwise(col)
@@ -247,7 +247,7 @@ def analysis_columns(text, cleaned, probs, words=None, empty=None) -> dict[str,
     Empty cleaned text gives zeros and no scaling method.  ``words`` /
     ``empty`` may be given precomputed (then text / cleaned are unused)."""
     empty = _c(empty) if empty is not None else (_c(cleaned) == "")
-    p = F.when(empty, _zero_probs()).otherwise(F.transform(_c(probs), lambda x: x.cast("double")))
+    p = F.when(empty, _zero_probs()).otherwise(_c(probs).cast("array<double>"))
     cats = V.category_percentages(p)
     out = {name: F.when(empty, F.lit(0.0)).otherwise(col) for name, col in cats.items()}
     out["total_words"] = _c(words) if words is not None else X.word_count(text)

@@ -77,7 +77,7 @@ def with_classification(df: DataFrame, explicit="explicit", violence="violence",
         "severity": V.severity(*args),
         "csi_probability": V.csi_probability(probs),
         "mcr_rating": R.rating_of_clipped(*cs),
-        "mcr_descriptors": F.array_compact(F.array(R.tier_descriptors(*cs))),
+        "mcr_descriptors": R.descriptor_list(R.tier_descriptors(*cs)),
         "kid_safe": V.kid_safe(*args),
         "safety_level": V.safety_level(*args),
     })

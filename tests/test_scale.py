@@ -120,3 +120,18 @@ def test_rating_screen_pushes_to_parquet(spark):
     assert "ReadSchema: struct<song_index:bigint,violence_score:double" in plan
     exact = rate_scores(stored).filter(F.col("MCR_rating").isin("M-E", "M-P", "M-T"))
     assert screened.count() == exact.count()
+
+
+def test_rating_is_map_only_and_codegen(spark):
+    out = rate_table(tables.order_scores(spark, SF_SMALL))
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    projects = [ln for ln in plan.splitlines() if "Project [" in ln]
+    assert projects and all("*(" in ln for ln in projects), plan[:2000]
+    scored = jobs.with_classification(
+        tables.embedding_probabilities(spark, SF_SMALL)
+        .withColumns(__import__("ratewise.functions.severity", fromlist=["x"]).category_percentages("probs"))
+        .withColumn("raw_probabilities", F.col("probs")))
+    plan2 = scored._jdf.queryExecution().executedPlan().toString()
+    assert all("*(" in ln for ln in plan2.splitlines() if "Project [" in ln), plan2[:2000]
