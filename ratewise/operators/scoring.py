@@ -238,6 +238,8 @@ def with_analysis(df: DataFrame, probs: str, words: Column, empty: Column) -> Da
         "raw_probabilities": F.col("__p"),
         "confidence_scores": F.col("__p"),
         "scaling_method": F.when(F.col("__empty"), F.lit(None).cast("string")).otherwise(F.lit(SCALING_METHOD)),
+        # Text with no ASCII letters cleans to '' and rates M-E; flag it
+        "cleaned_empty": F.col("__empty"),
     })
     return out.drop("__p", "__empty")
 

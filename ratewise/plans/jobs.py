@@ -64,14 +64,28 @@ def classification_columns(explicit="explicit", violence="violence",
 _CTMP = ["__cv", "__cs", "__cl", "__cd"]
 
 
+SCORE_SPACES = ("rescaled", "raw")
+
+
 def with_classification(df: DataFrame, explicit="explicit", violence="violence",
                         sexual_content="sexual_content", substance_use="substance_use",
-                        probs="raw_probabilities") -> DataFrame:
-    """V4-V9 + R19 (rescaled space) as staged projections, so the rating
-    and safety ladders are computed once per row inside codegen."""
+                        probs="raw_probabilities", score_space: str = "rescaled") -> DataFrame:
+    """V4-V9 + R19 as staged projections, so the rating and safety ladders
+    are computed once per row inside codegen.
+
+    ``score_space`` (H15): ``"rescaled"`` rates the percentages / 100 like
+    the interactive path (in probability terms the limits become .525, .70,
+    .85, .975); ``"raw"`` rates the four probabilities themselves like the
+    batch path."""
+    if score_space not in SCORE_SPACES:
+        raise ValueError(f"score_space must be one of {SCORE_SPACES}")
     args = (explicit, violence, sexual_content, substance_use)
     from ratewise.functions.scores import clip01
-    stage0 = df.withColumns({t: clip01(c) for t, c in zip(_CTMP, V.percent_scores(*args))})
+    if score_space == "rescaled":
+        units = V.percent_scores(*args)
+    else:  # label order sexual, violence, substance, language -> v, s, l, d
+        units = tuple(V.prob(probs, i) for i in (V.P_VIOLENCE, V.P_SEXUAL, V.P_LANGUAGE, V.P_SUBSTANCE))
+    stage0 = df.withColumns({t: clip01(c) for t, c in zip(_CTMP, units)})
     cs = [F.col(t) for t in _CTMP]
     stage1 = stage0.withColumns({
         "severity": V.severity(*args),
@@ -98,9 +112,10 @@ def analyse_text(df: DataFrame, text_col: str = "text", scorer=None, mode: str =
     return with_analysis(scored, "probs", words=X.word_count(text_col), empty=F.col("cleaned") == "")
 
 
-def score_and_rate(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
+def score_and_rate(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token",
+                   score_space: str = "rescaled") -> DataFrame:
     """DM6 per row (map-only with a native scorer)."""
-    return with_classification(analyse_text(df, text_col, scorer, mode))
+    return with_classification(analyse_text(df, text_col, scorer, mode), score_space=score_space)
 
 
 def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", scorer=None,

@@ -63,3 +63,21 @@ def test_sigmoid(spark):
     df = spark.createDataFrame([(-3.0,), (0.0,), (2.25,)], "z double")
     got = [r.p for r in df.select(V.sigmoid("z").alias("p")).collect()]
     assert [round(g, 12) for g in got] == [round(1 / (1 + math.exp(-z)), 12) for z in (-3.0, 0.0, 2.25)]
+
+
+def test_score_space_raw_vs_rescaled(spark):
+    from ratewise.plans.jobs import with_classification
+    # p(violence) = 0.6: raw space -> M-T (0.6 in (0.4, 0.7]); rescaled -> 20 % -> M-P
+    df = spark.createDataFrame([([0.0, 0.6, 0.0, 0.0],)], "probs array<double>")
+    base = df.withColumns(V.category_percentages("probs")).withColumn("raw_probabilities", F.col("probs"))
+    resc = with_classification(base).first()
+    raw = with_classification(base, score_space="raw").first()
+    assert (resc.mcr_rating, raw.mcr_rating) == ("M-P", "M-T")
+    assert resc.safety_level == raw.safety_level == "Moderate"
+
+
+def test_cleaned_empty_flag(spark):
+    from ratewise.plans.jobs import score_and_rate
+    df = spark.createDataFrame([(1, "Привет мир"), (2, "you idiot"), (3, None)], "id long, text string")
+    got = {r.id: (r.cleaned_empty, r.mcr_rating, r.total_words) for r in score_and_rate(df).collect()}
+    assert got[1] == (True, "M-E", 2) and got[3] == (True, "M-E", 0) and got[2][0] is False
