@@ -147,8 +147,13 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
     scored = apply_scorer(distinct, scorer, "cleaned", "probs").select(
         "key", "n_rows", (F.col("cleaned") == "").alias("cleaned_empty"), "probs")
     if checkpoint:
-        scored = write_table(scored, "dedup_scores")
-    total = scored.agg(F.sum("n_rows")).first()[0] or 0
+        # the row total rides on the write as an observed metric (no extra job)
+        from pyspark.sql import Observation
+        obs = Observation("dedup_rows")
+        scored = write_table(scored.observe(obs, F.sum("n_rows").alias("rows")), "dedup_scores")
+        total = obs.get.get("rows") or 0
+    else:
+        total = scored.agg(F.sum("n_rows")).first()[0] or 0
     hot = joins.hot_keys(scored, "key", "n_rows", total, max_hot=max_hot, min_rows=min_hot_rows)
     rows = keyed.select(id_col, *keep, "total_words", "key")  # no text crosses the join
     joined = joins.salted_lookup_join(rows, scored.select("key", "cleaned_empty", "probs"), "key", hot,
