@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratewise.functions import text as X
 
-BROADCAST_LEMMA_ROWS = 2_000_000
+BROADCAST_LEMMA_ROWS = 500_000  # ~25 MB of (token, pos, lemma) rows
 
 
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,

@@ -122,7 +122,7 @@ class LexiconScorer:
 
 
 def lexicon_scores_join(df: DataFrame, key: str, cleaned: str, lexicon: DataFrame,
-                        bias: float = DEFAULT_BIAS, broadcast_limit: int = 1_000_000) -> DataFrame:
+                        bias: float = DEFAULT_BIAS, broadcast_limit: int = 500_000) -> DataFrame:
     """M10 for an arbitrary lexicon table (term, label, weight): explode
     tokens, join the lexicon, partial-aggregate the hits per (key, label),
     pivot to the four labels, sigmoid.  The lexicon is broadcast only when
