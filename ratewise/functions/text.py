@@ -104,9 +104,18 @@ def _finish(joined: Column, letters_only: bool = False) -> Column:
     return F.trim(F.regexp_replace(letters, " +", " "))
 
 
-def clean_text(t, mode: str = "token") -> Column:
-    """Full cleaner (no lemmatiser: T13)."""
-    base = expand_contractions(null_to_empty(t))
+def normalize_quotes(t) -> Column:
+    """Optional (H22): curly apostrophes to ASCII, so "don’t" expands too."""
+    return F.translate(_c(t), "\u2019\u2018", "''")
+
+
+def clean_text(t, mode: str = "token", normalize_quotes_first: bool = False) -> Column:
+    """Full cleaner (no lemmatiser: T13).  ``normalize_quotes_first``
+    (off by default, as in the rules) maps curly apostrophes to ASCII first."""
+    src = null_to_empty(t)
+    if normalize_quotes_first:
+        src = normalize_quotes(src)
+    base = expand_contractions(src)
     if mode == "token":
         toks = word_tokens(base)
     elif mode == "regex":

@@ -89,3 +89,10 @@ def test_lemma_join(spark):
     tagged = spark.createDataFrame([(1, ["dogs", "ran"], ["NNS", "VBD"])], "id long, toks array<string>, tags array<string>")
     out = lemmatize(tagged, "id", "toks", lem, tags_col="tags").first()
     assert out.lemmas == ["dog", "run"]
+
+
+def test_normalize_quotes_option(spark):
+    df = spark.createDataFrame([("don’t stop, it‘s fine",)], "t string")
+    r = df.select(X.clean_text("t").alias("a"), X.clean_text("t", normalize_quotes_first=True).alias("b")).first()
+    assert r.a == "don t stop it s fine"
+    assert r.b == "do not stop it is fine"
