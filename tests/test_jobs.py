@@ -187,3 +187,38 @@ def test_late_events_behind_watermark_are_dropped(spark):
     assert per_day[dt.date(2024, 1, 1)] == 24       # the late row did not count
     assert per_day[dt.date(2024, 1, 4)] == 3        # closed by the later watermark
     assert dt.date(2024, 1, 6) not in per_day       # still open when input ended
+
+
+def test_rate_catalogue_parquet_without_index(spark):
+    d = tempfile.mkdtemp(prefix="rw-j1p-")
+    src = os.path.join(d, "scores.parquet")
+    tables.order_scores(spark, SF_SMALL).drop("song_index").coalesce(1).write.parquet(src)
+    res = jobs.rate_catalogue(spark, src, os.path.join(d, "out"), output_format="parquet")
+    out = res.frame
+    assert out.columns == EXPORT_COLUMNS
+    n = out.count()
+    assert sorted(r.song_index for r in out.select("song_index").collect()) == list(range(n))
+    assert res.stats["ratings"]["rows"] == n == res.stats["quality"]["n_rows"]
+    assert sum(v for k, v in res.stats["ratings"].items() if k.startswith("rating:")) == n
+
+
+def test_quality_table_long_form(spark):
+    from ratewise.operators.quality import quality_table
+    df = spark.createDataFrame([("x", "0.5"), (None, "2"), ("NA", "abc")], "a string, b string")
+    got = {r.column: (r.non_numeric, r.missing, r.out_of_range) for r in quality_table(df, ["a", "b"]).collect()}
+    assert got == {"a": (1, 2, 0), "b": (1, 0, 1)}
+
+
+def test_lexicon_join_shuffle_path(spark):
+    from ratewise.functions import text as X
+    from ratewise.operators.scoring import lexicon_scores_join
+    d = tables.table(spark, SF_SMALL, "documents").select("doc_id", X.clean_text("text").alias("cleaned"))
+    a = {r.doc_id: r.probs for r in lexicon_scores_join(d, "doc_id", "cleaned", LexiconScorer().table(spark),
+                                                         broadcast_limit=0).collect()}
+    b = {r.doc_id: list(r.p) for r in d.select("doc_id", LexiconScorer()(F.col("cleaned")).alias("p")).collect()}
+    assert a.keys() == b.keys() and all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k]))
+
+
+def test_row_index_empty_input(spark):
+    df = spark.createDataFrame([], "x double")
+    assert with_row_index(df).count() == 0
