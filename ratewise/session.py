@@ -89,7 +89,10 @@ def ship_package(spark: SparkSession | None = None) -> str | None:
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         return None
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship code with the client's artifact API instead
+        return None
     if sc.applicationId in _SHIPPED:
         return None
     pkg = os.path.dirname(os.path.abspath(__file__))
