@@ -16,10 +16,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "ratewise", driver_memory: str = "8g") -> SparkSession:
+                  app: str = "ratewise", driver_memory: str = "8g",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and benchmarks (UI off, AQE on, UTC)."""
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
