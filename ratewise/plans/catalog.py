@@ -426,15 +426,15 @@ def q_nonblank_texts(spark, sf_dir):
 LABELS = ["sexual", "violence", "substance", "language"]
 
 
-def _docs_scored_sql() -> str:
+def _docs_scored_sql(source: str = "documents", keys: str = "doc_id, lang, source") -> str:
     ps = O.probs_sql("cleaned")
     pcols = ",\n         ".join(
         f"CASE WHEN cleaned = '' THEN 0.0 ELSE {p} END AS p_{lab}" for p, lab in zip(ps, LABELS))
     dc = f"""
 dc AS (
-  SELECT doc_id, lang, source, {O.clean_token_sql('text')} AS cleaned,
+  SELECT {keys}, {O.clean_token_sql('text')} AS cleaned,
          {O.word_count_sql('text')} AS total_words
-  FROM documents)"""
+  FROM {source})"""
     dp = f"""
 dp AS (
   SELECT *, {pcols}
@@ -683,3 +683,24 @@ def q_model_plugin_rating(spark, sf_dir):
     s = jobs.score_and_rate(_docs(spark, sf_dir), "text", scorer=scorer)
     return s.select("doc_id", "mcr_rating", "safety_level", "kid_safe",
                     F.round("severity", 2).alias("severity"))
+
+
+@register("conversation_rollup", _docs_scored_sql("conversations", "conv_id, turn, role") + """,
+agg AS (
+  SELECT role, mcr_rating, count(*) AS n, round(avg(severity), 6) AS avg_severity,
+         CAST(GROUPING(role, mcr_rating) AS INTEGER) AS level
+  FROM dr GROUP BY ROLLUP (role, mcr_rating))
+SELECT role, mcr_rating, n, avg_severity, level,
+       round(CASE WHEN level = 0 THEN CAST(n AS DOUBLE) * 100.0 /
+                       CAST(sum(CASE WHEN level = 0 THEN n END) OVER (PARTITION BY role) AS DOUBLE)
+                  WHEN level = 1 THEN CAST(n AS DOUBLE) * 100.0 /
+                       CAST((SELECT n FROM agg WHERE level = 3) AS DOUBLE)
+                  ELSE 100.0 END, 6) AS share_pct
+FROM agg""")
+def q_conversation_rollup(spark, sf_dir):
+    """J5 on the second text table: every conversation turn scored and
+    rated, rolled up by speaker role x rating."""
+    c = spread(tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    s = jobs.score_and_rate(c, "text")
+    out = reports.compliance_rollup(s, "role", "mcr_rating", "severity")
+    return out.withColumn("level", F.col("level").cast("int"))
