@@ -124,20 +124,22 @@ class LexiconScorer:
 def lexicon_scores_join(df: DataFrame, key: str, cleaned: str, lexicon: DataFrame,
                         bias: float = DEFAULT_BIAS, broadcast_limit: int = 500_000) -> DataFrame:
     """M10 for an arbitrary lexicon table (term, label, weight): explode
-    tokens, join the lexicon, partial-aggregate the hits per (key, label),
-    pivot to the four labels, sigmoid.  The lexicon is broadcast only when
-    its row count is at most ``broadcast_limit``; otherwise Spark shuffles
-    both sides.  Returns (key, probs)."""
+    tokens, left-join the lexicon, aggregate the weights per (key, label),
+    pivot to the four labels, sigmoid.  Every cleaned text yields at least
+    one token, so documents without hits survive the left join and the
+    input is scanned once.  A document's tokens stay in its task, so the
+    partial aggregate sends at most five rows per document to the shuffle.
+    The lexicon is broadcast only when its row count is at most
+    ``broadcast_limit``; otherwise Spark shuffles both sides.  ``key`` must
+    identify a row.  Returns (key, probs)."""
     n_terms = lexicon.count()
     lex = F.broadcast(lexicon) if n_terms <= broadcast_limit else lexicon
     tokens = df.select(key, F.explode(F.split(F.col(cleaned), " ")).alias("term"))
-    hits = (tokens.join(lex, "term", "inner")
+    sums = (tokens.join(lex, "term", "left")
             .groupBy(key).pivot("label", LABEL_ORDER).agg(F.sum("weight")))
-    keys = df.select(key)
-    joined = keys.join(hits, key, "left")
     probs = F.array(*[V.sigmoid(F.lit(float(bias)) + F.coalesce(F.col(lab), F.lit(0.0)))
                       for lab in LABEL_ORDER])
-    return joined.select(key, probs.alias("probs"))
+    return sums.select(key, probs.alias("probs"))
 
 
 # ---------------------------------------------------------------------------
