@@ -29,21 +29,20 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
     lem = lemmas.select(F.col("token").alias("__tok"), F.col("pos").alias("__pos"),
                         F.col("lemma").alias("__lemma"))
     lem = F.broadcast(lem) if n <= broadcast_limit else lem
+    # posexplode_outer keeps documents without tokens (one row, NULL
+    # position), so the input is scanned once and nothing is joined back.
     if tags_col:
         pairs = F.arrays_zip(F.col(tokens_col).alias("t"), F.col(tags_col).alias("g"))
-        ex = df.select(id_col, F.posexplode(pairs).alias("i", "p"))
+        ex = df.select(id_col, F.posexplode_outer(pairs).alias("i", "p"))
         ex = ex.select(id_col, "i", F.col("p.t").alias("__tok"), X.lemma_pos(F.col("p.g")).alias("__pos"))
     else:
-        ex = df.select(id_col, F.posexplode(tokens_col).alias("i", "__tok"))
+        ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("i", "__tok"))
         ex = ex.withColumn("__pos", F.lit("n"))
     joined = ex.join(lem, ["__tok", "__pos"], "left")
     word = F.coalesce(F.col("__lemma"), F.col("__tok"))
-    grouped = joined.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i"), word.alias("w")))).alias("__ws"))
-    out = grouped.select(id_col, F.transform("__ws", lambda s: s["w"]).alias(out_col))
-    # documents without tokens keep an empty list
-    empty = df.select(id_col).join(out, id_col, "left")
-    return empty.select(id_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")).alias(out_col))
+    entry = F.when(F.col("i").isNotNull(), F.struct(F.col("i"), word.alias("w")))
+    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("__ws"))
+    return grouped.select(id_col, F.transform("__ws", lambda s: s["w"]).alias(out_col))
 
 
 def clean_text_lemmatized(df: DataFrame, id_col: str, text_col: str, lemmas: DataFrame) -> DataFrame:
