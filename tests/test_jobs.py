@@ -222,3 +222,14 @@ def test_lexicon_join_shuffle_path(spark):
 def test_row_index_empty_input(spark):
     df = spark.createDataFrame([], "x double")
     assert with_row_index(df).count() == 0
+
+
+def test_format_summary(spark):
+    d = tempfile.mkdtemp(prefix="rw-fmt-")
+    src = os.path.join(d, "s.csv")
+    _write(src, CSV)
+    res = jobs.rate_catalogue(spark, src)
+    text = jobs.format_summary(jobs.rating_summary(res.stats))
+    assert text.splitlines()[:4] == ["Rating Statistics:", "  M-AO: 2 (50.0%)", "  M-P: 1 (25.0%)", "  M-T: 1 (25.0%)"]
+    # rows 0 and 2 (1.7 clips to 1.0) are both Graphic Violence
+    assert text.splitlines()[5:7] == ["Most Common Content Descriptors:", "  Graphic Violence: 2"]
