@@ -6,7 +6,8 @@ ARRAY<DOUBLE> (or ARRAY<FLOAT>) of length 4 in label order
 
 * ``LexiconScorer`` (M10, ours): a weighted word list plus a bias gives one
   logit per label, then a sigmoid.  Small lexicons compile to native
-  expressions (hash-set membership per weight tier): map-only, no shuffle.
+  expressions (an ``IN`` list per weight tier, which Catalyst turns into a
+  hash set above 10 terms): map-only, no shuffle.
   Lexicons above ``MAX_INLINE_TERMS`` go through ``lexicon_scores_join``
   (explode + join + partial aggregate) instead of being inlined.
 * ``model_scorer`` (M4 / U3): a user model behind an iterator pandas UDF,
