@@ -236,6 +236,22 @@ def rating_summary(stats: dict) -> dict:
     return {"rows": total, "ratings": dict(sorted(ratings.items())), "pct": pct, "top_descriptors": top}
 
 
+def format_quality_warnings(quality: dict, cols: list[str] | None = None) -> list[str]:
+    """G4 as warning lines per score column (only non-zero counts), from the
+    metrics observed during the write."""
+    cols = cols or rate.score_columns().values()
+    out = []
+    for c in cols:
+        nn, miss, oor = (quality.get(f"{c}_{k}", 0) for k in ("non_numeric", "missing", "out_of_range"))
+        if nn:
+            out.append(f"[Warning] Column '{c}': {nn} non-numeric values coerced to NaN.")
+        if miss:
+            out.append(f"[Warning] Column '{c}': {miss} missing values detected.")
+        if oor:
+            out.append(f"[Warning] Column '{c}': {oor} values out of [0,1] clipped.")
+    return out
+
+
 def format_summary(summary: dict) -> str:
     """The batch job's closing report as text: rating counts with percent of
     all rows (sorted by code), then the ten most common descriptors.  The

@@ -233,3 +233,15 @@ def test_format_summary(spark):
     assert text.splitlines()[:4] == ["Rating Statistics:", "  M-AO: 2 (50.0%)", "  M-P: 1 (25.0%)", "  M-T: 1 (25.0%)"]
     # rows 0 and 2 (1.7 clips to 1.0) are both Graphic Violence
     assert text.splitlines()[5:7] == ["Most Common Content Descriptors:", "  Graphic Violence: 2"]
+
+
+def test_quality_warnings(spark):
+    d = tempfile.mkdtemp(prefix="rw-warn-")
+    src = os.path.join(d, "s.csv")
+    _write(src, CSV)
+    res = jobs.rate_catalogue(spark, src)
+    lines = jobs.format_quality_warnings(res.stats["quality"])
+    assert "[Warning] Column 'violence_score': 1 non-numeric values coerced to NaN." in lines
+    assert "[Warning] Column 'violence_score': 1 values out of [0,1] clipped." in lines
+    assert "[Warning] Column 'substance_score': 1 values out of [0,1] clipped." in lines
+    assert "[Warning] Column 'sexual_score': 1 missing values detected." in lines
