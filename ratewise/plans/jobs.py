@@ -181,7 +181,7 @@ def _stat_exprs(rated: DataFrame) -> list[Column]:
         exprs.append(F.count_if(F.col("MCR_rating") == code).alias(f"rating:{code}"))
     texts = [t for tiers in (LANGUAGE_TIERS, VIOLENCE_TIERS, SEXUAL_TIERS, SUBSTANCE_TIERS)
              for _, t in tiers] + list(EMPTY_DESCRIPTOR_TEXT.values())
-    parts = F.split(F.col("MCR_descriptors"), DESCRIPTOR_SEPARATOR, -1)
+    parts = F.col("__parts")  # split once per row (see rate_catalogue)
     for t in texts:
         exprs.append(F.count_if((F.col("MCR_descriptors") != NO_DESCRIPTOR)
                                 & F.array_contains(parts, t)).alias(f"descriptor:{t}"))
@@ -213,7 +213,10 @@ def rate_catalogue(spark: SparkSession, input_path: str, output_path: str | None
     exported = rate.rate_table(observed_in, *cols)
     from pyspark.sql import Observation
     s_obs = Observation("rating_stats")
-    observed_out = exported.observe(s_obs, *_stat_exprs(exported))
+    observed_out = (exported
+                    .withColumn("__parts", F.split(F.col("MCR_descriptors"), DESCRIPTOR_SEPARATOR, -1))
+                    .observe(s_obs, *_stat_exprs(exported))
+                    .drop("__parts"))
     out = output_path or output_path_for(input_path)
     if output_format == "csv":
         csv_io.write_csv(observed_out, out)
