@@ -107,6 +107,7 @@ def with_classification(df: DataFrame, explicit="explicit", violence="violence",
 def analyse_text(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
     """M8: add ``cleaned``, ``probs`` and the DM5 columns."""
     scorer = scorer or LexiconScorer()
+    df = spread(df)  # CPU-bound cleaning on all cores; no-op at scale and for streams
     with_clean = df.withColumn("cleaned", X.clean_text(text_col, mode))
     scored = apply_scorer(with_clean, scorer, "cleaned", "probs")
     return with_analysis(scored, "probs", words=X.word_count(text_col), empty=F.col("cleaned") == "")
