@@ -360,10 +360,16 @@ def q_severity_topk(spark, sf_dir):
 
 def _docs(spark, sf_dir) -> DataFrame:
     """Documents, spread over all cores when the scan yields fewer splits
-    (text cleaning is CPU-bound; a no-op when the input has many files)."""
+    (text cleaning is CPU-bound; a no-op when the input has many files).
+    For queries that clean text directly; the jobs spread their own input."""
     return spread(tables.table(spark, sf_dir, "documents"), key="doc_id")
 
 
+def _docs_table(spark, sf_dir) -> DataFrame:
+    """Documents as scanned (input of jobs that spread it themselves)."""
+    return tables.table(spark, sf_dir, "documents")
+
+
 @register("contraction_expand", f"""
 SELECT doc_id, {O.expand_sql('coalesce(text, ' + chr(39) * 2 + ')')} AS expanded FROM documents""")
 def q_contraction_expand(spark, sf_dir):
@@ -516,13 +522,13 @@ def _scored_output(df: DataFrame) -> DataFrame:
 def q_score_and_rate(spark, sf_dir):
     """Text -> clean -> lexicon probabilities -> severity, rating,
     safety (one map-only stage)."""
-    return _scored_output(jobs.score_and_rate(_docs(spark, sf_dir), "text"))
+    return _scored_output(jobs.score_and_rate(_docs_table(spark, sf_dir), "text"))
 
 
 @register("dedup_score_and_rate", _scored_select_sql())
 def q_dedup_score_and_rate(spark, sf_dir):
     """Same result, each distinct cleaned text scored once."""
-    d = _docs(spark, sf_dir).select("doc_id", "text")
+    d = _docs_table(spark, sf_dir).select("doc_id", "text")
     return _scored_output(jobs.dedup_score_and_rate(d, "doc_id", "text"))
 
 
@@ -533,7 +539,7 @@ SELECT lang, doc_id, round(severity, 6) AS severity, rank FROM (
 WHERE rank <= 3""")
 def q_severity_topk_by_group(spark, sf_dir):
     """K3 per group: three most severe documents per language."""
-    s = jobs.score_and_rate(_docs(spark, sf_dir), "text").select("lang", "doc_id", "severity")
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text").select("lang", "doc_id", "severity")
     top = reports.top_k_by_group(s, 3, "lang", "severity", "doc_id")
     return top.select("lang", "doc_id", F.round("severity", 6).alias("severity"),
                       F.col("rank").cast("bigint").alias("rank"))
@@ -554,7 +560,7 @@ FROM agg""")
 def q_compliance_rollup(spark, sf_dir):
     """Counts, mean severity and shares by language x rating with
     subtotals (ROLLUP)."""
-    s = jobs.score_and_rate(_docs(spark, sf_dir), "text")
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text")
     out = reports.compliance_rollup(s, "lang", "mcr_rating", "severity")
     return out.withColumn("level", F.col("level").cast("int"))
 
@@ -568,7 +574,7 @@ SELECT count(*) AS n,
 FROM dr JOIN labels USING (doc_id)""")
 def q_label_check(spark, sf_dir):
     """Language probability against the toxic label at 0.5."""
-    s = jobs.score_and_rate(_docs(spark, sf_dir), "text")
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text")
     s = s.select("doc_id", V.prob("raw_probabilities", 4).alias("p_language"))
     return reports.label_check(s, tables.table(spark, sf_dir, "labels"), "p_language", "toxic", 0.5)
 
@@ -680,7 +686,7 @@ def q_model_plugin_rating(spark, sf_dir):
     the native path; severity is compared at two decimals (float32)."""
     from ratewise.operators.scoring import ModelSpec, lexicon_model_loader, model_scorer
     scorer = model_scorer(ModelSpec("lexicon-twin", lexicon_model_loader))
-    s = jobs.score_and_rate(_docs(spark, sf_dir), "text", scorer=scorer)
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text", scorer=scorer)
     return s.select("doc_id", "mcr_rating", "safety_level", "kid_safe",
                     F.round("severity", 2).alias("severity"))
 
@@ -700,7 +706,7 @@ FROM agg""")
 def q_conversation_rollup(spark, sf_dir):
     """J5 on the second text table: every conversation turn scored and
     rated, rolled up by speaker role x rating."""
-    c = spread(tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    c = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     s = jobs.score_and_rate(c, "text")
     out = reports.compliance_rollup(s, "role", "mcr_rating", "severity")
     return out.withColumn("level", F.col("level").cast("int"))
