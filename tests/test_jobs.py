@@ -147,10 +147,12 @@ def test_single_song(spark):
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
+    assert df.columns == ["rating", "n", "pct"]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["string", "bigint", "double"]
     assert df.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
-    assert len(qs) >= 30
+    assert set(sql) == set(qs)          # every query has its DuckDB SQL
+    assert len(qs) >= 30 and all(callable(f) for f in qs.values())
 
 
 def test_late_events_behind_watermark_are_dropped(spark):
