@@ -29,3 +29,10 @@ def test_single_song_sql(spark):
     sqlfuncs.register(spark)
     r = spark.sql("SELECT mcr_final_rating(0.2, 0.5, 0.5, 0.1) AS f, mcr_long_name('M-T') AS n").first()
     assert (r.f, r.n) == ("M-T: Strong Language; Suggestive Themes", "Teen")
+
+
+def test_clip01_sql(spark):
+    sqlfuncs.register(spark)
+    r = spark.sql("""SELECT clip01(CAST(NULL AS DOUBLE)) AS a, clip01(CAST('NaN' AS DOUBLE)) AS b,
+                            clip01(CAST('Infinity' AS DOUBLE)) AS c, clip01(-0.5) AS d, clip01(0.25) AS e""").first()
+    assert tuple(r) == (0.0, 0.0, 1.0, 0.0, 0.25)
