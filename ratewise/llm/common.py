@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -66,3 +67,46 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, factory: Callable[[], Callable[[list[str]], list[pa.Array]]],
+             fields: str, size: int = SLICE_BYTES) -> DataFrame:
+    """Map-only Arrow step: ``factory()`` runs once per task and gives the
+    function from a list of texts (null: empty) to one Arrow array per field.
+
+    The result has ``id_col`` first; it may be of any type, also a struct that
+    carries a whole row."""
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    extra = T.StructType.fromDDL(fields)
+    schema = T.StructType([T.StructField(id_col, source.schema["__id"].dataType), *extra.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or factory()
+            for part in slices(batch, "__text", size):
+                texts = ["" if t is None else t for t in part.column("__text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), *work(texts)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(__row, __text0): the whole row as one struct, and its text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text0"))
+
+
+def unpack(packed: DataFrame, replaced: dict[str, Column] | None = None) -> DataFrame:
+    """The packed rows' columns, some of them replaced."""
+    names = packed.schema["__row"].dataType.names
+    return packed.select(*[(replaced or {}).get(c, F.col(f"__row.`{c}`")).alias(c) for c in names])
+
+
+def spans_text(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file on the driver."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

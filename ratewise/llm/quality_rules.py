@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, pack, unpack
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -147,6 +147,4 @@ def keep_good(docs: DataFrame, policy: str = "web-1", text_col: str = "text") ->
     The row travels as one struct, so no column of the input can clash with
     the measurements; the step stays map-only.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__t0"))
-    judged = quality_rows(packed, policy, "__row", "__t0")
-    return judged.filter("kept").select("__row.*")
+    return unpack(quality_rows(pack(docs, text_col), policy, "__row", "__text0").filter("kept"))

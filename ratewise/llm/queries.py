@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules, sharding
+from . import decontaminate, minhash, quality_rules, secret_scan, sharding, token_counts
 from .common import documents
 from .sql import ORACLE
 
@@ -15,10 +15,23 @@ __all__ = ["ORACLE", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_rows(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_rows(documents(spark, sf_dir))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rows(documents(spark, sf_dir))
 
@@ -27,4 +40,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_rows(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op9_quality_rules, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_counts, op2_sharding, op4_secret_scan, op6_minhash, op9_quality_rules, op10_decontamination)}
