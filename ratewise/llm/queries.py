@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, quality_rules, secret_scan, sharding, token_counts
+from . import decontaminate, minhash, phrase_automata, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 from .common import documents
 from .sql import ORACLE
 
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_rows(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_rows(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.phrase_rows(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rows(documents(spark, sf_dir))
 
@@ -41,4 +49,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_sharding, op4_secret_scan, op6_minhash, op9_quality_rules, op10_decontamination)}
+    op1_token_counts, op2_sharding, op3_suffix_dedup, op4_secret_scan, op6_minhash, op8_phrase_automata, op9_quality_rules, op10_decontamination)}

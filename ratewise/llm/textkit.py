@@ -47,7 +47,7 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty texts."""
-    array = array.fill_null("").cast(pa.large_string())
+    array = array.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset:array.offset + len(array) + 1]
     if not len(array):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -61,12 +61,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix sums from which ``ranges`` hashes any byte ranges."""
+    """Prefix sums from which ``ranges`` hashes any ranges of bytes, or of
+    64-bit values (word hashes)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, dtype=U)
-        np.cumsum(_TABLE[data] * _power(_BASE, n, "up"), out=self.sums[1:])
+        values = _TABLE[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * _power(_BASE, n, "up"), out=self.sums[1:])
         self.down = _power(_INV, n + 1, "down")
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -128,19 +130,49 @@ def chain(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost minimum of each ``width`` consecutive values."""
+    """Position of the leftmost smallest (by its high 32 bits) of each
+    ``width`` consecutive values."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # log-step sliding minimum of (value, position) pairs kept in two arrays
-    low, at, m = values, np.arange(len(values), dtype=np.int64), 1
-    while m * 2 <= width:
-        right = low[m:] < low[:len(low) - m]
-        low_next = np.where(right, low[m:], low[:len(low) - m])
-        at = np.where(right, at[m:], at[:len(at) - m])
-        low, m = low_next, m * 2
+    low32 = U(0xFFFFFFFF)
+    x = (values & ~low32) | np.arange(len(values), dtype=U)
+    m = 1
+    while m * 2 <= width:  # minimum of 2m from two of m
+        x = np.minimum(x[m:], x[:len(x) - m])
+        m *= 2
     if m < width:
-        shift = width - m
-        right = low[shift:] < low[:len(low) - shift]
-        at = np.where(right, at[shift:], at[:len(at) - shift])
-    return at[:n]
+        x = np.minimum(x[width - m:], x[:len(x) - (width - m)])
+    return (x & low32).astype(np.int64)
+
+
+class Runs(NamedTuple):
+    """Runs of consecutive windows of one text that share an anchor."""
+    anchor: np.ndarray  # position of the anchor
+    low: np.ndarray     # first window start
+    high: np.ndarray    # last window start
+
+
+def runs(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> Runs:
+    """The anchor of a window is its smallest gram, leftmost if tied, so equal
+    windows have equal anchors at equal places, wherever they stand.
+    ``first[d]:first[d+1]`` are the units of text d."""
+    at = minima(grams, window - gram + 1)
+    valid = np.zeros(len(at), bool)
+    size = np.diff(first)
+    long = size >= window
+    # windows of a text start at first[d] .. first[d+1] - window
+    edge = np.zeros(len(at) + 1, np.int64)
+    np.add.at(edge, first[:-1][long], 1)
+    np.add.at(edge, np.minimum(first[1:][long] - window + 1, len(at)), -1)
+    valid = np.cumsum(edge[:-1]) > 0
+    starts = np.flatnonzero(valid)
+    if not len(starts):
+        zero = np.zeros(0, np.int64)
+        return Runs(zero, zero, zero)
+    m = at[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (m[1:] != m[:-1]) | (starts[1:] != starts[:-1] + 1)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(starts)) - 1
+    return Runs(m[begin], starts[begin], starts[end])
