@@ -97,11 +97,11 @@ def signatures(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "k1", "k2", "n", "f1", "f2", "bands", "sig"]
     for batch in batches:
         for part in slices(batch, "text"):
-            flat, first = shingle_sets(part.column("text"))
+            flat, first = shingle_sets(part.column("text"), width)
             n = np.diff(first)
             some = n > 0
             f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -124,10 +124,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(f2.view(np.int64)), lists, pa.array([r.tobytes() for r in sig], pa.binary())], names=names)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            flat, first = shingle_sets(part.column("text"))
+            flat, first = shingle_sets(part.column("text"), width)
             sets = [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(sets, pa.binary())], names=["c", "set"])
 
@@ -225,10 +225,10 @@ def _blocks(percent: int, cut: float):
     return run
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *row_key(F.col(id_col), text))
-    return source.mapInArrow(_sign, "id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>, sig binary")
+    return source.mapInArrow(lambda batches: _sign(batches, width), "id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>, sig binary")
 
 
 def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, cut: float, block: int) -> DataFrame:
@@ -261,11 +261,11 @@ def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFr
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_blocks(percent, cut), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
                     cut: float = CUT, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of the
     group), kept, and the row key k1, k2."""
-    signed = scratch(_signed(docs, id_col, text_col), "signed")
+    signed = scratch(_signed(docs, id_col, text_col, width), "signed")
     # partial aggregation folds a class of any size before the exchange
     classes = scratch(
         signed.filter("n > 0").groupBy("f1", "f2", "n").agg(
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("c").distinct().join(classes.select("c", "k1", "k2"), "c")
     texts = docs.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
     texts = texts.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("c").alias("c"), F.first("text").alias("text"))
-    sets = scratch(texts.select("c", "text").mapInArrow(_sets, "c long, set binary"), "sets")
+    sets = scratch(texts.select("c", "text").mapInArrow(lambda batches: _sets(batches, width), "c long, set binary"), "sets")
 
     measure = classes.select("c", "n", "sig")
     pairs = (members.filter("hub <> c").select(F.col("hub").alias("u"), F.col("c").alias("v"))

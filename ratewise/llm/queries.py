@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, phrase_automata, pii_crf, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from . import decontaminate, minhash, phrase_automata, pii_crf, quality_rules, secret_scan, sharding, sp_sampling, suffix_dedup, token_counts
 from .common import documents
 from .sql import ORACLE
 
@@ -31,6 +31,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_rows(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_sampling.sample_rows(documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minhash.near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
@@ -53,4 +57,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_sharding, op3_suffix_dedup, op4_secret_scan, op6_minhash, op7_pii_crf, op8_phrase_automata, op9_quality_rules, op10_decontamination)}
+    op1_token_counts, op2_sharding, op3_suffix_dedup, op4_secret_scan, op5_sentencepiece, op6_minhash, op7_pii_crf, op8_phrase_automata, op9_quality_rules, op10_decontamination)}
