@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import decontaminate, quality_rules
+from ratewise.llm import decontaminate, minhash, quality_rules, secret_scan, sp_sampling
 from ratewise.llm.common import documents, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,14 +22,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each near-duplicate group stays (shingles of
+    five words, similarity 0.8 or more)."""
+    return minhash.drop_copies(docs, width=5)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents with a benchmark window go."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: secrets are masked in the text, and n_chars follows."""
+    return secret_scan.redact(docs)
+
+
+def sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: sampled segmentations of every document that is left."""
+    return sp_sampling.sample_rows(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
+    ("minhash_near_dedup", near_duplicates),
     ("decontamination", decontaminated),
+    ("secret_scan", redacted),
+    ("sentencepiece", sampled),
 ]
 
 #: Sampling segmentations has no SQL form; the stages are tested by brute force.
