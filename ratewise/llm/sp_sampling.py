@@ -23,7 +23,7 @@ byte pieces, as in the library.
 Map-only: no shuffle; the model file is broadcast (under 1 MB).
 
 Cases: null and empty texts have one empty segmentation; a text with fewer
-than k segmentations gives those it has, each with inclusion 1; repeated rows
+than k segmentations gives those it has, each with log-inclusion 0; repeated rows
 get the same samples (same key); texts of any length are one lattice; an empty
 table gives no rows; other columns are ignored.  The word mark U+2581 in a
 text reads back as a space, as in the library.
@@ -63,21 +63,28 @@ class Vocabulary:
         if any(re.search(f"[^{MARK}]{MARK}", names[i]) or "\n" in names[i] for i in normal):
             raise ValueError("a piece continues after white space; words' lattices would not be independent")
         self.longest = max(len(names[i]) for i in normal)
-        flat = np.frombuffer("".join(names[i] for i in normal).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(names[i]) for i in normal])
-        starts = np.concatenate([[0], ends[:-1]])
-        h = K.Prefix(K.mix(flat)).ranges(starts, ends)
+        # one table for pieces and for beginnings of pieces (id -1)
+        begun = {names[i][:m]: -1 for i in normal for m in range(1, len(names[i]))}
+        begun.update((names[i], i) for i in normal)
+        longer = {names[i][:m] for i in normal for m in range(1, len(names[i]))}
+        keys = list(begun)
+        flat = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(x) for x in keys])
+        h = K.Prefix(K.mix(flat)).ranges(np.concatenate([[0], ends[:-1]]), ends)
         order = np.argsort(h)
-        self.hashes, self.ids = h[order], np.array(normal)[order]
+        self.hashes = h[order]
+        self.ids = np.array([begun[x] for x in keys])[order]
+        self.more = np.array([x in longer for x in keys])[order]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 21, bool)
+        self.maybe[(self.hashes & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
         rank = np.empty(n)
         rank[normal] = np.arange(1, len(normal) + 1)
         self.weight = np.zeros(n)
         self.weight[normal] = -power * np.log(rank[normal])
-        self.byte_weight = -power * np.log(len(normal) + 256)
+        self.weight = self.weight.astype(np.float32).astype(np.float64)  # as the lattice stores them
+        self.byte_weight = float(np.float32(-power * np.log(len(normal) + 256)))
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         # bytes of every piece, for decoding
         data = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else (b"" if special[i] else names[i].encode()) for i in range(n)]
@@ -85,14 +92,14 @@ class Vocabulary:
         self.size = np.array([len(d) for d in data])
         self.start = np.cumsum(self.size) - self.size
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Piece id of each hash, -1 where there is none."""
-        out = np.full(len(h), -1, np.int64)
-        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece id of each hash (-1: none), and whether longer pieces begin so."""
+        out, more = np.full(len(h), -1, np.int64), np.zeros(len(h), bool)
+        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
         i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[i] == h[at]
-        out[at[hit]] = self.ids[i[hit]]
-        return out
+        out[at[hit]], more[at[hit]] = self.ids[i[hit]], self.more[i[hit]]
+        return out, more
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids, word marks and all."""
@@ -114,36 +121,54 @@ class Lattice:
         at = np.arange(len(chars)) + word  # node of each character
         nodes, longest = len(chars) + len(words), vocab.longest
         self.piece = np.full((nodes, longest), -1, np.int32)
-        edge = np.full((nodes, longest), _NEVER)
+        self.spelled = np.zeros(nodes)  # weight of a character without a piece
+        edge = np.full((nodes, longest), _NEVER, np.float32)
         prefix = K.Prefix(K.mix(chars))
         left = end[word] - np.arange(len(chars))
+        i = np.arange(len(chars))
         for size in range(1, longest + 1):
-            i = np.flatnonzero(left >= size)
-            if not len(i):
-                break
-            ids = vocab.lookup(prefix.ranges(i, i + size))
+            ids, more = vocab.lookup(prefix.ranges(i, i + size))
             has = ids >= 0
+            if size == 1:  # characters without a piece: bytes
+                x = i[~has]
+                self.spelled[at[x]] = vocab.byte_weight * (1 + (chars[x] > 0x7F) + (chars[x] > 0x7FF) + (chars[x] > 0xFFFF))
+                edge[at[x], 0] = self.spelled[at[x]]
             self.piece[at[i[has]], size - 1] = ids[has]
             edge[at[i[has]], size - 1] = vocab.weight[ids[has]]
-            if size == 1:  # characters without a piece: bytes
-                i = i[~has]
-                edge[at[i], 0] = vocab.byte_weight * (1 + (chars[i] > 0x7F) + (chars[i] > 0x7FF) + (chars[i] > 0xFFFF))
-        # backward sums, from the words' ends
-        total = np.zeros(nodes + longest)
+            i = i[more]  # only where a longer piece may go on
+            i = i[left[i] > size]
+            if not len(i):
+                break
+        # backward sums and each node's cumulative edge probabilities, from the
+        # words' ends: all nodes t characters before an end at once
+        self.weight = vocab.weight
+        self.total = total = np.zeros(nodes + longest)
+        self.upto = np.ones((nodes, longest), np.float32)
         order = np.argsort(-length, kind="stable")
         last, sizes = (self.node + length)[order], length[order]
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
-        step = np.arange(1, longest + 1)
         for t in range(1, len(live) + 1):
-            i = last[:live[t - 1]] - t
-            x = edge[i] + total[i[:, None] + step]
+            i, m = last[:live[t - 1]] - t, min(t, longest)
+            x = edge[i, :m] + total[i[:, None] + np.arange(1, m + 1)]
             top = x.max(1)
-            total[i] = top + np.log(np.exp(x - top[:, None]).sum(1))
-        # conditional probability of each edge at its node
-        with np.errstate(invalid="ignore"):
-            p = np.exp(edge + total[np.arange(nodes)[:, None] + step] - total[:nodes, None])
-        self.prob = p
-        self.upto = np.cumsum(p, axis=1)
+            x = np.exp(x - top[:, None])
+            x = np.cumsum(x, axis=1)
+            total[i] = top + np.log(x[:, -1])
+            self.upto[i, :m - 1] = x[:, :-1] / x[:, -1:]
+
+    def edges(self, node: int) -> np.ndarray:
+        """Probability of the edge of each size at one node."""
+        has = self.piece[node] >= 0
+        has[0] |= self.spelled[node] != 0
+        p = np.zeros(len(has))
+        size = np.flatnonzero(has) + 1
+        p[has] = np.exp(self.logp(np.full(len(size), node), size))
+        return p
+
+    def logp(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log-probability of the edges of ``size`` characters at their nodes."""
+        piece = self.piece[node, size - 1]
+        return np.where(piece >= 0, self.weight[piece], self.spelled[node]) + self.total[node + size] - self.total[node]
 
 
 def uniform(seed: np.ndarray, place: np.ndarray, what: int) -> np.ndarray:
@@ -199,10 +224,13 @@ class Sampler:
         seed, base = self.seed[self.doc[words]], self.first[self.doc[words]]
         while len(node):
             u = uniform(seed, place - base, 2 * sample)
-            upto = lat.upto[node]
-            size = np.minimum((upto < u[:, None] * upto[:, -1:]).sum(1), lat.upto.shape[1] - 1)
-            path.size[place], path.piece[place], path.logp[place] = size + 1, lat.piece[node, size], np.log(lat.prob[node, size])
-            size += 1
+            size = (lat.upto[node] < u.astype(np.float32)[:, None]).sum(1) + 1
+            # rounding may point past the last edge: the next one before it
+            while len(over := np.flatnonzero((size > left) | (size > lat.upto.shape[1]))):
+                size[over] -= 1
+            while len(none := np.flatnonzero((lat.piece[node, size - 1] < 0) & ((size > 1) | (lat.spelled[node] == 0)))):
+                size[none] = np.where(size[none] > 1, size[none] - 1, size[none])
+            path.size[place], path.piece[place], path.logp[place] = size, lat.piece[node, size - 1], lat.logp(node, size)
             on = left > size
             node, place, left, seed, base = (x[on] for x in (node + size, place + size, left - size, seed, base))
 
@@ -264,18 +292,19 @@ class Sampler:
                 w = int(np.searchsorted(self.place[first_word[d]:first_word[d + 1]], s, side="right")) - 1 + int(first_word[d])
                 node = int(self.lattice.node[self.unit[w]]) + s - int(self.place[w])
                 gone = taken.setdefault((j, s, d), [int(old.size[s])])
-                p = self.lattice.prob[node].copy()
+                p = self.lattice.edges(node)
                 p[[g - 1 for g in gone]] = 0.0
                 c = np.cumsum(p)
                 u = float(uniform(self.seed[d:d + 1], np.array([s - a]), 2 * (sample + 1) + 40)[0])
                 size = min(int((c < u * c[-1]).sum()), len(c) - 1)
-                new.size[s], new.piece[s], new.logp[s] = size + 1, self.lattice.piece[node, size], np.log(self.lattice.prob[node, size])
+                new.size[s], new.piece[s], new.logp[s] = size + 1, self.lattice.piece[node, size], self.lattice.logp(np.array([node]), np.array([size + 1]))[0]
                 gone.append(size + 1)
                 # the edges still closed at this node keep a value below this one
-                rest = float(p.sum() - p[size])
+                p[size] = 0.0
+                rest = float(p.sum())
                 prefix = float(old.logp[a:s].sum())
                 old.rest[s] = float(truncated(np.array([prefix + np.log(rest)]), np.array([best[d]]),
-                                              uniform(self.seed[d:d + 1], np.array([s - a]), 2 * (sample + 1) + 41))[0]) if rest > 1e-12 else _NEVER
+                                              uniform(self.seed[d:d + 1], np.array([s - a]), 2 * (sample + 1) + 41))[0]) if rest > 0 else _NEVER
                 words.append(np.arange(w, first_word[d + 1]))
                 skips.append(np.where(np.arange(w, first_word[d + 1]) == w, s - int(self.place[w]) + size + 1, 0))
                 fresh[d] = s + 1
@@ -299,6 +328,13 @@ class Sampler:
         return ids
 
 
+def log_inclusion(x: float) -> float:
+    """log(1 - exp(-exp(x))), x: log-probability over the bound."""
+    if x < -30:
+        return x
+    return float(np.log(-np.expm1(-np.exp(x)))) if x < 3.7 else 0.0
+
+
 def _model(path: str | None) -> bytes:
     with open(path or vocabulary("piece_bpe_32k.model"), "rb") as f:
         return f.read()
@@ -306,8 +342,8 @@ def _model(path: str | None) -> bytes:
 
 def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
                 k: int = SAMPLES, power: float = POWER, with_ids: bool = False) -> DataFrame:
-    """id, sample (0 ..), n_tokens, log_prob, inclusion, ids_sha256 (of the
-    little-endian 32-bit ids), round_trip (the ids decode to the text), and
+    """id, sample (0 ..), n_tokens, log_prob, log_inclusion (log of
+    the probability to be among the samples), ids_sha256 (of the little-endian 32-bit ids), round_trip (the ids decode to the text), and
     with ``with_ids`` the ids."""
     if not 1 <= k <= 20:
         raise ValueError("k must be 1 to 20")
@@ -322,9 +358,9 @@ def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts = ["" if t is None else t for t in part.column("text").to_pylist()]
                 sampler = Sampler(vocab, texts, part.column("key").to_numpy())
                 chosen, bound = sampler.draw(k)
-                rows = [(d, 0, 0, 0.0, 1.0, np.zeros(0, np.int64)) for d, t in enumerate(texts) if not t]
+                rows = [(d, 0, 0, 0.0, 0.0, np.zeros(0, np.int64)) for d, t in enumerate(texts) if not t]
                 for d, sample, p, logp, _ in chosen:
-                    inclusion = -np.expm1(-np.exp(min(logp - bound[d], 700.0))) if np.isfinite(bound[d]) else 1.0
+                    inclusion = log_inclusion(logp - bound[d]) if np.isfinite(bound[d]) else 0.0
                     ids = sampler.ids(d, p)
                     rows.append((d, sample, len(ids), logp, float(inclusion), ids))
                 rows.sort(key=lambda r: r[:2])
@@ -337,8 +373,8 @@ def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     cols.append(pa.array([r[5].astype(np.int32) for r in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["id", "sample", "n_tokens", "log_prob", "inclusion", "ids_sha256", "round_trip"] + ["ids"] * with_ids
-    schema = f"id {kind_of_id}, sample int, n_tokens long, log_prob double, inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    names = ["id", "sample", "n_tokens", "log_prob", "log_inclusion", "ids_sha256", "round_trip"] + ["ids"] * with_ids
+    schema = f"id {kind_of_id}, sample int, n_tokens long, log_prob double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
