@@ -15,6 +15,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Separators of ``[^\x20\x09-\x0D]+`` words, as a Java/Spark character class.
 WORD_PATTERN = r"[^ \t-\r]+"
+#: Spark's setting to remove an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A batch is worked off in slices of about this many bytes of text.
 SLICE_BYTES = 2_000_000
 
@@ -28,11 +30,17 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     ``spark.checkpoint.dir`` and read it back.
 
     Later steps start from the written rows: a lost executor costs a re-read,
-    never a recomputation, and two readers see the same rows.
+    never a recomputation, and two readers see the same rows.  The shuffle
+    files behind the table are of no more use and are removed with the write.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -110,7 +110,7 @@ def run_rows(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> DataFra
 
 
 class Marked(NamedTuple):
-    texts: DataFrame     # r, t, id, text (null if untouched), whole: runs settled as removed, probe: runs to tell apart
+    texts: DataFrame     # r, t, id, facts, text (null if untouched), whole: runs settled as removed, probe: runs to tell apart
     probes: DataFrame    # key, r, t, loc, alone, units: runs of grams with several kinds
 
 
@@ -132,28 +132,33 @@ def mark(docs: DataFrame, id_col: str, text_col: str, kind: Kind, first_stays: b
     else:
         whole = found.join(classes.filter("n > 1").select("g", "c"), ["g", "c"])
     probes = classes.join(kinds, "g").select(
-        "rep.r", "rep.t", F.struct(F.lit(1).alias("probe"), F.col("rep.loc").alias("loc"), "g", (F.col("kinds") > hot).alias("hot"), (F.col("n") == 1).alias("alone")).alias("m"))
-    nothing = F.struct(F.lit(0).alias("probe"), "loc", F.lit(0).cast("long").alias("g"), F.lit(False).alias("hot"), F.lit(False).alias("alone"))
+        "rep.r", "rep.t", F.struct("rep.loc", "g", (F.col("kinds") > hot).alias("hot"), (F.col("n") == 1).alias("alone")).alias("m"))
     # as many marks as a text has runs, at most
-    marks = whole.select("r", "t", nothing.alias("m")).unionByName(probes).groupBy("r", "t").agg(F.collect_set("m").alias("m"))
+    whole = whole.groupBy("r", "t").agg(F.collect_set("loc").alias("whole"))
+    probes = probes.groupBy("r", "t").agg(F.collect_set("m").alias("probe"))
     every = docs.select(F.col(id_col).alias("id"), *row_number(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"),
                         *[f.alias(n) for n, f in facts.items()])
-    texts = scratch(every.join(marks, ["r", "t"], "left").select(
-        "id", "r", "t", *facts, F.when(F.col("m").isNotNull(), F.col("text")).alias("text"),
-        F.expr("transform(filter(m, x -> x.probe = 0), x -> x.loc)").alias("whole"),
-        F.expr("filter(m, x -> x.probe = 1)").alias("probe")), "marked-texts")
-    asked = texts.filter(F.size("probe") > 0).dropDuplicates(["r", "t"]).select("r", "t", "text", "probe")
+    # both joins on the row's number: the text moves once
+    texts = scratch(every.join(whole, ["r", "t"], "left").join(probes, ["r", "t"], "left").select(
+        "id", "r", "t", *facts, F.when(F.col("whole").isNotNull() | F.col("probe").isNotNull(), F.col("text")).alias("text"),
+        "whole", "probe"), "marked-texts")
+    asked = texts.filter("probe is not null").select("r", "t", "text", "probe")
     return Marked(texts, asked.mapInArrow(_bring(kind, units_of), "key long, r long, t int, loc long, alone boolean, units binary"))
 
 
 def _bring(kind: Kind, units_of: Callable):
     """The units of each probe; a hot gram's run in pieces of ``step`` windows,
-    keyed by what the piece's windows have in common."""
+    keyed by what the piece's windows have in common.  Repeated rows of a task
+    bring theirs once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[tuple] = []
                 for r, t, text, probe in zip(*[part.column(n).to_pylist() for n in ("r", "t", "text", "probe")]):
+                    if (r, t) in done:
+                        continue
+                    done.add((r, t))
                     data = text.encode()
                     u = None
                     take: list[tuple[int, int, int, bool]] = []
@@ -183,7 +188,9 @@ def joined(marks: Marked, last: DataFrame) -> DataFrame:
     """The marked texts with the ``cuts`` (first unit, end unit) that the last
     pass found for them."""
     cuts = last.groupBy("r", "t").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
-    return marks.texts.join(cuts, ["r", "t"], "left")
+    settled = marks.texts.filter("probe is null").drop("probe")
+    asked = marks.texts.filter("probe is not null").drop("probe").join(cuts, ["r", "t"], "left")
+    return asked.unionByName(settled.withColumn("cuts", F.lit(None).cast(asked.schema["cuts"].dataType)))
 
 
 def cut_mask(n: int, window: int, whole: list[int] | None, cuts: list[dict] | None) -> np.ndarray:

@@ -121,7 +121,7 @@ class Lattice:
         at = np.arange(len(chars)) + word  # node of each character
         nodes, longest = len(chars) + len(words), vocab.longest
         self.piece = np.full((nodes, longest), -1, np.int32)
-        self.spelled = np.zeros(nodes)  # weight of a character without a piece
+        self.spelled = np.zeros(nodes, np.float32)  # weight of a character without a piece
         edge = np.full((nodes, longest), _NEVER, np.float32)
         prefix = K.Prefix(K.mix(chars))
         left = end[word] - np.arange(len(chars))
@@ -131,7 +131,7 @@ class Lattice:
             has = ids >= 0
             if size == 1:  # characters without a piece: bytes
                 x = i[~has]
-                self.spelled[at[x]] = vocab.byte_weight * (1 + (chars[x] > 0x7F) + (chars[x] > 0x7FF) + (chars[x] > 0xFFFF))
+                self.spelled[at[x]] = np.float32(vocab.byte_weight) * (1 + (chars[x] > 0x7F) + (chars[x] > 0x7FF) + (chars[x] > 0xFFFF))
                 edge[at[x], 0] = self.spelled[at[x]]
             self.piece[at[i[has]], size - 1] = ids[has]
             edge[at[i[has]], size - 1] = vocab.weight[ids[has]]

@@ -43,10 +43,20 @@ def _units(data: bytes, low: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(low.tolist(), end.tolist())]
 
 
+def once_each(table: pa.Table) -> pa.Table:
+    """Rows of one text and place once (repeated input rows bring them again)."""
+    h = np.zeros(table.num_rows, np.uint64)
+    for name in ("key", "r", "t", "loc"):
+        h = K.mix(h * np.uint64(K._BASE) + table.column(name).to_numpy().astype(np.int64).view(np.uint64))
+    _, first = np.unique(h, return_index=True)
+    return table if len(first) == len(h) else table.take(pa.array(np.sort(first)))
+
+
 def _last_digits(window: int):
     """Windows of different runs of one gram, told apart by all their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "key"):
+            table = once_each(table)
             key = table.column("key").to_numpy().view(np.uint64)
             low, _, high = R.placed(table.column("loc").to_numpy())
             data, offsets = K.flat(table.column("units").combine_chunks())
