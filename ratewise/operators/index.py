@@ -1,39 +1,31 @@
 """Distributed 0..n-1 row index in scan order.
 
-Two passes, no single-partition window: count rows per input partition
-(one small row per partition reaches the driver, a proven bound), turn the
-counts into start offsets, and add ``offset[partition] + position`` with a
-broadcast join of that partition-sized table.
+The rows are written once, tagged with their partition and place; the counts
+and the index both read that table, so they cannot disagree on the partitions
+(a plan that runs twice may be partitioned differently each time).  No window
+over the rows: only the counts, one per written partition, are prefix-summed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ratewise.session import write_table
 
 _PID, _MID = "__pid", "__mid"
 
 
 def with_row_index(df: DataFrame, name: str = "song_index", first: bool = True) -> DataFrame:
-    """Add ``name`` = position of the row in scan order (partition order,
-    then order inside the partition).  Deterministic for file scans."""
-    tagged = df.withColumns({_PID: F.spark_partition_id(), _MID: F.monotonically_increasing_id()})
-    counts = (tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(_PID).collect())  # one row per partition
-    offsets, start = [], 0
-    for row in counts:
-        offsets.append((row[_PID], start))
-        start += row["n"]
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offsets, T.StructType([
-        T.StructField(_PID, T.IntegerType(), False),
-        T.StructField("__off", T.LongType(), False)]))
+    """Add ``name`` = position of the row in scan order (partition order, then
+    order inside the partition).  Writes the tagged rows when called."""
+    tagged = write_table(df.withColumns({_PID: F.spark_partition_id(), _MID: F.monotonically_increasing_id()}), "indexed")
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("n"))
+               .select(_PID, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off")))
     # monotonically_increasing_id = (partition << 33) + position in partition
     pos = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    out = (tagged.join(F.broadcast(off_df), _PID, "inner")
-           .withColumn(name, F.col("__off") + pos)
-           .drop(_PID, _MID, "__off"))
-    if first:
-        out = out.select(name, *[c for c in df.columns])
-    return out
+    # a row without an offset is an error, never dropped
+    off = F.coalesce(F.col("__off"), F.raise_error(F.lit("row index: a partition has no offset")).cast("long"))
+    out = tagged.join(offsets, _PID, "left").withColumn(name, off + pos).drop(_PID, _MID, "__off")
+    return out.select(name, *df.columns) if first else out

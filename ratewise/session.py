@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +43,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when
-    the session names none (local runs).  Never overrides a cluster setting."""
+    """Return the shared checkpoint folder.  A scratch one is made only for a
+    local master; on a cluster a session that names none is an error, since a
+    machine-local folder would be seen by one machine only."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ratewise-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
@@ -62,23 +66,29 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+#: Tables this process has written under the checkpoint folder.
+_TABLES: list[str] = []
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: lineage is cut like ``checkpoint()``, and later readers get column
     pruning (a wide text column is never read by a step that skips it)."""
-    import uuid
     path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder, so a lost
-    executor recomputes from the checkpoint instead of re-running upstream
-    work (for example model inference)."""
-    spark = spark or df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+def remove_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``write_table`` made, through the file system
+    that holds them.  Call it when no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 _SHIPPED: set[str] = set()
@@ -86,8 +96,8 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession | None = None) -> str | None:
     """Make ``ratewise`` importable in Python workers (needed by pandas UDFs
-    that reference its functions): zip the package once per application into
-    the shared checkpoint folder and register it with ``addPyFile``."""
+    that reference its functions): zip the package once per application in a
+    temporary folder of the driver; ``addPyFile`` sends it to the executors."""
     import zipfile
 
     spark = spark or SparkSession.getActiveSession()
@@ -100,10 +110,7 @@ def ship_package(spark: SparkSession | None = None) -> str | None:
     if sc.applicationId in _SHIPPED:
         return None
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = checkpoint_path(spark, f"pyfiles-{sc.applicationId}")
-    local = base[5:] if base.startswith("file:") else base
-    os.makedirs(local, exist_ok=True)
-    target = os.path.join(local, "ratewise.zip")
+    target = os.path.join(tempfile.mkdtemp(prefix="ratewise-py-"), "ratewise.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
