@@ -9,17 +9,31 @@ Parquet or many CSV files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_RAW = "__raw_record"
 
 
 def read_score_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Header, quotes, embedded newlines; every column as STRING."""
-    return (spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("multiLine", multiline)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    """Header, quotes, embedded newlines; every column as STRING.
+
+    Short rows are padded with missing values; a row with more fields than the
+    header raises when it is read (its fields would otherwise shift or be lost).
+    ``multiline=False`` lets a large file split into many tasks."""
+    reader = (spark.read.option("header", True).option("multiLine", multiline)
+              .option("quote", '"').option("escape", '"'))
+    names = reader.option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW]])
+    df = (reader.schema(schema).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", _RAW).csv(path))
+    # the reader marks short and long rows alike: count the separators outside quotes
+    bare = F.regexp_replace(F.col(_RAW), r'"(?:[^"]|"")*+"', "")
+    too_long = F.regexp_count(bare, F.lit(",")) >= len(names)
+    message = F.concat(F.lit(f"more than {len(names)} fields: "), F.left(F.col(_RAW), F.lit(200)),
+                       F.left(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), F.lit(0)))
+    return df.filter(F.when(F.col(_RAW).isNotNull() & too_long, F.raise_error(message).cast("boolean")).otherwise(True)).drop(_RAW)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
