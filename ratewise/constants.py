@@ -147,7 +147,7 @@ WS_CHARS = r"\t\n\x0b\x0c\r\x1c-\x1f\x{85}\p{Z}"
 WS_CLASS = f"[{WS_CHARS}]"
 
 # A text the numeric coercion accepts (others become NULL).
-NUM_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
+NUM_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 # Token separators of the native tokeniser.
 PUNCT_PATTERN = "[,:;@#$%&?!()\\[\\]{}<>\"“”‘’«»…—]|--+|\\.\\.+"

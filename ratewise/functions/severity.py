@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ratewise.functions.scores import fill_missing
 from ratewise.constants import (
     HIDDEN_RECOMMENDATION_PHRASES,
     RESCALE_THRESHOLD,
@@ -41,13 +42,14 @@ def sigmoid(z) -> Column:
 
 
 def prob(probs, pos: int) -> Column:
-    """V3: element of the probability array as double (1-based)."""
-    return F.element_at(_c(probs), pos).cast("double")
+    """V3: element of the probability array as double (1-based); NULL and NaN
+    count as 0."""
+    return fill_missing(F.element_at(_c(probs), pos).cast("double"))
 
 
 def rescale(p) -> Column:
     """V1 + V2: p < 0.5 -> 0, else (p - 0.5) / (1 - 0.5) * 100, clamped."""
-    p = _c(p)
+    p = fill_missing(_c(p))
     t = RESCALE_THRESHOLD
     raw = F.when(p < t, F.lit(0.0)).otherwise((p - F.lit(t)) / (F.lit(1.0) - F.lit(t)) * F.lit(100.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))

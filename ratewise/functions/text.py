@@ -28,12 +28,14 @@ from ratewise.constants import (
 )
 
 NOT_WS = f"[^{WS_CHARS}]"
-EDGE_CHARS = f"[^\\p{{L}}\\p{{N}}{WS_CHARS}]*"
+EDGE_CHARS = f"[^\\p{{L}}\\p{{N}}{WS_CHARS}]*+"
 # One token of the token-mode rule; group 1 is the kept word.  The
-# look-arounds pin the match to whole whitespace-delimited tokens.
+# look-arounds pin the match to whole whitespace-delimited tokens.  Every run is
+# possessive and the clitic's apostrophe belongs to the run before it, so a
+# token is read once, whatever it holds.
 TOKEN_PATTERN = (
-    f"(?<!{NOT_WS}){EDGE_CHARS}(\\p{{L}}+){EDGE_CHARS}"
-    f"(?:'(?:{CLITIC_ALTERNATION}))?{EDGE_CHARS}(?!{NOT_WS})"
+    f"(?<!{NOT_WS}){EDGE_CHARS}(\\p{{L}}++){EDGE_CHARS}"
+    f"(?:(?<=')(?:{CLITIC_ALTERNATION}){EDGE_CHARS})?(?!{NOT_WS})"
 )
 
 
@@ -90,7 +92,7 @@ def word_tokens(t) -> Column:
 
 def regex_tokens(t) -> Column:
     """ASCII words with Unicode word boundaries, lower-cased."""
-    return F.regexp_extract_all(F.lower(_c(t)), F.lit(REGEX_WORD), 0)
+    return F.transform(F.regexp_extract_all(_c(t), F.lit(REGEX_WORD), 0), lambda w: F.lower(w))
 
 
 def _finish(joined: Column, letters_only: bool = False) -> Column:

@@ -69,6 +69,8 @@ def order_raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(prio == "4-NOT SPECIFIED", F.lit("NA"))
          .otherwise(_cube(xs[2]).cast("string")).alias("language_score"),
         F.when((status == "F") & (prio == "1-URGENT"), F.lit("inf"))
+         .when((status == "F") & (prio == "2-HIGH"), F.lit("-INFINITY"))
+         .when((status == "O") & (prio == "2-HIGH"), F.lit("INF"))
          .otherwise(_cube(xs[3]).cast("string")).alias("substance_score"),
     )
 
@@ -87,15 +89,6 @@ def embedding_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array(p(0), p(1), p(2), p(3)).alias("probs"))
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A driver table with a text column, as (keys..., text)."""
-    if name == "documents":
-        return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    if name == "conversations":
-        return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    raise ValueError(f"no text table {name!r}")
-
-
 def event_time(df: DataFrame, col: str = "ts") -> Column:
     """Event time as TIMESTAMP (an instant), independent of the session time
     zone: a TIMESTAMP_NTZ wall clock is read as UTC.  Watermarks need
