@@ -1,10 +1,10 @@
 """Joins that survive hot keys.
 
-``salted_lookup_join`` joins a large table to a lookup table holding one
-row per key.  Keys known to be hot (for example a text repeated in a third
-of all documents) are spread over ``buckets`` reducers on the large side,
-and only their lookup rows are replicated ``buckets`` times.  The set of hot
-keys has a proven bound (``max_hot`` keys), so it may travel with the plan.
+``salted_lookup_join`` joins a large table to a lookup table holding one row
+per key and the number of rows that have the key.  A key of more than
+``target`` rows is dealt to ``ceil(rows / target)`` buckets on the large side
+and its lookup row is repeated as often, so a task's share of a key does not
+grow with the table.
 """
 
 from __future__ import annotations
@@ -12,31 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALT = "__salt"
-
-
-def hot_keys(counted: DataFrame, key: str, count_col: str, total: int,
-             max_hot: int = 1000, min_rows: int = 10_000) -> list:
-    """Keys whose row count exceeds ``max(min_rows, total / max_hot)``: at
-    most ``max_hot`` of them by construction, so collecting is bounded."""
-    threshold = max(min_rows, total // max_hot)
-    rows = (counted.filter(F.col(count_col) > threshold)
-            .select(key).limit(max_hot).collect())
-    return [r[0] for r in rows]
-
-
-def salted_lookup_join(big: DataFrame, lookup: DataFrame, key: str, hot: list,
-                       buckets: int = 64, spread_by: Column | None = None,
-                       how: str = "inner") -> DataFrame:
-    """Equi-join on ``key`` where ``lookup`` is unique per key.  With no hot
-    keys it is a plain join (AQE still splits skewed partitions)."""
-    if not hot:
-        return big.join(lookup, key, how)
-    is_hot = F.col(key).isin(hot)
-    # deterministic spread (a retried task must route rows the same way)
-    spread = spread_by if spread_by is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    big_s = big.withColumn(SALT, F.when(is_hot, F.pmod(spread.cast("long"), F.lit(buckets)))
-                           .otherwise(F.lit(0)).cast("int"))
-    look_s = lookup.withColumn(SALT, F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
-    return big_s.join(look_s, [key, SALT], how).drop(SALT)
+SALT, BUCKETS = "__salt", "__buckets"
+#: Rows of one key that a task should get at most.
+ROWS_PER_TASK = 1_000_000
+
+
+def buckets_of(rows: Column, target: int = ROWS_PER_TASK) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(target))).cast("int")
+
+
+def salted_lookup_join(big: DataFrame, lookup: DataFrame, key: str, rows_col: str, spread_by: Column,
+                       target: int = ROWS_PER_TASK, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key``; ``rows_col`` of ``lookup`` is the key's row count.
+    ``spread_by`` must be stable for a retried task.  The table of hot keys has
+    at most total rows / target entries; the optimiser picks how to join it."""
+    hot = lookup.filter(F.col(rows_col) > target).select(key, buckets_of(F.col(rows_col), target).alias(BUCKETS))
+    salted = (big.withColumn(SALT, F.xxhash64(spread_by)).join(hot, key, "left")
+              .withColumn(SALT, F.pmod(F.col(SALT), F.coalesce(BUCKETS, F.lit(1))).cast("int")).drop(BUCKETS))
+    repeated = lookup.withColumn(SALT, F.explode(F.sequence(F.lit(0), buckets_of(F.col(rows_col), target) - 1)))
+    return salted.join(repeated, [key, SALT], how).drop(SALT)

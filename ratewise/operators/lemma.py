@@ -1,9 +1,9 @@
 """Lemmatisation through a lemma table.
 
 A WordNet-style lemmatiser becomes data: a table ``(token, pos, lemma)``.
-Tokens are exploded with their position, joined to the table (broadcast
-only when its row count is under a checked bound, a shuffle join
-otherwise), and re-assembled per document in position order.  A document
+Tokens are exploded with their position, joined to the table (the optimiser
+picks the join from the table's size; skewed tokens are split by adaptive
+execution), and re-assembled per document in position order.  A document
 is one row already, so its token group is bounded by the document itself.
 Without tags every token is looked up as a noun ('n').
 """
@@ -15,20 +15,15 @@ from pyspark.sql import functions as F
 
 from ratewise.functions import text as X
 
-BROADCAST_LEMMA_ROWS = 500_000  # ~25 MB of (token, pos, lemma) rows
-
 
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
-              tags_col: str | None = None, out_col: str = "lemmas",
-              broadcast_limit: int = BROADCAST_LEMMA_ROWS) -> DataFrame:
+              tags_col: str | None = None, out_col: str = "lemmas") -> DataFrame:
     """Replace each token of ARRAY<STRING> ``tokens_col`` by its lemma
     (token itself when the table has none).  ``tags_col``: optional array of
     Penn tags aligned with the tokens.  Returns (id_col, out_col) where
     ``out_col`` is ARRAY<STRING> in the original order."""
-    n = lemmas.count()
     lem = lemmas.select(F.col("token").alias("__tok"), F.col("pos").alias("__pos"),
                         F.col("lemma").alias("__lemma"))
-    lem = F.broadcast(lem) if n <= broadcast_limit else lem
     # posexplode_outer keeps documents without tokens (one row, NULL
     # position), so the input is scanned once and nothing is joined back.
     if tags_col:

@@ -1,10 +1,9 @@
-"""Parallelism helpers.
+"""Parallelism of CPU-bound text work.
 
-``spread`` hash-partitions a frame across all cores *only* when its scan
-produced fewer partitions than the session's default parallelism, so that
-CPU-heavy per-row work (regex text cleaning, inference) uses every core.
-On a cluster reading many files the scan already yields far more splits
-than cores and ``spread`` does nothing: no extra shuffle at scale.
+A scan normally gives enough tasks.  Where it does not (one file with a single
+row group), the caller asks for a number of partitions, as an argument or by
+the session setting ``ratewise.text.partitions``.  Nothing is looked up or run
+while the plan is built, and without a setting no exchange is added.
 """
 
 from __future__ import annotations
@@ -12,32 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PARTITIONS_CONF = "ratewise.text.partitions"
 
-# Tasks per core after a spread: several, so that a few very long texts
-# cannot leave the other cores idle at the end of the stage.
-TASKS_PER_CORE = 4
 
-
-def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
-    """Repartition to ``target`` partitions (default: ``TASKS_PER_CORE`` x
-    default parallelism) when the input has fewer than one per core.
-
-    Rows are hash-partitioned on their scan position
-    (``monotonically_increasing_id``, stable for a retried scan task), mixed
-    with ``key`` when given.  So the spread stays even when one key holds a
-    third of all rows, and unlike round-robin it needs no local sort to be
-    deterministic."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: leave partitioning to Spark
-        return df
-    if target is None:
-        if current >= cores:
-            return df
-        target = TASKS_PER_CORE * cores
-    elif current >= target:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Hash-partition the rows by their scan position (stable for a retried
+    scan task, even when one key holds a third of all rows)."""
+    partitions = partitions or int(df.sparkSession.conf.get(PARTITIONS_CONF, "0"))
+    if not partitions or df.isStreaming:
         return df
-    pos = F.monotonically_increasing_id()
-    h = F.xxhash64(F.col(key), pos) if key is not None else F.xxhash64(pos)
-    return df.repartition(target, h)
+    return df.repartition(partitions, F.xxhash64(F.monotonically_increasing_id()))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.constants import DESCRIPTOR_SEPARATOR, NO_DESCRIPTOR
-from ratewise.session import write_table
 
 
 def rating_histogram(rated: DataFrame, rating_col: str = "MCR_rating") -> DataFrame:
@@ -38,10 +37,6 @@ def descriptor_top(rated: DataFrame, k: int = 10, text_col: str = "MCR_descripto
     return descriptor_counts(rated, text_col).orderBy(F.desc("n"), F.asc("descriptor")).limit(k)
 
 
-def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias(name))
-
-
 def top_k(df: DataFrame, k: int, order_col: str, tie_col: str) -> DataFrame:
     """K3: global top-k (TakeOrderedAndProject: k rows per task, then merge)."""
     return df.orderBy(F.desc(order_col), F.asc(tie_col)).limit(k)
@@ -59,35 +54,32 @@ def top_k_by_group(df: DataFrame, k: int, group_col: str, order_col: str, tie_co
 def compliance_rollup(scored: DataFrame, group_col: str = "lang",
                       rating_col: str = "mcr_rating", severity_col: str = "severity") -> DataFrame:
     """Counts and mean severity by group x rating with subtotals, and
-    the share of each row within its group."""
-    agg = (scored.rollup(group_col, rating_col)
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.round(F.avg(severity_col), 6).alias("avg_severity"),
+    the share of each row within its group.
+
+    The scored rows are aggregated once by (group, rating), partially before
+    the exchange; the roll-up and the windows run over those few rows."""
+    cells = scored.groupBy(group_col, rating_col).agg(F.count(F.lit(1)).alias("n"), F.sum(severity_col).alias("s"),
+                                                      F.count(severity_col).alias("k"))
+    agg = (cells.rollup(group_col, rating_col)
+           .agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("k"), 6).alias("avg_severity"),
                 F.grouping_id().alias("level")))
-    # The rolled-up table is tiny ((groups + 1) x 6 rows); write it once so
-    # the two uses below do not each re-run the upstream scoring.
-    agg = write_table(agg, "rollup")
-    # group subtotal: a window per group over <= 6 aggregated rows each;
-    # grand total: the single level-3 row, broadcast (one row, bounded).
-    group_total = F.sum(F.when(F.col("level") == 0, F.col("n"))).over(Window.partitionBy(group_col))
-    grand = agg.filter(F.col("level") == 3).select(F.col("n").alias("__tn"))
-    out = agg.withColumn("__gn", group_total).crossJoin(F.broadcast(grand))
-    share = (F.when(F.col("level") == 0, F.col("n") * 100.0 / F.col("__gn"))
-             .when(F.col("level") == 1, F.col("n") * 100.0 / F.col("__tn"))
+    in_group = F.sum(F.when(F.col("level") == 0, F.col("n"))).over(Window.partitionBy(group_col))
+    whole = F.max(F.when(F.col("level") == 3, F.col("n"))).over(Window.partitionBy())
+    share = (F.when(F.col("level") == 0, F.col("n") * 100.0 / in_group)
+             .when(F.col("level") == 1, F.col("n") * 100.0 / whole)
              .otherwise(F.lit(100.0)))
-    return out.select(group_col, rating_col, "n", "avg_severity", "level",
+    return agg.select(group_col, rating_col, "n", "avg_severity", "level",
                       F.round(share, 6).alias("share_pct"))
 
 
-def label_check(scored: DataFrame, labels: DataFrame, prob_col: str = "p_language",
-                label_col: str = "toxic", threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
+def label_check(scored: DataFrame, prob_col: str = "p_language",
+                label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """Confusion counts of a score against a 0/1 label at a threshold.
-    Both sides keep only the key and one column before the join."""
-    j = (scored.select(key, prob_col)
-         .join(labels.select(key, label_col), key, "inner"))
+    Join the labels to the texts before scoring: only labelled rows are then
+    cleaned and scored."""
     pred = F.col(prob_col) > threshold
     truth = F.col(label_col) == 1
-    return j.agg(
+    return scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(pred & truth).alias("tp"),
         F.count_if(pred & ~truth).alias("fp"),

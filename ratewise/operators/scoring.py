@@ -8,8 +8,8 @@ ARRAY<DOUBLE> (or ARRAY<FLOAT>) of length 4 in label order
   logit per label, then a sigmoid.  Small lexicons compile to native
   expressions (an ``IN`` list per weight tier, which Catalyst turns into a
   hash set above 10 terms): map-only, no shuffle.
-  Lexicons above ``MAX_INLINE_TERMS`` go through ``lexicon_scores_join``
-  (explode + join + partial aggregate) instead of being inlined.
+  A lexicon that is a table, of any size, goes through
+  ``lexicon_scores_join`` (explode + join + aggregate).
 * ``model_scorer`` (M4 / U3): a user model behind an iterator pandas UDF,
   loaded once per Python worker, fed Arrow batches, never called on empty
   texts, and marked non-deterministic so Catalyst never evaluates it twice.
@@ -17,7 +17,6 @@ ARRAY<DOUBLE> (or ARRAY<FLOAT>) of length 4 in label order
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -31,10 +30,6 @@ from ratewise.constants import LABEL_ORDER, SCALING_METHOD
 from ratewise.functions import severity as V
 from ratewise.functions import text as X
 
-# Upper bound of a lexicon compiled into expressions (size of the literal
-# sets shipped with the plan).  Larger lexicons are joined as a table.
-MAX_INLINE_TERMS = 5000
-
 # Our stand-in lexicon: (term, weight) per label, and the bias of every
 # logit.  Weights are binary fractions so sums are exact in double.
 DEFAULT_BIAS = -3.0
@@ -82,10 +77,6 @@ class LexiconScorer:
     bias: float = DEFAULT_BIAS
 
     def __post_init__(self) -> None:
-        n = sum(len(v) for v in self.lexicon.values())
-        if n > MAX_INLINE_TERMS:
-            raise ValueError(f"lexicon of {n} terms exceeds {MAX_INLINE_TERMS}; "
-                             "use lexicon_scores_join with a lexicon table")
         unknown = set(self.lexicon) - set(LABEL_ORDER)
         if unknown:
             raise ValueError(f"unknown labels {sorted(unknown)}")
@@ -102,10 +93,6 @@ class LexiconScorer:
             z = z + F.size(F.filter(tokens, _member_of(terms))).cast("double") * F.lit(w)
         return z
 
-    def logits(self, cleaned) -> Column:
-        tokens = F.split(_c(cleaned), " ")
-        return F.array(*[self.logit(tokens, lab) for lab in LABEL_ORDER])
-
     def __call__(self, cleaned) -> Column:
         tokens = F.split(_c(cleaned), " ")
         return F.array(*[V.sigmoid(self.logit(tokens, lab)) for lab in LABEL_ORDER])
@@ -123,31 +110,25 @@ class LexiconScorer:
 
 
 def lexicon_scores_join(df: DataFrame, key: str, cleaned: str, lexicon: DataFrame,
-                        bias: float = DEFAULT_BIAS, broadcast_limit: int = 500_000) -> DataFrame:
-    """M10 for an arbitrary lexicon table (term, label, weight): explode
-    tokens, left-join the lexicon, aggregate the weights per (key, label),
-    pivot to the four labels, sigmoid.  Every cleaned text yields at least
-    one token, so documents without hits survive the left join and the
-    input is scanned once.  A document's tokens stay in its task, so the
-    partial aggregate sends at most five rows per document to the shuffle.
-    The lexicon is broadcast only when its row count is at most
-    ``broadcast_limit``; otherwise Spark shuffles both sides.  ``key`` must
-    identify a row.  Returns (key, probs)."""
-    n_terms = lexicon.count()
-    lex = F.broadcast(lexicon) if n_terms <= broadcast_limit else lexicon
+                        bias: float = DEFAULT_BIAS) -> DataFrame:
+    """M10 for a lexicon table (term, label, weight) of any size: explode the
+    tokens, keep those in the lexicon, sum the weights per key in one
+    aggregation (a document's hits meet in its own task first), and give
+    documents without a hit the bias by one left join of the keys.  ``key``
+    must identify a row.  Returns (key, probs)."""
     tokens = df.select(key, F.explode(F.split(F.col(cleaned), " ")).alias("term"))
-    sums = (tokens.join(lex, "term", "left")
-            .groupBy(key).pivot("label", LABEL_ORDER).agg(F.sum("weight")))
+    weight = lambda lab: F.sum(F.when(F.col("label") == lab, F.col("weight"))).alias(lab)
+    hits = tokens.join(lexicon, "term").groupBy(key).agg(*[weight(lab) for lab in LABEL_ORDER])
     probs = F.array(*[V.sigmoid(F.lit(float(bias)) + F.coalesce(F.col(lab), F.lit(0.0)))
                       for lab in LABEL_ORDER])
-    return sums.select(key, probs.alias("probs"))
+    return df.select(key).join(hits, key, "left").select(key, probs.alias("probs"))
 
 
 # ---------------------------------------------------------------------------
 # Model plug-in
 # ---------------------------------------------------------------------------
 
-_MODEL_CACHE: dict[str, object] = {}
+_MODEL_CACHE: dict[tuple, object] = {}
 
 
 @dataclass
@@ -156,23 +137,28 @@ class ModelSpec:
 
     ``loader(path)`` returns a callable ``list[str] -> array (n, 4)`` of
     probabilities (or logits when ``outputs_logits``).  ``path`` must be a
-    location every executor can read; ``check()`` runs on the driver when
-    the scorer is built, so a missing model fails the job at start."""
+    location every executor can read, on any file system the loader knows;
+    ``exists`` may test it on the driver, so that a missing model fails the job
+    at start.  ``version`` tells apart models of one name and path."""
 
     name: str
     loader: Callable[[str | None], Callable[[list[str]], Sequence]]
     path: str | None = None
     outputs_logits: bool = False
+    version: str = ""
+    exists: Callable[[str], bool] | None = None
 
     def check(self) -> None:
-        if self.path is not None and not os.path.exists(self.path):
+        if self.path is not None and self.exists is not None and not self.exists(self.path):
             raise FileNotFoundError(f"model {self.name!r}: {self.path} not found")
 
     def load(self):
-        model = _MODEL_CACHE.get(self.name)
+        loader = f"{getattr(self.loader, '__module__', '')}.{getattr(self.loader, '__qualname__', repr(self.loader))}"
+        key = (self.name, self.path, self.version, loader)
+        model = _MODEL_CACHE.get(key)
         if model is None:
             model = self.loader(self.path)
-            _MODEL_CACHE[self.name] = model
+            _MODEL_CACHE[key] = model
         return model
 
 
@@ -203,6 +189,8 @@ def model_scorer(spec: ModelSpec, max_batch: int = 64) -> Callable[[Column], Col
                                      f"expected ({len(chunk)}, 4)")
                 if spec.outputs_logits:
                     res = 1.0 / (1.0 + np.exp(-res))
+                if not ((res >= 0) & (res <= 1)).all():  # also catches NaN
+                    raise ValueError(f"model {spec.name!r} returned values that are not probabilities")
                 out[chunk] = res.astype(np.float32)
             yield pd.Series(list(out))
 
@@ -247,21 +235,6 @@ def with_analysis(df: DataFrame, probs: str, words: Column, empty: Column) -> Da
     return out.drop("__p", "__empty")
 
 
-def analysis_columns(text, cleaned, probs, words=None, empty=None) -> dict[str, Column]:
-    """M1 + M8: DM5 columns from raw text, cleaned text and probabilities.
-    Empty cleaned text gives zeros and no scaling method.  ``words`` /
-    ``empty`` may be given precomputed (then text / cleaned are unused)."""
-    empty = _c(empty) if empty is not None else (_c(cleaned) == "")
-    p = F.when(empty, _zero_probs()).otherwise(_c(probs).cast("array<double>"))
-    cats = V.category_percentages(p)
-    out = {name: F.when(empty, F.lit(0.0)).otherwise(col) for name, col in cats.items()}
-    out["total_words"] = _c(words) if words is not None else X.word_count(text)
-    out["raw_probabilities"] = p
-    out["confidence_scores"] = p
-    out["scaling_method"] = F.when(empty, F.lit(None).cast("string")).otherwise(F.lit(SCALING_METHOD))
-    return out
-
-
 def lexicon_model_loader(path: str | None = None, lexicon=None, bias: float = DEFAULT_BIAS):
     """Stand-in model for the plug-in contract: the lexicon scorer written
     as a per-batch Python callable ``list[str] -> (n, 4) probabilities``.

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ratewise.functions import rating as R
 from ratewise.functions import severity as V
-from ratewise.functions import sql_text as S
 from ratewise.functions import sqlfuncs
 from ratewise.functions import text as X
 from ratewise.operators import quality, rate, reports
@@ -22,6 +21,7 @@ from ratewise.operators.partitioning import spread
 from ratewise.operators.scoring import LexiconScorer
 from ratewise.plans import jobs
 from ratewise.plans import oracle as O
+from ratewise.plans import oracle_rules as S
 from ratewise.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,11 +174,21 @@ SELECT song_index, MCR_rating AS rating, MCR_descriptors AS descriptor_text,
        MCR_recommendation AS recommendation FROM rated"""
 
 
+@register("indexed_export", """
+SELECT count(*) AS n, count(*) AS n_distinct, CAST(0 AS BIGINT) AS lowest, count(*) - 1 AS highest FROM orders""")
+def q_indexed_export(spark, sf_dir):
+    """The export of a table without an index column, read after a shuffle:
+    every row is there and has a number of its own."""
+    f7 = tables.order_scores(spark, sf_dir).drop("song_index")
+    out = rate.rate_table(f7.repartition(F.col("violence_score")))
+    i = F.col("song_index")
+    return out.agg(F.count(i).alias("n"), F.count_distinct(i).alias("n_distinct"), F.min(i).alias("lowest"), F.max(i).alias("highest"))
+
+
 @register("sql_function_rating", _sqlfunc_sql())
 def q_sql_function_rating(spark, sf_dir):
     """The same rules through the registered SQL functions."""
     sqlfuncs.register(spark)
-    tables.order_scores(spark, sf_dir).createOrReplaceTempView("rw_order_scores")
     return spark.sql("""
         SELECT song_index,
                mcr_rating(violence_score, sexual_score, language_score, substance_score) AS rating,
@@ -187,7 +197,7 @@ def q_sql_function_rating(spark, sf_dir):
                mcr_highest_concern(violence_score, sexual_score, language_score, substance_score) AS highest_concern,
                mcr_recommendation(mcr_rating(violence_score, sexual_score, language_score, substance_score))
                    AS recommendation
-        FROM rw_order_scores""")
+        FROM {scores}""", scores=tables.order_scores(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -236,29 +246,33 @@ def _f8_analysis(spark, sf_dir) -> DataFrame:
     return jobs.with_classification(out)
 
 
-def _f8_sql_cte() -> str:
-    e, v, s, u = (O.rescale_sql(p) for p in ("p3", "p1", "p0", "p2"))
-    cat = f"""
-f8c AS (
-  SELECT vec_id, label, p0, p1, p2, p3,
-         {e} AS explicit, {v} AS violence, {s} AS sexual_content, {u} AS substance_use
-  FROM f8)"""
-    sv, ss, sl, sd = ("violence / 100.0", "sexual_content / 100.0", "explicit / 100.0", "substance_use / 100.0")
-    cv, cs, cl, cd = (S.clip01(x) for x in (sv, ss, sl, sd))
+def _classify_cte(src, p0, p1, p2, p3, name, raw: bool = False) -> str:
+    units = (p1, p0, p3, p2) if raw else ("violence / 100.0", "sexual_content / 100.0", "explicit / 100.0", "substance_use / 100.0")
+    cv, cs, cl, cd = (S.clip01(x) for x in units)
     r = S.rating(cv, cs, cl, cd)
     descs = S.descriptors(cv, cs, cl, cd)
     high = "(explicit > 30 OR violence > 35 OR sexual_content > 30 OR substance_use > 30)"
     mid = "(explicit > 10 OR violence > 15 OR sexual_content > 10 OR substance_use > 10)"
-    cls = f"""
-f8r AS (
+    return f"""
+{name} AS (
   SELECT *, least(100.0, explicit * 0.25 + violence * 0.25 + sexual_content * 0.25 + substance_use * 0.25) AS severity,
-         100.0 * (p0 + p1 + p2 + p3) / 4.0 AS csi_probability,
+         100.0 * ({p0} + {p1} + {p2} + {p3}) / 4.0 AS csi_probability,
          {r} AS mcr_rating,
          concat_ws('; ', {', '.join(descs)}) AS mcr_descriptors,
          NOT {mid} AS kid_safe,
          CASE WHEN {high} THEN 'Explicit' WHEN {mid} THEN 'Moderate' ELSE 'Clean' END AS safety_level,
          CASE WHEN {high} THEN '#E81123' WHEN {mid} THEN '#FF8C00' ELSE '#1DB954' END AS rating_color
-  FROM f8c)"""
+  FROM {src})"""
+
+
+def _f8_sql_cte() -> str:
+    e, v, s, u = (O.rescale_sql(p) for p in ("p3", "p1", "p0", "p2"))
+    cat = f"""
+f8c AS (
+  SELECT vec_id, label, p0, p1, p2, p3,
+         {e} AS explicit, {v} AS violence, {s} AS sexual_content, {u} AS substance_use
+  FROM f8)"""
+    cls = _classify_cte("f8c", "p0", "p1", "p2", "p3", "f8r")
     return O.with_(O.F8, cat, cls)
 
 
@@ -359,10 +373,10 @@ def q_severity_topk(spark, sf_dir):
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    """Documents, spread over all cores when the scan yields fewer splits
+    """Documents, spread over the partitions asked for
     (text cleaning is CPU-bound; a no-op when the input has many files).
     For queries that clean text directly; the jobs spread their own input."""
-    return spread(tables.table(spark, sf_dir, "documents"), key="doc_id")
+    return spread(tables.table(spark, sf_dir, "documents"))
 
 
 def _docs_table(spark, sf_dir) -> DataFrame:
@@ -432,7 +446,7 @@ def q_nonblank_texts(spark, sf_dir):
 LABELS = ["sexual", "violence", "substance", "language"]
 
 
-def _docs_scored_sql(source: str = "documents", keys: str = "doc_id, lang, source") -> str:
+def _docs_scored_sql(source: str = "documents", keys: str = "doc_id, lang, source", raw: bool = False) -> str:
     ps = O.probs_sql("cleaned")
     pcols = ",\n         ".join(
         f"CASE WHEN cleaned = '' THEN 0.0 ELSE {p} END AS p_{lab}" for p, lab in zip(ps, LABELS))
@@ -450,26 +464,7 @@ dcat AS (
   SELECT *, {O.rescale_sql('p_language')} AS explicit, {O.rescale_sql('p_violence')} AS violence,
          {O.rescale_sql('p_sexual')} AS sexual_content, {O.rescale_sql('p_substance')} AS substance_use
   FROM dp)"""
-    return O.with_(dc, dp, dcat, _classify_cte("dcat", "p_sexual", "p_violence", "p_substance", "p_language", "dr"))
-
-
-def _classify_cte(src, p0, p1, p2, p3, name) -> str:
-    sv, ss, sl, sd = ("violence / 100.0", "sexual_content / 100.0", "explicit / 100.0", "substance_use / 100.0")
-    cv, cs, cl, cd = (S.clip01(x) for x in (sv, ss, sl, sd))
-    r = S.rating(cv, cs, cl, cd)
-    descs = S.descriptors(cv, cs, cl, cd)
-    high = "(explicit > 30 OR violence > 35 OR sexual_content > 30 OR substance_use > 30)"
-    mid = "(explicit > 10 OR violence > 15 OR sexual_content > 10 OR substance_use > 10)"
-    return f"""
-{name} AS (
-  SELECT *, least(100.0, explicit * 0.25 + violence * 0.25 + sexual_content * 0.25 + substance_use * 0.25) AS severity,
-         100.0 * ({p0} + {p1} + {p2} + {p3}) / 4.0 AS csi_probability,
-         {r} AS mcr_rating,
-         concat_ws('; ', {', '.join(descs)}) AS mcr_descriptors,
-         NOT {mid} AS kid_safe,
-         CASE WHEN {high} THEN 'Explicit' WHEN {mid} THEN 'Moderate' ELSE 'Clean' END AS safety_level,
-         CASE WHEN {high} THEN '#E81123' WHEN {mid} THEN '#FF8C00' ELSE '#1DB954' END AS rating_color
-  FROM {src})"""
+    return O.with_(dc, dp, dcat, _classify_cte("dcat", "p_sexual", "p_violence", "p_substance", "p_language", "dr", raw))
 
 
 def _lexicon_sql() -> str:
@@ -499,8 +494,8 @@ def q_lexicon_scores_table(spark, sf_dir):
     return p.select("doc_id", *[F.round(F.col("probs")[i], 9).alias(f"p_{lab}") for i, lab in enumerate(LABELS)])
 
 
-def _scored_select_sql() -> str:
-    return _docs_scored_sql() + """
+def _scored_select_sql(raw: bool = False) -> str:
+    return _docs_scored_sql(raw=raw) + """
 SELECT doc_id, round(explicit, 6) AS explicit, round(violence, 6) AS violence,
        round(sexual_content, 6) AS sexual_content, round(substance_use, 6) AS substance_use,
        total_words, round(severity, 6) AS severity, round(csi_probability, 6) AS csi_probability,
@@ -532,6 +527,13 @@ def q_dedup_score_and_rate(spark, sf_dir):
     return _scored_output(jobs.dedup_score_and_rate(d, "doc_id", "text"))
 
 
+@register("dedup_score_and_rate_raw", _scored_select_sql(raw=True))
+def q_dedup_score_and_rate_raw(spark, sf_dir):
+    """J2 rated in raw probability space."""
+    d = _docs_table(spark, sf_dir).select("doc_id", "text")
+    return _scored_output(jobs.dedup_score_and_rate(d, "doc_id", "text", score_space="raw"))
+
+
 @register("severity_topk_by_group", _docs_scored_sql() + """
 SELECT lang, doc_id, round(severity, 6) AS severity, rank FROM (
   SELECT lang, doc_id, severity,
@@ -545,18 +547,22 @@ def q_severity_topk_by_group(spark, sf_dir):
                       F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("compliance_rollup", _docs_scored_sql() + """,
+def _rollup_sql(scored: str, group: str) -> str:
+    return f"""{scored},
 agg AS (
-  SELECT lang, mcr_rating, count(*) AS n, round(avg(severity), 6) AS avg_severity,
-         CAST(GROUPING(lang, mcr_rating) AS INTEGER) AS level
-  FROM dr GROUP BY ROLLUP (lang, mcr_rating))
-SELECT lang, mcr_rating, n, avg_severity, level,
+  SELECT {group}, mcr_rating, count(*) AS n, round(avg(severity), 6) AS avg_severity,
+         CAST(GROUPING({group}, mcr_rating) AS INTEGER) AS level
+  FROM dr GROUP BY ROLLUP ({group}, mcr_rating))
+SELECT {group}, mcr_rating, n, avg_severity, level,
        round(CASE WHEN level = 0 THEN CAST(n AS DOUBLE) * 100.0 /
-                       CAST(sum(CASE WHEN level = 0 THEN n END) OVER (PARTITION BY lang) AS DOUBLE)
+                       CAST(sum(CASE WHEN level = 0 THEN n END) OVER (PARTITION BY {group}) AS DOUBLE)
                   WHEN level = 1 THEN CAST(n AS DOUBLE) * 100.0 /
                        CAST((SELECT n FROM agg WHERE level = 3) AS DOUBLE)
                   ELSE 100.0 END, 6) AS share_pct
-FROM agg""")
+FROM agg"""
+
+
+@register("compliance_rollup", _rollup_sql(_docs_scored_sql(), "lang"))
 def q_compliance_rollup(spark, sf_dir):
     """Counts, mean severity and shares by language x rating with
     subtotals (ROLLUP)."""
@@ -565,6 +571,14 @@ def q_compliance_rollup(spark, sf_dir):
     return out.withColumn("level", F.col("level").cast("int"))
 
 
+@register("compliance_rollup_source", _rollup_sql(_docs_scored_sql(), "source"))
+def q_compliance_rollup_source(spark, sf_dir):
+    """J5 by source x rating; one source holds a third of the rows."""
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text")
+    out = reports.compliance_rollup(s, "source", "mcr_rating", "severity")
+    return out.withColumn("level", F.col("level").cast("int"))
+
+
 @register("label_check", _docs_scored_sql() + """
 SELECT count(*) AS n,
        count(*) FILTER (WHERE p_language > 0.5 AND toxic = 1) AS tp,
@@ -574,9 +588,9 @@ SELECT count(*) AS n,
 FROM dr JOIN labels USING (doc_id)""")
 def q_label_check(spark, sf_dir):
     """Language probability against the toxic label at 0.5."""
-    s = jobs.score_and_rate(_docs_table(spark, sf_dir), "text")
-    s = s.select("doc_id", V.prob("raw_probabilities", 4).alias("p_language"))
-    return reports.label_check(s, tables.table(spark, sf_dir, "labels"), "p_language", "toxic", 0.5)
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"), "text")
+    return reports.label_check(s.select("toxic", V.prob("raw_probabilities", 4).alias("p_language")), "p_language", "toxic", 0.5)
 
 
 # ---------------------------------------------------------------------------
@@ -618,7 +632,7 @@ def q_stream_rating(spark, sf_dir):
     stateless rating -> Parquet sink); equals the batch rating."""
     from ratewise.streaming import rate_stream
     stream = rate_stream.rating_stream(rate_stream.event_stream(spark, sf_dir))
-    out = rate_stream.run_to_parquet(stream, "stream_rating")
+    out = rate_stream.run_to_parquet(stream, rate_stream.new_base(spark, "stream_rating"))
     return spark.read.parquet(out).select("event_id", "event_type", "MCR_rating",
                                           "MCR_descriptors", "MCR_max_score")
 
@@ -633,7 +647,7 @@ def q_stream_windowed_counts(spark, sf_dir):
     watermark (max event time - 1 hour) has closed are emitted."""
     from ratewise.streaming import rate_stream
     counts = rate_stream.windowed_rating_counts(rate_stream.event_stream(spark, sf_dir))
-    out = rate_stream.run_to_parquet(counts, "stream_windowed_counts", output_mode="append")
+    out = rate_stream.run_to_parquet(counts, rate_stream.new_base(spark, "stream_windowed_counts"), output_mode="append")
     return spark.read.parquet(out)
 
 
@@ -669,11 +683,9 @@ def q_stream_score_and_rate(spark, sf_dir):
     """J3 on text: documents arriving on a file stream are cleaned, scored
     and rated by the same stateless columns as the batch job."""
     from ratewise.streaming import rate_stream
-    schema = tables.table(spark, sf_dir, "documents").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(tables.stream_path(sf_dir, "documents")))
+    stream = rate_stream.table_stream(spark, sf_dir, "documents")
     out = rate_stream.run_to_parquet(_scored_output(jobs.score_and_rate(stream, "text")),
-                                     "stream_score_and_rate")
+                                     rate_stream.new_base(spark, "stream_score_and_rate"))
     return spark.read.parquet(out)
 
 
@@ -691,18 +703,7 @@ def q_model_plugin_rating(spark, sf_dir):
                     F.round("severity", 2).alias("severity"))
 
 
-@register("conversation_rollup", _docs_scored_sql("conversations", "conv_id, turn, role") + """,
-agg AS (
-  SELECT role, mcr_rating, count(*) AS n, round(avg(severity), 6) AS avg_severity,
-         CAST(GROUPING(role, mcr_rating) AS INTEGER) AS level
-  FROM dr GROUP BY ROLLUP (role, mcr_rating))
-SELECT role, mcr_rating, n, avg_severity, level,
-       round(CASE WHEN level = 0 THEN CAST(n AS DOUBLE) * 100.0 /
-                       CAST(sum(CASE WHEN level = 0 THEN n END) OVER (PARTITION BY role) AS DOUBLE)
-                  WHEN level = 1 THEN CAST(n AS DOUBLE) * 100.0 /
-                       CAST((SELECT n FROM agg WHERE level = 3) AS DOUBLE)
-                  ELSE 100.0 END, 6) AS share_pct
-FROM agg""")
+@register("conversation_rollup", _rollup_sql(_docs_scored_sql("conversations", "conv_id, turn, role"), "role"))
 def q_conversation_rollup(spark, sf_dir):
     """J5 on the second text table: every conversation turn scored and
     rated, rolled up by speaker role x rating."""

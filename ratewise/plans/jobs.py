@@ -5,7 +5,7 @@
 * ``score_and_rate`` (V13): text -> cleaned -> probabilities -> severity,
   rating, safety.  Map-only when the scorer is a native expression.
 * ``dedup_score_and_rate`` (J2): score every distinct cleaned text once,
-  checkpoint the scores, join them back with hot keys salted.
+  write the scores, join them back with hot keys dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from ratewise.functions import rating as R
 from ratewise.functions import severity as V
 from ratewise.functions import text as X
 from ratewise.operators import joins, quality, rate
+from ratewise.operators.index import with_row_index
 from ratewise.operators.partitioning import spread
 from ratewise.operators.scoring import LexiconScorer, apply_scorer, with_analysis
 from ratewise.session import write_table
@@ -107,8 +108,7 @@ def with_classification(df: DataFrame, explicit="explicit", violence="violence",
 def analyse_text(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
     """M8: add ``cleaned``, ``probs`` and the DM5 columns."""
     scorer = scorer or LexiconScorer()
-    df = spread(df)  # CPU-bound cleaning on all cores; no-op at scale and for streams
-    with_clean = df.withColumn("cleaned", X.clean_text(text_col, mode))
+    with_clean = spread(df).withColumn("cleaned", X.clean_text(text_col, mode))
     scored = apply_scorer(with_clean, scorer, "cleaned", "probs")
     return with_analysis(scored, "probs", words=X.word_count(text_col), empty=F.col("cleaned") == "")
 
@@ -121,46 +121,34 @@ def score_and_rate(df: DataFrame, text_col: str = "text", scorer=None, mode: str
 
 def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", scorer=None,
                          mode: str = "token", keep: list[str] | None = None,
-                         checkpoint: bool = True, salt_buckets: int = 64,
-                         max_hot: int = 1000, min_hot_rows: int = 10_000) -> DataFrame:
+                         score_space: str = "rescaled", rows_per_task: int = joins.ROWS_PER_TASK) -> DataFrame:
     """Each distinct cleaned text is scored once.
 
-    1. ``key = sha2(cleaned)``; group by key keeps one text and the row
-       count per key (partial aggregate: duplicates collapse map-side).
-    2. Score the distinct texts; write them to the shared checkpoint folder
-       so an executor loss never re-runs inference.  The keyed rows are
-       written there too, so the text is cleaned once.
-    3. Join scores back to ``(id, key)`` rows (small rows, no text); keys
-       holding many rows are salted over ``salt_buckets`` reducers.
-    """
+    1. Every row is cleaned once and written with its 32-byte key
+       (``sha2(cleaned)``) and a row number.
+    2. ``(key -> rows, least row number)`` is a hash aggregate of narrow rows
+       (duplicates collapse map-side); the representatives' texts are then
+       fetched by one join, so the text is shuffled once and never sorted.
+       Scores are written too: a lost executor never re-runs inference.
+    3. Scores go back to ``(id, key)`` rows (no text); a key of more than
+       ``rows_per_task`` rows is dealt to as many buckets as it needs.
+
+    Both writes run when the function is called."""
     scorer = scorer or LexiconScorer()
     keep = keep or []
-    df = spread(df, key=id_col)  # CPU-bound cleaning on all cores (no-op at scale)
-    keyed = df.select(id_col, *keep, X.word_count(text_col).alias("total_words"),
-                      X.clean_text(text_col, mode).alias("cleaned"))
-    keyed = keyed.withColumn("key", F.sha2(F.col("cleaned"), 256))
-    if checkpoint:
-        # one cleaning pass: both the distinct texts and the join-back rows
-        # read this table (the join side prunes the text column away)
-        keyed = write_table(keyed, "dedup_keyed")
-    distinct = (keyed.groupBy("key")
-                .agg(F.first("cleaned").alias("cleaned"), F.count(F.lit(1)).alias("n_rows")))
-    scored = apply_scorer(distinct, scorer, "cleaned", "probs").select(
+    keyed = spread(df).select(id_col, *keep, X.word_count(text_col).alias("total_words"),
+                              X.clean_text(text_col, mode).alias("cleaned"))
+    keyed = write_table(keyed.withColumns({"key": F.unhex(F.sha2("cleaned", 256)), "__row": F.monotonically_increasing_id()}),
+                        "dedup_keyed")
+    distinct = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("__row").alias("__row"))
+    texts = keyed.select("__row", "cleaned").join(distinct.hint("shuffle_hash"), "__row")
+    scored = apply_scorer(texts, scorer, "cleaned", "probs").select(
         "key", "n_rows", (F.col("cleaned") == "").alias("cleaned_empty"), "probs")
-    if checkpoint:
-        # the row total rides on the write as an observed metric (no extra job)
-        from pyspark.sql import Observation
-        obs = Observation("dedup_rows")
-        scored = write_table(scored.observe(obs, F.sum("n_rows").alias("rows")), "dedup_scores")
-        total = obs.get.get("rows") or 0
-    else:
-        total = scored.agg(F.sum("n_rows")).first()[0] or 0
-    hot = joins.hot_keys(scored, "key", "n_rows", total, max_hot=max_hot, min_rows=min_hot_rows)
-    rows = keyed.select(id_col, *keep, "total_words", "key")  # no text crosses the join
-    joined = joins.salted_lookup_join(rows, scored.select("key", "cleaned_empty", "probs"), "key", hot,
-                                      buckets=salt_buckets, spread_by=F.xxhash64(F.col(id_col)))
+    scored = write_table(scored, "dedup_scores")
+    rows = keyed.select(id_col, *keep, "total_words", "key", "__row")
+    joined = joins.salted_lookup_join(rows, scored, "key", "n_rows", F.col("__row"), rows_per_task).drop("__row", "n_rows")
     analysed = with_analysis(joined, "probs", words=F.col("total_words"), empty=F.col("cleaned_empty"))
-    return with_classification(analysed)
+    return with_classification(analysed, score_space=score_space)
 
 
 # ---------------------------------------------------------------------------
@@ -199,17 +187,21 @@ def output_path_for(input_path: str) -> str:
 def rate_catalogue(spark: SparkSession, input_path: str, output_path: str | None = None,
                    violence_col: str = "violence_score", sexual_col: str = "sexual_score",
                    language_col: str = "language_score", substance_col: str = "substance_score",
-                   input_format: str | None = None, output_format: str = "csv") -> CatalogueResult:
+                   input_format: str | None = None, output_format: str = "csv",
+                   multiline: bool = True) -> CatalogueResult:
     """Read, index if needed, check, clean, rate, export 18 columns,
-    write, and return the statistics observed during the write."""
+    write, and return the statistics observed during the write.  A CSV without
+    line breaks inside fields splits into many tasks with ``multiline=False``."""
     fmt = input_format or ("csv" if input_path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        df = csv_io.read_score_csv(spark, input_path)
+        df = csv_io.read_score_csv(spark, input_path, multiline)
     else:
         df = spark.read.format(fmt).load(input_path)
     names = rate.score_columns(violence_col, sexual_col, language_col, substance_col)
     cols = [names[c] for c in rate.CATEGORIES]
     rate.require_columns(df, cols)
+    if "song_index" not in df.columns:  # indexed first: its write must not set off the observation
+        df = with_row_index(df)
     observed_in, q_obs = quality.observe_quality(df, cols)
     exported = rate.rate_table(observed_in, *cols)
     from pyspark.sql import Observation
@@ -240,38 +232,6 @@ def rating_summary(stats: dict) -> dict:
     return {"rows": total, "ratings": dict(sorted(ratings.items())), "pct": pct, "top_descriptors": top}
 
 
-def format_quality_warnings(quality: dict, cols: list[str] | None = None) -> list[str]:
-    """G4 as warning lines per score column (only non-zero counts), from the
-    metrics observed during the write."""
-    cols = cols or rate.score_columns().values()
-    out = []
-    for c in cols:
-        nn, miss, oor = (quality.get(f"{c}_{k}", 0) for k in ("non_numeric", "missing", "out_of_range"))
-        if nn:
-            out.append(f"[Warning] Column '{c}': {nn} non-numeric values coerced to NaN.")
-        if miss:
-            out.append(f"[Warning] Column '{c}': {miss} missing values detected.")
-        if oor:
-            out.append(f"[Warning] Column '{c}': {oor} values out of [0,1] clipped.")
-    return out
-
-
-def format_summary(summary: dict) -> str:
-    """The batch job's closing report as text: rating counts with percent of
-    all rows (sorted by code), then the ten most common descriptors.  The
-    numbers are the observed metrics (<= 19 values), formatted on the driver
-    with Python's own '%.1f' (SURVEY H12: Spark's format_number rounds
-    HALF_UP, Python rounds the binary value)."""
-    lines = ["Rating Statistics:"]
-    for code, n in summary["ratings"].items():
-        lines.append(f"  {code}: {n} ({summary['pct'][code]:.1f}%)")
-    lines.append("")
-    lines.append("Most Common Content Descriptors:")
-    for text, n in summary["top_descriptors"]:
-        lines.append(f"  {text}: {n}")
-    return "\n".join(lines)
-
-
 # ---------------------------------------------------------------------------
 # One song from four numbers
 # ---------------------------------------------------------------------------

@@ -1,17 +1,57 @@
 """Reference SQL (DuckDB dialect) for every registered query.
 
 Written independently of the DataFrame code: plain CTEs over the driver
-tables.  The rating rules come from ``sql_text`` (portable SQL).  Column
+tables, with the rules' values as literals here and in ``oracle_rules``; nothing
+is imported from the code under test.  Column
 names equal the Spark query's; floats that went through sums, averages or
 exp() are rounded the same way on both sides.
 """
 
 from __future__ import annotations
 
-from ratewise.constants import CONTRACTIONS, PUNCT_PATTERN, CLITIC_ALTERNATION, WS_CLASS
-from ratewise.functions import sql_text as S
-from ratewise.operators.scoring import DEFAULT_BIAS, DEFAULT_LEXICON
-from ratewise.constants import LABEL_ORDER
+from ratewise.plans import oracle_rules as S
+
+# Fixed values of the rules, stated again here.
+CONTRACTIONS = [
+    ("I'm", "I am"), ("you're", "you are"), ("he's", "he is"),
+    ("she's", "she is"), ("it's", "it is"), ("we're", "we are"),
+    ("they're", "they are"), ("I've", "I have"), ("you've", "you have"),
+    ("we've", "we have"), ("they've", "they have"), ("I'll", "I will"),
+    ("you'll", "you will"), ("he'll", "he will"), ("she'll", "she will"),
+    ("we'll", "we will"), ("they'll", "they will"), ("I'd", "I would"),
+    ("you'd", "you would"), ("he'd", "he would"), ("she'd", "she would"),
+    ("we'd", "we would"), ("they'd", "they would"), ("don't", "do not"),
+    ("doesn't", "does not"), ("didn't", "did not"), ("won't", "will not"),
+    ("wouldn't", "would not"), ("can't", "can not"), ("couldn't", "could not"),
+    ("shouldn't", "should not"), ("mustn't", "must not"), ("wasn't", "was not"),
+    ("weren't", "were not"), ("aren't", "are not"), ("isn't", "is not"),
+    ("ain't", "am not"), ("let's", "let us"),
+]
+CLITIC_ALTERNATION = 's|m|d|re|ve|ll'
+PUNCT_PATTERN = '[,:;@#$%&?!()\\[\\]{}<>"“”‘’«»…—]|--+|\\.\\.+'
+WS_CLASS = r'[\t\n\x0b\x0c\r\x1c-\x1f\x{85}\p{Z}]'
+
+# The stand-in lexicon: (weight, terms) tiers per label, and the bias.
+LABEL_ORDER = ['sexual', 'violence', 'substance', 'language']
+BIAS = -3.0
+LEXICON = {
+    'sexual': [
+        (0.75, 'lust kiss bed body strip'),
+        (1.5, 'sex sexy naked nude seduce'),
+    ],
+    'violence': [
+        (0.75, 'blood fight die dead war knife punch'),
+        (1.5, 'kill killed murder gun guns shoot stab'),
+    ],
+    'substance': [
+        (0.75, 'pills beer wine whiskey vodka drunk high smoke'),
+        (1.5, 'cocaine heroin meth weed drug drugs'),
+    ],
+    'language': [
+        (0.75, 'clown pathetic loser stupid disgusting damn hell crap'),
+        (1.5, 'trash idiot scum worthless moron'),
+    ],
+}
 
 # --- derived score tables ---------------------------------------------------
 
@@ -36,6 +76,8 @@ f10 AS (
               WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'NA'
               ELSE CAST(x3*x3*x3 AS VARCHAR) END AS language_score,
          CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'inf'
+              WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN '-INFINITY'
+              WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'INF'
               ELSE CAST(x4*x4*x4 AS VARCHAR) END AS substance_score
   FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority,
                ((o_orderkey*7919)%1009)/CAST(1008 AS DOUBLE) AS x1,
@@ -80,7 +122,7 @@ RATED_F7 = with_(F7, rated_cte("f7"))
 
 # --- numeric coercion of text scores ----------------------------------------
 
-NUM = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
+NUM = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 NA_LIST = "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', " \
           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
 
@@ -137,12 +179,9 @@ def word_count_sql(text: str) -> str:
 # --- lexicon scorer -------------------------------------------------------------
 
 def logit_sql(tokens: str, label: str) -> str:
-    by_w: dict[float, list[str]] = {}
-    for term, w in DEFAULT_LEXICON.get(label, []):
-        by_w.setdefault(float(w), []).append(term)
-    z = f"CAST({DEFAULT_BIAS} AS DOUBLE)"
-    for w, terms in sorted(by_w.items()):
-        inlist = ", ".join(S.q(t) for t in terms)
+    z = f"CAST({BIAS} AS DOUBLE)"
+    for w, terms in LEXICON[label]:
+        inlist = ", ".join(S.text(t) for t in terms.split())
         z = f"({z} + CAST(len(list_filter({tokens}, lambda t: t IN ({inlist}))) AS DOUBLE) * {w})"
     return z
 

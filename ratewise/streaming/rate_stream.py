@@ -7,14 +7,13 @@
   its end, so late rows beyond the delay are dropped and windows still
   open when the input ends are not emitted.
 
-Sinks are Parquet folders with checkpoints under the shared checkpoint
-dir, so a restarted query resumes exactly once; nothing is collected on the
-driver.
+Sinks are Parquet folders with a checkpoint beside them.  The caller names the
+folder; a query started again on the same folder goes on where it stopped, each
+row once.  Nothing is collected on the driver.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +24,17 @@ from ratewise.session import ensure_checkpoint_dir
 from ratewise.sources import tables
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming read of the ``events`` table with its batch schema."""
-    schema = tables.table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(tables.stream_path(sf_dir, "events")))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of a table with its batch schema; by default a micro-batch
+    takes all files there are."""
+    reader = spark.readStream.schema(tables.table(spark, sf_dir, name).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(tables.stream_path(sf_dir, name))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    return table_stream(spark, sf_dir, "events", max_files_per_trigger)
 
 
 def rating_stream(events: DataFrame) -> DataFrame:
@@ -50,18 +54,18 @@ def windowed_rating_counts(events: DataFrame, window: str = "1 day", delay: str
                     tables.utc_date(F.col("w.end")).alias("window_end"), "MCR_rating", "n"))
 
 
-def run_to_parquet(stream: DataFrame, name: str, output_mode: str = "append",
-                   base: str | None = None) -> str:
-    """Run a streaming frame until its input is drained, writing Parquet;
-    returns the output folder (read it back with ``spark.read``)."""
-    spark = stream.sparkSession
-    base = base or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-    out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+def run_to_parquet(stream: DataFrame, base: str, output_mode: str = "append") -> str:
+    """Run a streaming frame over what its source holds, writing Parquet to
+    ``base``/out with the checkpoint in ``base``/checkpoint; returns the output
+    folder.  Call it again on the same ``base`` for what has arrived since."""
+    out = f"{base}/out"
     q = (stream.writeStream.format("parquet").outputMode(output_mode)
-         .option("path", out).option("checkpointLocation", ck)
-         .queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+         .option("path", out).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
     return out
+
+
+def new_base(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
