@@ -22,7 +22,8 @@ def read_score_csv(spark: SparkSession, path: str, multiline: bool = True) -> Da
     Short rows are padded with missing values; a row with more fields than the
     header raises when it is read (its fields would otherwise shift or be lost).
     ``multiline=False`` lets a large file split into many tasks."""
-    reader = (spark.read.option("header", True).option("multiLine", multiline)
+    # without column pruning, else a pruned read no longer sees how many fields a row has
+    reader = (spark.read.option("header", True).option("multiLine", multiline).option("columnPruning", False)
               .option("quote", '"').option("escape", '"'))
     names = reader.option("inferSchema", False).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW]])
