@@ -33,10 +33,8 @@ def test_salted_join_equals_plain_join(spark):
                                         .otherwise((F.col("id") % 50).cast("string")).alias("k"))
     look = spark.range(0, 50).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10).alias("v"))
     look = look.unionByName(spark.createDataFrame([("hot", -1)], "k string, v long"))
-    counted = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    hot = joins.hot_keys(counted, "k", "n", 20_000, max_hot=10, min_rows=100)
-    assert hot == ["hot"]
-    salted = joins.salted_lookup_join(big, look, "k", hot, buckets=8, spread_by=F.col("id"))
+    look = look.join(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    salted = joins.salted_lookup_join(big, look, "k", "n", F.col("id"), target=1000)
     plain = big.join(look, "k")
     assert sorted(salted.select("id", "v").collect()) == sorted(plain.select("id", "v").collect())
     # with a shuffled, uncoalesced join the hot key's rows land on several reducers
@@ -48,9 +46,53 @@ def test_salted_join_equals_plain_join(spark):
     assert parts > 1
 
 
-def test_hot_keys_is_bounded(spark):
-    counted = spark.range(0, 5000).select(F.col("id").alias("k"), F.lit(1_000_000).alias("n"))
-    assert len(joins.hot_keys(counted, "k", "n", 10_000_000, max_hot=100)) <= 100
+def test_buckets_follow_the_row_count(spark):
+    df = spark.createDataFrame([(1,), (1000,), (1001,), (10 ** 9,)], "n long")
+    assert [r.b for r in df.select(joins.buckets_of(F.col("n"), 1000).alias("b")).collect()] == [1, 1, 2, 10 ** 6]
+
+
+def _jobs(spark, build):
+    """Spark jobs started while ``build`` runs."""
+    sc = spark.sparkContext
+    group = f"group-{id(build)}"
+    sc.setJobGroup(group, "building")
+    try:
+        build()
+    finally:
+        sc.setJobGroup("none", "")
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_building_a_plan_runs_nothing(spark):
+    docs = spark.range(100).select((F.col("id") % 7).alias("k"), F.lit("some text").alias("text")).groupBy("k").agg(F.first("text").alias("text"))
+    assert _jobs(spark, lambda: jobs.score_and_rate(docs, "text")) == 0
+    assert _jobs(spark, lambda: reports.compliance_rollup(jobs.score_and_rate(docs.withColumnRenamed("k", "lang"), "text"))) == 0
+
+
+def test_row_index_after_a_shuffle_keeps_every_row(spark):
+    n = 300_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1009).alias("k"), F.lit(0.5).alias("violence_score"), F.lit(0.1).alias("sexual_score"),
+                               F.lit(0.1).alias("language_score"), F.lit(0.1).alias("substance_score"), F.repeat(F.lit("x"), 128).alias("text"))
+    with _conf(spark, {"spark.sql.shuffle.partitions": "8"}):
+        out = rate_table(df.repartition("k")).agg(F.count("song_index").alias("n"), F.count_distinct("song_index").alias("d"),
+                                                  F.min("song_index").alias("a"), F.max("song_index").alias("b")).first()
+    assert tuple(out) == (n, n, 0, n - 1)
+
+
+def test_text_dedup_moves_the_text_once_and_never_sorts_it(spark):
+    docs = tables.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    keyed = docs.select(F.monotonically_increasing_id().alias("__row"), F.unhex(F.sha2("text", 256)).alias("key"), F.col("text").alias("cleaned"))
+    distinct = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.min("__row").alias("__row"))
+    assert "SortAggregate" not in distinct._jdf.queryExecution().executedPlan().toString()
+    with _conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = keyed.select("__row", "cleaned").join(distinct.hint("shuffle_hash"), "__row")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+
+
+def test_labels_join_below_the_cleaning(spark):
+    from ratewise.plans import catalog
+    plan = catalog.QUERIES["label_check"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Join Inner")  # the join is the deeper node
 
 
 def test_result_independent_of_partitioning(spark):
@@ -64,11 +106,12 @@ def test_result_independent_of_partitioning(spark):
     assert sorted(map(tuple, x)) == sorted(map(tuple, y))
 
 
-def test_spread_only_when_needed(spark):
+def test_spread_only_when_asked(spark):
     df = spark.range(0, 1000, numPartitions=1)
-    assert spread(df, target=4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 1000, numPartitions=16)
-    assert spread(many, target=4) is many
+    assert spread(df) is df
+    assert spread(df, 4).rdd.getNumPartitions() == 4
+    with _conf(spark, {"ratewise.text.partitions": "6"}):
+        assert spread(df).rdd.getNumPartitions() == 6
 
 
 def test_hot_group_in_histogram_and_topk(spark):
@@ -100,7 +143,7 @@ def test_descriptor_counts_filter_stays_above_generate(spark):
 def test_spread_even_with_one_hot_id(spark):
     df = spark.range(0, 9000, numPartitions=1).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"))
-    sizes = [r.n for r in spread(df, key="doc_id", target=6).groupBy(F.spark_partition_id())
+    sizes = [r.n for r in spread(df, 6).groupBy(F.spark_partition_id())
              .agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 6 and max(sizes) < 2 * min(sizes)
 

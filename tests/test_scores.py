@@ -14,6 +14,7 @@ CASES = [
     ("-0.2", 0.0, "out_of_range"), ("-inf", 0.0, "out_of_range"),
     ("1.7", 1.0, "out_of_range"), ("inf", 1.0, "out_of_range"), ("Infinity", 1.0, "out_of_range"),
     ("0.5", 0.5, None), (" 0.5 ", 0.5, None), (".5", 0.5, None), ("5e-1", 0.5, None),
+    ("INF", 1.0, "out_of_range"), ("-INF", 0.0, "out_of_range"), ("INFINITY", 1.0, "out_of_range"), ("iNf", 1.0, "out_of_range"),
     ("5.", 1.0, "out_of_range"), ("+0.3", 0.3, None), ("1.0E-4", 0.0001, None),
 ]
 
