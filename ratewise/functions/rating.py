@@ -227,25 +227,6 @@ def rating_struct(v, s, l, d) -> Column:
     )
 
 
-def rating_columns(v, s, l, d, prefix: str = "MCR_") -> dict[str, Column]:
-    """The six export columns of a rated row, keyed by name.
-
-    Meant for ``df.withColumns`` after the scores were cleaned; the
-    intermediate rating / descriptor array are recomputed per output but
-    Catalyst's subexpression elimination evaluates them once per row."""
-    r = mcr_rating(v, s, l, d)
-    ds = descriptors(v, s, l, d)
-    text = descriptor_text_from(r, ds)
-    return {
-        f"{prefix}rating": r,
-        f"{prefix}descriptors": text,
-        f"{prefix}max_score": max_score(v, s, l, d),
-        f"{prefix}highest_concern": highest_concern(v, s, l, d),
-        f"{prefix}recommendation": recommendation(r),
-        f"{prefix}final_rating": final_rating_from(r, ds, text),
-    }
-
-
 def rating_filter(rating_code: str, v, s, l, d) -> Column:
     """Predicate on the *clean* score columns equivalent to
     ``mcr_rating(...) <= rating_code`` for the ladder ratings, written so

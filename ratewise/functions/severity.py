@@ -131,12 +131,6 @@ def safety_badge(kid_safe_col) -> Column:
     return F.when(_c(kid_safe_col), F.lit("SAFE")).otherwise(F.lit("UNSAFE"))
 
 
-def percent_rating(explicit, violence, sexual_content, substance_use) -> Column:
-    """V6 + R19 in rescaled space: the rating of percentages / 100."""
-    return R.mcr_rating(_c(violence) / 100.0, _c(sexual_content) / 100.0,
-                        _c(explicit) / 100.0, _c(substance_use) / 100.0)
-
-
 def percent_scores(explicit, violence, sexual_content, substance_use) -> tuple[Column, ...]:
     """V6: percentages -> unit scores in rating order (v, s, l, d)."""
     return (_c(violence) / 100.0, _c(sexual_content) / 100.0,

@@ -127,12 +127,6 @@ def clean_text(t, mode: str = "token", normalize_quotes_first: bool = False) ->
     return _finish(F.array_join(toks, " "), letters_only=True)
 
 
-def clean_tokens(t, mode: str = "token") -> Column:
-    """Cleaned text as ARRAY<STRING> of words (split of T18)."""
-    cleaned = clean_text(t, mode)
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
-
-
 def word_count(t) -> Column:
     """Number of whitespace-separated words of the raw text."""
     return F.regexp_count(null_to_empty(t), F.lit(f"{NOT_WS}+")).cast("int")

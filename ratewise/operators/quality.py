@@ -43,20 +43,6 @@ def _count_exprs(cols: list[str]) -> list[Column]:
     return exprs
 
 
-def quality_exprs(df: DataFrame, cols: list[str]) -> list[Column]:
-    """G4 + G5 as single aggregate expressions over the raw columns."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    exprs = [F.count(F.lit(1)).alias("n_rows")]
-    for c in cols:
-        t = types[c]
-        exprs += [
-            F.count_if(is_non_numeric(c, t)).alias(f"{c}_non_numeric"),
-            F.count_if(is_missing(c, t)).alias(f"{c}_missing"),
-            F.count_if(is_out_of_range(c, t)).alias(f"{c}_out_of_range"),
-        ]
-    return exprs
-
-
 def score_quality(df: DataFrame, cols: list[str]) -> DataFrame:
     """G4 + G5 as a one-row DataFrame (partial aggregation per task)."""
     flags = _flag_columns(df, cols)

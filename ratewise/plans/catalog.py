@@ -439,6 +439,53 @@ def q_nonblank_texts(spark, sf_dir):
     return c.filter(~X.is_blank("text")).select("conv_id", "turn")
 
 
+@register("sql_function_safety", _f8_sql_cte() + """
+SELECT vec_id, round(severity, 6) AS severity, kid_safe, safety_level, mcr_descriptors AS descriptors FROM f8r""")
+def q_sql_function_safety(spark, sf_dir):
+    """Severity, safety and descriptors through SQL functions."""
+    sqlfuncs.register(spark)
+    e = tables.embedding_probabilities(spark, sf_dir)
+    return spark.sql("""
+        SELECT vec_id, round(mcr_severity(explicit, violence, sexual_content, substance_use), 6) AS severity,
+               mcr_kid_safe(explicit, violence, sexual_content, substance_use) AS kid_safe,
+               mcr_safety_level(explicit, violence, sexual_content, substance_use) AS safety_level,
+               array_join(mcr_descriptors(violence / 100, sexual_content / 100, explicit / 100, substance_use / 100), '; ')
+                 AS descriptors
+        FROM {e}""", e=e.select("vec_id", *[c.alias(n) for n, c in V.category_percentages("probs").items()]))
+
+
+@register("sql_function_text", f"""
+SELECT doc_id, {O.clean_token_sql('text')} AS cleaned, {O.word_count_sql('text')} AS total_words FROM documents""")
+def q_sql_function_text(spark, sf_dir):
+    """The text cleaner and word count through SQL functions."""
+    sqlfuncs.register(spark)
+    return spark.sql("SELECT doc_id, mcr_clean_text(text) AS cleaned, mcr_word_count(text) AS total_words FROM {d}", d=_docs(spark, sf_dir))
+
+
+def _lemma_sql() -> str:
+    return f"""
+WITH tok AS (SELECT doc_id, {O.token_list_sql('text')} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM tok),
+vocabulary AS (SELECT DISTINCT word FROM w),
+lemma AS (SELECT a.word, b.word AS lemma FROM vocabulary a JOIN vocabulary b ON a.word = b.word || 's' WHERE length(a.word) > 3),
+j AS (SELECT doc_id, string_agg(coalesce(lemma, word), ' ' ORDER BY i) AS s FROM w LEFT JOIN lemma USING (word) GROUP BY doc_id)
+SELECT doc_id, {O.finish_sql("coalesce(s, '')")} AS cleaned FROM tok LEFT JOIN j USING (doc_id)"""
+
+
+@register("lemma_clean_rows", _lemma_sql())
+def q_lemma_clean_rows(spark, sf_dir):
+    """Cleaning with a lemma table that the documents' own words give:
+    a word of more than three letters that ends in s and also occurs without
+    it has the shorter word as its lemma."""
+    from ratewise.operators.lemma import clean_text_lemmatized
+    d = _docs(spark, sf_dir)
+    words = d.select(F.explode(X.word_tokens(X.expand_contractions(X.null_to_empty("text")))).alias("token")).distinct()
+    longer = words.select("token", F.expr("left(token, length(token) - 1)").alias("lemma")).filter(
+        (F.length("token") > 3) & F.col("token").endswith("s"))
+    lemmas = longer.join(words.select(F.col("token").alias("lemma")), "lemma").select("token", F.lit("n").alias("pos"), "lemma")
+    return clean_text_lemmatized(d, "doc_id", "text", lemmas)
+
+
 # ---------------------------------------------------------------------------
 # Scoring (M1, M5, M8, M10) and the composite jobs
 # ---------------------------------------------------------------------------
@@ -661,18 +708,76 @@ SELECT song_index, MCR_rating, MCR_descriptors, MCR_highest_concern, MCR_final_r
 def q_rate_catalogue_csv(spark, sf_dir):
     """The orders-derived scores as a CSV file in the
     scratch folder, rated by the batch job and read back from its export."""
-    import os
-    import uuid
-    from ratewise.session import checkpoint_path
     from ratewise.sources import csv_io
-    base = checkpoint_path(spark, f"catalogue-{uuid.uuid4().hex[:8]}")
-    src = os.path.join(base, "scores.csv")
+    src = _catalogue_folder(spark, "catalogue") + "/scores.csv"
     csv_io.write_csv(tables.order_scores(spark, sf_dir), src)
     res = jobs.rate_catalogue(spark, src)
     return res.frame.select(F.col("song_index").cast("bigint").alias("song_index"), "MCR_rating",
                             "MCR_descriptors", "MCR_highest_concern", "MCR_final_rating")
 
 
+def _export_documents_sql() -> str:
+    return _docs_scored_sql("documents LEFT JOIN labels USING (doc_id)", "doc_id, source, text, toxic, quality") + """,
+sc AS (
+  SELECT doc_id AS song_index, source AS song, text, p_sexual AS sexual_score, p_violence AS violence_score,
+         p_substance AS substance_score, p_language AS language_score,
+         CAST(NULL AS VARCHAR) AS sexual, CAST(NULL AS VARCHAR) AS violence, CAST(NULL AS VARCHAR) AS substance,
+         CAST(toxic AS VARCHAR) AS language, CAST(quality AS VARCHAR) AS explicit_edit
+  FROM dr),""" + O.rated_cte("sc") + """
+SELECT song_index, song, text, round(sexual_score, 9) AS sexual_score, round(violence_score, 9) AS violence_score,
+       round(substance_score, 9) AS substance_score, round(language_score, 9) AS language_score,
+       sexual, violence, substance, language, explicit_edit, MCR_rating, MCR_descriptors,
+       round(MCR_max_score, 9) AS MCR_max_score, MCR_highest_concern, MCR_recommendation, MCR_final_rating
+FROM rated"""
+
+
+def _catalogue_folder(spark, name: str) -> str:
+    import uuid
+    from ratewise.session import checkpoint_path
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("catalogue_export_documents", _export_documents_sql())
+def q_catalogue_export_documents(spark, sf_dir):
+    """J1 on whole texts: documents with their labels and lexicon scores, through
+    CSV (quotes, commas and line breaks inside the text), rated, and read back:
+    all 18 columns."""
+    from ratewise.sources import csv_io
+    d = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = d.withColumn("cleaned", X.clean_text("text")).withColumn("p", LexiconScorer()(F.col("cleaned")))
+    p = dict(zip(LABELS, (F.when(F.col("cleaned") == "", 0.0).otherwise(F.col("p")[i]) for i in range(4))))
+    src = _catalogue_folder(spark, "documents") + "/scores.csv"
+    csv_io.write_csv(d.select(F.col("doc_id").alias("song_index"), F.col("source").alias("song"), "text",
+                              *[p[c].alias(f"{c}_score") for c in LABELS], F.col("toxic").alias("language"),
+                              F.col("quality").alias("explicit_edit")), src)
+    out = jobs.rate_catalogue(spark, src).frame
+    number = lambda c: F.round(F.col(c).cast("double"), 9).alias(c)
+    return out.select(F.col("song_index").cast("bigint").alias("song_index"), "song", "text",
+                      *[number(f"{c}_score") for c in LABELS], "sexual", "violence", "substance", "language", "explicit_edit",
+                      "MCR_rating", "MCR_descriptors", number("MCR_max_score"), "MCR_highest_concern", "MCR_recommendation",
+                      "MCR_final_rating")
+
+
+def _catalogue_stats_sql() -> str:
+    cleaned = ", ".join(f"{O.clean(c)} AS {c}" for c in O.SCORE_COLS)
+    return O.with_(O.F10, f"\nf10c AS (SELECT song_index, {cleaned} FROM f10)", O.rated_cte("f10c")) + """
+SELECT 'rows' AS metric, count(*) AS n FROM rated
+UNION ALL SELECT 'rating:' || MCR_rating, count(*) FROM rated GROUP BY ALL
+UNION ALL SELECT 'descriptor:' || d, count(*)
+  FROM (SELECT unnest(string_split(MCR_descriptors, '; ')) AS d FROM rated WHERE MCR_descriptors <> 'None') GROUP BY ALL"""
+
+
+@register("catalogue_stats", _catalogue_stats_sql())
+def q_catalogue_stats(spark, sf_dir):
+    """The statistics observed while the export was written, metric by
+    metric (G1, G3), on scores that arrive as text without an index."""
+    from ratewise.sources import csv_io
+    src = _catalogue_folder(spark, "stats") + "/scores.csv"
+    csv_io.write_csv(tables.order_raw_scores(spark, sf_dir).drop("song_index"), src)
+    seen = jobs.rate_catalogue(spark, src).stats["ratings"]  # at most 20 numbers
+    return spark.createDataFrame([(k, v) for k, v in seen.items() if v], "metric string, n long")
+
+
 # ---------------------------------------------------------------------------
 # The text pipeline on a stream, and the model plug-in contract
 # ---------------------------------------------------------------------------

@@ -156,13 +156,16 @@ def finish_sql(joined: str) -> str:
     return f"trim(regexp_replace(regexp_replace({joined}, '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-def clean_token_sql(text: str) -> str:
+def token_list_sql(text: str) -> str:
     t = f"lower({expand_sql(f'coalesce({text}, {chr(39)}{chr(39)})')})"
     spaced = f"regexp_replace({t}, '{PUNCT}', ' ', 'g')"
     toks = f"string_split_regex({spaced}, '{WS_CLASS}')"
     cores = f"list_transform({toks}, lambda w: regexp_extract(w, '{TOKEN}', 1))"
-    kept = f"list_filter({cores}, lambda w: w <> '')"
-    return finish_sql(f"array_to_string({kept}, ' ')")
+    return f"list_filter({cores}, lambda w: w <> '')"
+
+
+def clean_token_sql(text: str) -> str:
+    return finish_sql(f"array_to_string({token_list_sql(text)}, ' ')")
 
 
 def clean_regex_sql(text: str) -> str:

@@ -38,12 +38,14 @@ def read_score_csv(spark: SparkSession, path: str, multiline: bool = True) -> Da
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header, no index, quotes doubled; the target is a directory of
-    part files written by all tasks in parallel."""
+    """Header, no index, quotes doubled, white space kept; the target is a
+    directory of part files written by all tasks in parallel."""
     (df.write.mode(mode)
      .option("header", True)
      .option("quote", '"')
      .option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
