@@ -33,6 +33,37 @@ def test_single_song_sql(spark):
 
 def test_clip01_sql(spark):
     sqlfuncs.register(spark)
-    r = spark.sql("""SELECT clip01(CAST(NULL AS DOUBLE)) AS a, clip01(CAST('NaN' AS DOUBLE)) AS b,
-                            clip01(CAST('Infinity' AS DOUBLE)) AS c, clip01(-0.5) AS d, clip01(0.25) AS e""").first()
+    r = spark.sql("""SELECT mcr_clip01(CAST(NULL AS DOUBLE)) AS a, mcr_clip01(CAST('NaN' AS DOUBLE)) AS b,
+                            mcr_clip01(CAST('Infinity' AS DOUBLE)) AS c, mcr_clip01(-0.5) AS d, mcr_clip01(0.25) AS e""").first()
     assert tuple(r) == (0.0, 0.0, 1.0, 0.0, 0.25)
+
+
+def test_text_and_safety_functions_equal_columns(spark):
+    from ratewise.functions import severity as V
+    from ratewise.functions import text as X
+    sqlfuncs.register(spark)
+    texts = spark.createDataFrame([("I'm here, DON'T stop mama's 3x",), (None,), ("café \"quoted\" it's",)], "t string")
+    got = texts.selectExpr("mcr_clean_text(t) AS c", "mcr_word_count(t) AS w").collect()
+    want = texts.select(X.clean_text("t").alias("c"), X.word_count("t").alias("w")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    rows = [(a, b, c, d) for a in (0.0, 10.5, 31.0) for b in (15.0, 15.5, 36.0) for c in (0.0, 100.0) for d in (10.0, 30.0)]
+    df = spark.createDataFrame(rows, "e double, v double, s double, u double")
+    got = df.selectExpr("mcr_severity(e, v, s, u)", "mcr_kid_safe(e, v, s, u)", "mcr_safety_level(e, v, s, u)",
+                        "mcr_descriptors(v / 100, s / 100, e / 100, u / 100)").collect()
+    args = ("e", "v", "s", "u")
+    want = df.select(V.severity(*args), V.kid_safe(*args), V.safety_level(*args),
+                     R.descriptors(F.col("v") / 100, F.col("s") / 100, F.col("e") / 100, F.col("u") / 100)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_callers_functions_are_not_replaced(spark):
+    import pytest
+    other = spark.newSession()
+    other.sql("CREATE TEMPORARY FUNCTION mcr_severity(x INT) RETURNS INT RETURN x")
+    known = set(sqlfuncs._REGISTERED)
+    sqlfuncs._REGISTERED.clear()
+    try:
+        with pytest.raises(ValueError, match="mcr_severity"):
+            sqlfuncs.register(other)
+    finally:
+        sqlfuncs._REGISTERED.update(known)
