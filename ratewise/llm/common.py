@@ -47,10 +47,10 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
 def once(column: Column) -> Column:
     """``column``, evaluated once per row where it stands.
 
-    The always-true random test keeps the optimiser from copying a costly
-    expression into filters and lambdas above it, where it would run again for
-    every reference (or every array element)."""
-    return F.when(F.rand(0) < 2, column)
+    The always-true test of the partition number keeps the optimiser from
+    copying a costly expression into filters and lambdas above it, where it
+    would run again for every reference (or every array element)."""
+    return F.when(F.spark_partition_id() >= 0, column)
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:

@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, pack, unpack
+from .common import WORD_PATTERN, once, pack, unpack
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -96,12 +96,13 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements plus ``failures``, the bit set of failed rules."""
+    """Measurements plus ``failures``, the bit set of failed rules, evaluated
+    once: a filter on it is not pushed into the measurements."""
     bits = [F.when(F.expr(test), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, test in RULES]
     failures = bits[0]
     for b in bits[1:]:
         failures = failures.bitwiseOR(b)
-    return measurements(docs, id_col, text_col).withColumn("failures", failures)
+    return measurements(docs, id_col, text_col).withColumn("failures", once(failures))
 
 
 def rejected(failures: Column, policy: str) -> Column:
