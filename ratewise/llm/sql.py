@@ -69,4 +69,51 @@ select doc_id, len(ws)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit
   sha256(coalesce(ids, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)"""
 
-ORACLE: dict[str, str] = {"op2_sharding": OP2, "op9_quality_rules": OP9, "op10_decontamination": OP10}
+OP3 = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select r, p, md5(substr(h, 2 * p + 1, 400)) as g from (select r, h, unnest(range(length(h) // 2 - 199)) as p from d where length(h) >= 400)),
+twice as (select g from win group by g having count(*) > 1),
+hit as (select r, p from win semi join twice using (g)),
+edge as (select r, p, sum(x) as x from (select r, p, 1 as x from hit union all select r, p + 200, -1 from hit) group by r, p),
+depth as (select r, p, sum(x) over (partition by r order by p) as n, x from edge),
+cut as (select r, p as a, lead(p) over (partition by r order by p) as b, n from depth),
+runs as (select r, a, b, case when lag(b) over (partition by r order by a) = a then 0 else 1 end as new from cut where n > 0),
+span as (select r, min(a) as a, max(b) as b
+         from (select *, sum(new) over (partition by r order by a) as k from runs) group by r, k),
+gap as (select r, b as a, lead(a, 1, 1000000000) over (partition by r order by a) as b from span
+        union all select r, 0, min(a) from span group by r),
+kept as (select r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as h from gap join d using (r) group by r),
+lost as (select r, sum(b - a) as n, count(*) as spans from span group by r)
+select doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(lost.n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join lost using (r) left join kept using (r)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^ \t-\r]+') as ws from documents),
+sh as (select distinct doc_id, md5(array_to_string(ws[p:p + 3], ' ')) as g
+       from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as p from d where len(ws) > 0)),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as u, b.doc_id as v, count(*) as shared from sh a join sh b using (g) where a.doc_id < b.doc_id group by all),
+link as (select u, v from pair join size x on u = x.doc_id join size y on v = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+edge as (select u, v from link union all select v, u from link),
+reach as (select u, v from edge union select reach.u, edge.v from reach join edge on reach.v = edge.u),
+low as (select u, min(v) as m from reach group by u)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(m, doc_id) as component_id, coalesce(m, doc_id) = doc_id as kept
+from d left join size using (doc_id) left join low on u = doc_id"""
+
+OP8 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') as ws from documents),
+win as (select doc_id, p, md5(array_to_string(ws[p:p + 19], ' ')) as g from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as p from d where len(ws) >= 20)),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by g order by doc_id, p) as k from win) where k > 1),
+cut as (select distinct doc_id, p + i as p from later, range(20) as s(i)),
+w as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from w anti join cut using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+ORACLE: dict[str, str] = {
+    "op2_sharding": OP2, "op3_suffix_dedup": OP3, "op6_minhash": OP6, "op8_phrase_automata": OP8,
+    "op9_quality_rules": OP9, "op10_decontamination": OP10,
+}
