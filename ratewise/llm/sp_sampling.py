@@ -11,7 +11,7 @@ sample's inclusion probability.
 
 No piece of the vocabulary continues after white space, so the lattice of a
 text is the chain of its words' lattices, and each distinct word's sums are
-worked out once per slice.  All words of a slice advance together in numpy; the
+worked out once per slice, frequent ones once per task.  All words of a slice advance together in numpy; the
 random numbers are hashes of (row key, place in the text, sample), so a row's
 samples do not depend on how rows are batched.
 
@@ -48,6 +48,9 @@ POWER = 1.0
 MARK = "▁"
 _unit = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _NEVER = -np.inf
+SLOT_BITS = 21
+CACHED = 200_000  # lattice nodes that a task keeps, about 110 bytes each
+SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
 
 
 class Vocabulary:
@@ -77,8 +80,13 @@ class Vocabulary:
         self.more = np.array([x in longer for x in keys])[order]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
+        # place of each entry by the low bits of its hash; where two share
+        # them, the later ones are found by binary search
+        self.slot = np.full(1 << SLOT_BITS, -1, np.int32)
+        low = (self.hashes & SLOT_MASK).astype(np.int64)
+        self.slot[low[::-1]] = np.arange(len(low) - 1, -1, -1)
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[low[self.slot[low] != np.arange(len(low))]] = True
         rank = np.empty(n)
         rank[normal] = np.arange(1, len(normal) + 1)
         self.weight = np.zeros(n)
@@ -95,8 +103,12 @@ class Vocabulary:
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece id of each hash (-1: none), and whether longer pieces begin so."""
         out, more = np.full(len(h), -1, np.int64), np.zeros(len(h), bool)
-        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 21) - 1)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        low = (h & SLOT_MASK).astype(np.int64)
+        i = self.slot[low]
+        at = np.flatnonzero(i >= 0)
+        i, low = i[at], low[at]
+        again = np.flatnonzero(self.shared[low])
+        i[again] = np.minimum(np.searchsorted(self.hashes, h[at[again]]), len(self.hashes) - 1)
         hit = self.hashes[i] == h[at]
         out[at[hit]], more[at[hit]] = self.ids[i[hit]], self.more[i[hit]]
         return out, more
@@ -120,7 +132,7 @@ class Lattice:
         self.length, self.node = length, end - length + np.arange(len(words))
         at = np.arange(len(chars)) + word  # node of each character
         nodes, longest = len(chars) + len(words), vocab.longest
-        self.piece = np.full((nodes, longest), -1, np.int32)
+        self.piece = np.full((nodes, longest), -1, np.int16 if len(vocab.weight) <= 1 << 15 else np.int32)
         self.spelled = np.zeros(nodes, np.float32)  # weight of a character without a piece
         edge = np.full((nodes, longest), _NEVER, np.float32)
         prefix = K.Prefix(K.mix(chars))
@@ -171,10 +183,52 @@ class Lattice:
         return np.where(piece >= 0, self.weight[piece], self.spelled[node]) + self.total[node + size] - self.total[node]
 
 
+class Known:
+    """Lattices of words that earlier slices of a task held twice or more, at
+    most ``CACHED`` nodes of them."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.words = vocab, {}
+        self.lattice = Lattice(vocab, [])
+
+    def get(self, words: list[str]) -> tuple[Lattice, list[int]]:
+        """(lattice of the words, in their order; the places of the new ones)."""
+        old = self.lattice
+        at = np.array([self.words.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = Lattice(self.vocab, [words[i] for i in new.tolist()])
+        both = Lattice.__new__(Lattice)
+        both.weight, n = old.weight, len(old.piece)
+        both.node, both.length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        seen = np.flatnonzero(at >= 0)
+        both.node[seen], both.length[seen] = old.node[at[seen]], old.length[at[seen]]
+        both.node[new], both.length[new] = fresh.node + n, fresh.length
+        both.piece, both.upto = np.concatenate([old.piece, fresh.piece]), np.concatenate([old.upto, fresh.upto])
+        both.spelled, both.total = np.concatenate([old.spelled, fresh.spelled]), np.concatenate([old.total[:n], fresh.total])
+        return both, new
+
+    def add(self, words: list[str], lattice: Lattice, chosen: np.ndarray) -> None:
+        """Keep the chosen words' lattices, as far as there is room."""
+        old = self.lattice
+        size = lattice.length[chosen] + 1
+        chosen = chosen[np.cumsum(size) <= CACHED - len(old.piece)]
+        if not len(chosen):
+            return
+        size = lattice.length[chosen] + 1
+        begin = np.cumsum(size) - size
+        rows = np.repeat(lattice.node[chosen] - begin, size) + np.arange(int(size.sum()))
+        n = len(old.piece)
+        self.words.update((words[w], len(old.node) + i) for i, w in enumerate(chosen.tolist()))
+        old.node, old.length = np.concatenate([old.node, begin + n]), np.concatenate([old.length, size - 1])
+        old.piece, old.upto = np.concatenate([old.piece, lattice.piece[rows]]), np.concatenate([old.upto, lattice.upto[rows]])
+        old.spelled = np.concatenate([old.spelled, lattice.spelled[rows]])
+        old.total = np.concatenate([old.total[:n], lattice.total[rows], np.zeros(self.vocab.longest)])
+
+
 def uniform(seed: np.ndarray, place: np.ndarray, what: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on (row, place, purpose) alone."""
     with np.errstate(over="ignore"):
-        x = K.mix(seed + K.mix(place.astype(np.uint64) * np.uint64(64) + np.uint64(what)))
+        x = K.mix(seed + (place.astype(np.uint64) * np.uint64(64) + np.uint64(what)) * np.uint64(K._BASE))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -198,15 +252,19 @@ def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndar
 class Sampler:
     """Samples for the texts of one slice."""
 
-    def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.vocab = vocab
+    def __init__(self, known: Known, texts: list[str], keys: np.ndarray):
+        self.vocab = known.vocab
         number: dict[str, int] = {}
         marked = [(MARK + t).replace(" ", MARK) if t else "" for t in texts]
         units = [_unit.findall(m) for m in marked]
         flat = [number.setdefault(w, len(number)) for u in units for w in u]
         self.marked = marked
-        self.lattice = Lattice(vocab, list(number))
+        self.points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
         self.unit = np.array(flat, np.int64)
+        words = list(number)
+        self.lattice, new = known.get(words)
+        if len(known.lattice.piece) < CACHED and len(new):
+            known.add(words, self.lattice, new[np.bincount(self.unit, minlength=len(words))[new] > 1])
         size = np.array([len(m) for m in marked], np.int64)
         self.first = np.concatenate([[0], np.cumsum(size)])     # characters of text d
         length = self.lattice.length[self.unit]
@@ -224,12 +282,8 @@ class Sampler:
         seed, base = self.seed[self.doc[words]], self.first[self.doc[words]]
         while len(node):
             u = uniform(seed, place - base, 2 * sample)
-            size = (lat.upto[node] < u.astype(np.float32)[:, None]).sum(1) + 1
-            # rounding may point past the last edge: the next one before it
-            while len(over := np.flatnonzero((size > left) | (size > lat.upto.shape[1]))):
-                size[over] -= 1
-            while len(none := np.flatnonzero((lat.piece[node, size - 1] < 0) & ((size > 1) | (lat.spelled[node] == 0)))):
-                size[none] = np.where(size[none] > 1, size[none] - 1, size[none])
+            # sums grow at edges only and reach 1 at the last one, so this is an edge
+            size = (lat.upto[node] >= u.astype(np.float32)[:, None]).argmax(1) + 1
             path.size[place], path.piece[place], path.logp[place] = size, lat.piece[node, size - 1], lat.logp(node, size)
             on = left > size
             node, place, left, seed, base = (x[on] for x in (node + size, place + size, left - size, seed, base))
@@ -312,20 +366,26 @@ class Sampler:
             path = new
         return chosen, value
 
-    def ids(self, d: int, path: Paths) -> np.ndarray:
-        """Piece ids of text d's segmentation, bytes spelled out."""
-        a, b = int(self.first[d]), int(self.first[d + 1])
-        at = np.flatnonzero(path.size[a:b])
-        ids = path.piece[a:b][at].astype(np.int64)
+    def ids(self, path: Paths) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): ids[first[d]:first[d+1]] are text d's piece ids on the
+        path, bytes spelled out."""
+        at = np.flatnonzero(path.size)
+        ids = path.piece[at].astype(np.int64)
+        count = np.ones(len(at), np.int64)
         spelled = np.flatnonzero(ids < 0)
-        if len(spelled):
-            text = self.marked[d]
-            out, last = [], 0
-            for i in spelled.tolist():
-                out += [ids[last:i], self.vocab.byte_id[np.frombuffer(text[at[i]].encode(), np.uint8)]]
-                last = i + 1
-            ids = np.concatenate([*out, ids[last:]])
-        return ids
+        point = self.points[at[spelled]].astype(np.int64)
+        count[spelled] += (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+        end = np.cumsum(count)
+        out = np.repeat(ids, count)
+        for n in range(1, 5):  # UTF-8 of the characters of n bytes
+            mine = count[spelled] == n
+            start, c = end[spelled[mine]] - n, point[mine]
+            for j in range(n):
+                byte = (c >> (6 * (n - 1 - j))) & 0x3F | 0x80
+                if j == 0:
+                    byte = c if n == 1 else (c >> (6 * (n - 1))) | (0xF00 >> n & 0xFF)
+                out[start + j] = self.vocab.byte_id[byte]
+        return out, np.concatenate([[0], end])[np.searchsorted(at, self.first)]
 
 
 def log_inclusion(x: float) -> float:
@@ -351,26 +411,32 @@ def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind_of_id = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = None
+        known = None
         for batch in batches:
-            vocab = vocab or Vocabulary(shared.value, power)
+            known = known or Known(Vocabulary(shared.value, power))
+            vocab = known.vocab
             for part in slices(batch, "text", 1_000_000):
                 texts = ["" if t is None else t for t in part.column("text").to_pylist()]
-                sampler = Sampler(vocab, texts, part.column("key").to_numpy())
+                sampler = Sampler(known, texts, part.column("key").to_numpy())
                 chosen, bound = sampler.draw(k)
-                rows = [(d, 0, 0, 0.0, 0.0, np.zeros(0, np.int64)) for d, t in enumerate(texts) if not t]
-                for d, sample, p, logp, _ in chosen:
-                    inclusion = log_inclusion(logp - bound[d]) if np.isfinite(bound[d]) else 0.0
-                    ids = sampler.ids(d, p)
-                    rows.append((d, sample, len(ids), logp, float(inclusion), ids))
+                rows = [(d, 0, 0.0, 0.0, np.zeros(0, np.int32), True) for d, t in enumerate(texts) if not t]
+                for path in dict.fromkeys(c[2] for c in chosen):
+                    mine = [c for c in chosen if c[2] is path]
+                    ids, first = sampler.ids(path)
+                    same = vocab.decode(ids) == "".join(sampler.marked[c[0]] for c in mine).encode()
+                    ids32 = ids.astype("<i4")
+                    for d, sample, _, logp, _ in mine:
+                        own = ids32[first[d]:first[d + 1]]
+                        inclusion = log_inclusion(logp - bound[d]) if np.isfinite(bound[d]) else 0.0
+                        rows.append((d, sample, logp, inclusion, own, same or vocab.decode(own) == sampler.marked[d].encode()))
                 rows.sort(key=lambda r: r[:2])
                 take = pa.array([r[0] for r in rows], pa.int64())
-                cols = [part.column("id").take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.float64()),
-                        pa.array([hashlib.sha256(r[5].astype("<i4").tobytes()).hexdigest() for r in rows], pa.string()),
-                        pa.array([vocab.decode(r[5]) == sampler.marked[r[0]].encode() for r in rows], pa.bool_())]
+                cols = [part.column("id").take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[4]) for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64()),
+                        pa.array([hashlib.sha256(r[4].tobytes()).hexdigest() for r in rows], pa.string()),
+                        pa.array([r[5] for r in rows], pa.bool_())]
                 if with_ids:
-                    cols.append(pa.array([r[5].astype(np.int32) for r in rows], pa.list_(pa.int32())))
+                    cols.append(pa.array([r[4] for r in rows], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["id", "sample", "n_tokens", "log_prob", "log_inclusion", "ids_sha256", "round_trip"] + ["ids"] * with_ids
