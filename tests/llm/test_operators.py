@@ -197,7 +197,7 @@ def segmentations(vocab, names, marked):
     return out
 
 
-@pytest.mark.parametrize("text", ["the cat", "a\nb é€", "x", "  in on"])
+@pytest.mark.parametrize("text", ["the cat", "a\nb é€", "x", "  in on", "é𝒳\u0301ߐ"])
 def test_gumbel_top_k_against_all_segmentations(text):
     import numpy as np
     import sentencepiece
@@ -208,11 +208,16 @@ def test_gumbel_top_k_against_all_segmentations(text):
     z = np.logaddexp.reduce([w for _, w in every])
     p = {s: float(np.exp(w - z)) for s, w in every}
     n, k = 4000, 3
-    sampler = sp_sampling.Sampler(vocab, [text] * n, np.arange(n) * 7919 + 5)
+    known, keys = sp_sampling.Known(vocab), np.arange(n) * 7919 + 5
+    again = [c[3] for c in sp_sampling.Sampler(known, [text] * n, keys).draw(k)[0]]
+    sampler = sp_sampling.Sampler(known, [text] * n, keys)  # now from kept lattices
     chosen, bound = sampler.draw(k)
+    assert again == [c[3] for c in chosen]
     seen, first, total = {}, {}, dict.fromkeys(p, 0.0)
+    flat = {id(p): sampler.ids(p) for p in {id(c[2]): c[2] for c in chosen}.values()}
     for d, sample, path, logp, _ in chosen:
-        s = tuple(sampler.ids(d, path).tolist())
+        ids, at = flat[id(path)]
+        s = tuple(ids[at[d]:at[d + 1]].tolist())
         assert abs(logp - np.log(p[s])) < 1e-6
         seen.setdefault(d, set()).add(s)
         if not sample:
