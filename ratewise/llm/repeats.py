@@ -122,10 +122,11 @@ def mark(docs: DataFrame, id_col: str, text_col: str, kind: Kind, first_stays: b
     removed; otherwise all are.  ``facts``: columns computed from every text.
     ``units_of``: (text, first unit, end unit) pairs to the units' binary."""
     rows = run_rows(docs, id_col, text_col, kind)
-    common = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # written, so that each join is of two plain exchanges and a hot gram can be split
+    common = scratch(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "grams")
     found = scratch(rows.join(common, "g"), "runs")
     classes = scratch(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "loc", "t")).alias("rep")), "run-classes")
-    kinds = classes.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = scratch(classes.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "gram-kinds")
     if first_stays:
         whole = found.join(classes.filter("n > 1").select("g", "c", "rep"), ["g", "c"]).filter(
             "r > rep.r or r = rep.r and shiftright(loc, 16) > shiftright(rep.loc, 16)")
