@@ -32,9 +32,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
 #: The method's parameters: least length of a tested run, and the highest
-#: characters-per-token ratio that counts as random.
-RANDOM_LEAST = 20
+#: characters-per-token ratio that counts as random: the stricter one for runs
+#: shorter than SHORT or without a digit (or a letter), among which words lie.
+RANDOM_LEAST = 16
 RANDOM_RATIO = 2.0
+STRICT_RATIO = 1.7
+SHORT = 20
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 
 _assign = re.compile(ASSIGN)
@@ -44,17 +47,24 @@ _hex = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 _digest = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)=*")
 _uuid = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _part = re.compile(r"[A-Za-z]+|[0-9]+")
+_join, _named = re.compile(r"[-_/+=]+"), re.compile(r"[A-Za-z]*[0-9]*")
 _digit, _letter = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
-def known(run: str) -> bool:
-    """Digests, UUIDs, and identifiers: words and numbers joined by - _ / + =,
-    or a word with a number at its end."""
-    if not (_digit.search(run) and _letter.search(run)):
+def known(run: str, count_tokens: Callable[[list[str]], list[int]], ratio: float = STRICT_RATIO) -> bool:
+    """Digests, UUIDs, and identifiers: words and numbers joined by - _ / + =
+    that have more than ``ratio`` characters a token themselves."""
+    run = run.strip("-_/+=")
+    if _uuid.fullmatch(run) or (_digest.fullmatch(run) and len(run) in DIGEST_LENGTHS):
         return True
-    if _uuid.fullmatch(run) or (_digest.fullmatch(run) and len(run.rstrip("=")) in DIGEST_LENGTHS):
-        return True
-    return all(re.fullmatch(r"[A-Za-z]*[0-9]*", p) for p in re.split(r"[-_/+=]+", run))
+    joined = _join.split(run)
+    if len(joined) == 1:
+        return not run
+    if not all(_named.fullmatch(p) for p in joined):
+        return False
+    # a single character is a token whatever it is part of
+    parts = [p for p in _part.findall(run) if len(p) > 1]
+    return sum(map(len, parts)) > ratio * sum(count_tokens(parts)) if parts else True
 
 
 def tiktoken_encoder(vocabulary_text: str) -> Callable[[list[str]], list[int]]:
@@ -79,12 +89,13 @@ def scan(text: str, count_tokens: Callable[[list[str]], list[int]],
         a, run = m.start(), m[0]
         spans += [(a + x.start(), 1, a + x.end()) for x in _access.finditer(run)]
         spans += [(a + x.start(), 2, a + x.end()) for x in _hex.finditer(run)]
-        if len(run) >= least and not known(run):
+        if len(run) >= least and not known(run, count_tokens):
             tested.append((a, m.end(), run))
     tested = [t for t in tested if not any(t[0] < e and s < t[1] for s, _, e in spans)]
     if tested:
         for (a, b, run), n in zip(tested, count_tokens([t[2] for t in tested])):
-            if len(run) <= ratio * n:
+            strict = len(run) < SHORT or not (_digit.search(run) and _letter.search(run))
+            if len(run) <= (min(ratio, STRICT_RATIO) if strict else ratio) * n:
                 spans.append((a, 3, b))
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 

@@ -173,6 +173,24 @@ def test_random_strings_by_token_efficiency():
         assert "random" not in kinds(clean), clean
 
 
+def random_strings(rng, signs, size, n=300):
+    return ["".join(rng.choices(signs, k=size)) for _ in range(n)]
+
+
+def test_letters_short_runs_and_joined_parts_are_tested():
+    import string
+    with open(__import__("ratewise.llm.common", fromlist=["x"]).vocabulary("byte_bpe_50k.tiktoken")) as f:
+        count = secret_scan.tiktoken_encoder(f.read())
+    found = lambda run: any(s[0] == "random" for s in secret_scan.scan(f"key {run} then", count))
+    rng = random.Random(6)
+    letters, base62 = string.ascii_letters, string.ascii_letters + string.digits
+    for signs, size in ((letters, 24), (letters, 64), (base62, 16), (base62, 20), (base62, 24)):
+        assert sum(map(found, random_strings(rng, signs, size))) > 285, (signs, size)
+    assert found("Zx-QwLm-TvBn-KpRs-YcHd-Gj") and found("ZxkQwLmTvBnKpRsYcHdGj7")
+    for clean in ("-" * 40, "=-" * 20, "a/b/c/d/e/f/g/h/i/j", "4111-1111-1111-1111", "user_name_of_account_2", "/usr/share/dictionary/words"):
+        assert not found(clean), clean
+
+
 def test_redact_keeps_clean_rows(spark, docs, rows):
     out = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert secret_scan.redact(docs).schema.names == docs.schema.names
