@@ -4,8 +4,9 @@ Pattern kinds (``assign``, ``access``, ``hex``) find secrets with a known
 shape.  The test finds those without one: a vocabulary learned from natural
 text packs a word into few tokens and a random string into many, so a run of
 credential characters with few characters per token is flagged (``random``).
-Runs that are known digests or identifiers are not tested.  Map-only: one
-Arrow pass, no shuffle; the vocabulary is a fixed file.
+Runs that are known digests or identifiers are not tested, and what a base span
+covers is not tested again: the rest of its run is.  Map-only: one Arrow pass,
+no shuffle; the vocabulary is a fixed file.
 
 Cases: null and empty texts have no spans; repeated rows each get the same
 result; texts of any length are scanned whole; an empty table gives no rows;
@@ -67,6 +68,16 @@ def known(run: str, count_tokens: Callable[[list[str]], list[int]], ratio: float
     return sum(map(len, parts)) > ratio * sum(count_tokens(parts)) if parts else True
 
 
+def pieces(a: int, b: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans (start, kind, end) leave of [a, b)."""
+    out = []
+    for s, _, e in sorted(spans):
+        if s > a:
+            out.append((a, min(s, b)))
+        a = max(a, e)
+    return [p for p in [*out, (a, b)] if p[0] < p[1]]
+
+
 def tiktoken_encoder(vocabulary_text: str) -> Callable[[list[str]], list[int]]:
     """Token counts of strings under a tiktoken rank file's content."""
     import public_tokenizers
@@ -83,15 +94,24 @@ def scan(text: str, count_tokens: Callable[[list[str]], list[int]],
     low = text.lower()
     if any(k in low for k in KEYWORDS):
         spans += [(m.start(), 0, m.end()) for m in _assign.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
-    tested = []
+    runs = []
     # every other kind lies inside a run of credential characters
     for m in _run.finditer(text):
         a, run = m.start(), m[0]
         spans += [(a + x.start(), 1, a + x.end()) for x in _access.finditer(run)]
         spans += [(a + x.start(), 2, a + x.end()) for x in _hex.finditer(run)]
-        if len(run) >= least and not known(run, count_tokens):
-            tested.append((a, m.end(), run))
-    tested = [t for t in tested if not any(t[0] < e and s < t[1] for s, _, e in spans)]
+        runs.append((a, m.end()))
+    tested = []
+    for a, b in runs:
+        if b - a < least or known(text[a:b], count_tokens):
+            continue
+        touching = [s for s in spans if a < s[2] and s[0] < b]
+        for x, y in pieces(a, b, touching):
+            # the sign that joins the rest to a span is not part of it
+            x += x > a and bool(_join.match(text[x]))
+            y -= y < b and y > x and bool(_join.match(text[y - 1]))
+            if y - x >= least and not (touching and known(text[x:y], count_tokens)):
+                tested.append((x, y, text[x:y]))
     if tested:
         for (a, b, run), n in zip(tested, count_tokens([t[2] for t in tested])):
             strict = len(run) < SHORT or not (_digit.search(run) and _letter.search(run))
