@@ -11,6 +11,9 @@ id, or same text and earlier) is removed.
    symbols are words, so a node is a word) and streams all its passages through
    it, which locates every occurrence word for word; all but the first of each
    window are removed.
+3. A gram with more than ``repeats.HOT`` kinds of passages is dealt to no
+   shard: its windows are settled by their hashes, the first place of each
+   found by partial aggregation, the later ones by a join.
 
 A shard's automaton holds the windows of one Arrow batch of grams, whatever the
 corpus' size; every document passes exactly the shards of its own passages.
@@ -110,7 +113,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     facts = {"n_words": F.size("__words").cast("long"), "sha": F.sha2(F.array_join("__words", " "), 256)}
     marks = R.mark(measured, "__id", "__text", kind(window, gram), True, facts, _units, hot)
     last = marks.probes.repartition("key").sortWithinPartitions("key").mapInArrow(_locate(window), "r long, t int, a long, b long")
-    return R.joined(marks, last)
+    return R.joined(marks, last.unionByName(R.told_apart(marks, window, True)))
 
 
 def kept_words(part: pa.RecordBatch, window: int) -> Iterator[tuple[list[bytes], np.ndarray] | None]:

@@ -12,8 +12,9 @@ passes take the most significant digit first:
   settled together;
 * last digits: only of grams with several different runs, one run of each kind
   brings its units, and its windows are told apart one by one in the task of
-  its gram.  A gram with very many kinds is first split by a longer digit, the
-  units common to a few neighbouring windows, so no task holds a hot gram.
+  its gram.  A gram with more than ``HOT`` kinds goes to no task as a whole:
+  each of its windows is a row of its own, a hash of all its units, and the
+  hashes that recur are found by partial aggregation and joined back.
 
 Hot values are folded by partial aggregation before an exchange; joins on hot
 grams are plain equi-joins that adaptive execution splits.
@@ -30,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import scratch, slices
+from .common import SLICE_BYTES, scratch, slices
 
 #: Rows without an id are numbered above this by their text.
 NAMELESS = 1 << 62
-#: Kinds of runs of one gram beyond which it is split by a longer digit.
+#: Kinds of runs of one gram beyond which its windows are rows of their own.
 HOT = 2000
 
 
@@ -111,7 +112,8 @@ def run_rows(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> DataFra
 
 class Marked(NamedTuple):
     texts: DataFrame     # r, t, id, facts, text (null if untouched), whole: runs settled as removed, probe: runs to tell apart
-    probes: DataFrame    # key, r, t, loc, alone, units: runs of grams with several kinds
+    probes: DataFrame    # key, r, t, loc, alone, units: runs of grams with several kinds, at most ``hot``
+    windows: DataFrame   # g, h, r, t, a, alone: windows of runs of grams with more kinds
 
 
 def mark(docs: DataFrame, id_col: str, text_col: str, kind: Kind, first_stays: bool, facts: dict[str, Column],
@@ -144,7 +146,12 @@ def mark(docs: DataFrame, id_col: str, text_col: str, kind: Kind, first_stays: b
         "id", "r", "t", *facts, F.when(F.col("whole").isNotNull() | F.col("probe").isNotNull(), F.col("text")).alias("text"),
         "whole", "probe"), "marked-texts")
     asked = texts.filter("probe is not null").select("r", "t", "text", "probe")
-    return Marked(texts, asked.mapInArrow(_bring(kind, units_of), "key long, r long, t int, loc long, alone boolean, units binary"))
+    few = asked
+    if first_stays:
+        few = asked.withColumn("probe", F.filter("probe", lambda m: ~m["hot"])).filter(F.size("probe") > 0)
+    many = asked.withColumn("probe", F.filter("probe", lambda m: m["hot"])).filter(F.size("probe") > 0)
+    return Marked(texts, few.mapInArrow(_bring(kind, units_of), "key long, r long, t int, loc long, alone boolean, units binary"),
+                  many.mapInArrow(_apart(kind), "g long, h long, r long, t int, a long, alone boolean"))
 
 
 def _bring(kind: Kind, units_of: Callable):
@@ -185,6 +192,56 @@ def _bring(kind: Kind, units_of: Callable):
     return run
 
 
+def _apart(kind: Kind):
+    """Every window of each probe as a row: the gram, a hash of all its units,
+    and its place.  Repeated rows of a task give theirs once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES // 4):
+                new = []
+                for i, row in enumerate(zip(part.column("r").to_pylist(), part.column("t").to_pylist())):
+                    if row not in done:
+                        done.add(row)
+                        new.append(i)
+                if not new:
+                    continue
+                part = part.take(pa.array(new))
+                u = kind.units(*K.flat(part.column("text")))
+                probe = part.column("probe")
+                m = probe.flatten()
+                low, _, high = placed(m.field("loc").to_numpy())
+                count = high - low + 1
+                of = np.repeat(np.arange(len(count)), count)
+                doc = np.repeat(np.arange(len(probe)), probe.value_lengths().to_numpy())[of]
+                a = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                start = u.first[doc] + a
+                h = u.hashes.ranges(start, start + kind.window)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [m.field("g").take(pa.array(of)), pa.array(h.view(np.int64)), part.column("r").take(take), part.column("t").take(take),
+                     pa.array(a), m.field("alone").take(pa.array(of))], names=["g", "h", "r", "t", "a", "alone"])
+    return run
+
+
+def told_apart(marks: Marked, window: int, first_stays: bool) -> DataFrame:
+    """The cuts (r, t, a, b) among the windows of hot grams.
+
+    Equal windows are folded before the exchange, and the join back is of two
+    written tables, so a window of any number of rows can be split."""
+    rows = scratch(marks.windows, "windows")
+    if first_stays:
+        at = F.struct("r", "a")
+        seen = rows.groupBy("g", "h").agg(F.min(at).alias("x"), F.max(at).alias("y")).filter("x < y").select("g", "h", "x")
+        hit = at > F.col("x")
+    else:
+        # repeated input rows give one place several times
+        at = F.xxhash64("r", "t", "a")
+        seen = rows.groupBy("g", "h").agg(F.min(at).alias("x"), F.max(at).alias("y")).filter("x < y").select("g", "h")
+        hit = F.col("alone")
+    return rows.join(scratch(seen, "repeated-windows"), ["g", "h"]).filter(hit).select("r", "t", "a", (F.col("a") + window).alias("b"))
+
+
 def joined(marks: Marked, last: DataFrame) -> DataFrame:
     """The marked texts with the ``cuts`` (first unit, end unit) that the last
     pass found for them."""

@@ -130,6 +130,18 @@ def test_substrings(docs, rows, nothing, window, gram, hot):
         assert suffix_dedup.substring_rows(nothing).count() == 0
 
 
+def shared_passage(n: int, size: int) -> list[tuple[int, str]]:
+    """One passage in n documents, each with surroundings of its own."""
+    rng = random.Random(12)
+    passage = words(rng, size)
+    own = lambda: [f"u{rng.randrange(10 ** 9)}" for _ in range(15)]
+    return [(i, " ".join([*own(), *passage, *own()])) for i in range(n)]
+
+
+def largest_group(probes) -> int:
+    return max((r["count"] for r in probes.groupBy("key").count().collect()), default=0)
+
+
 def test_kept_bytes(docs, rows):
     left = by_id(suffix_dedup.kept_bytes(docs), "kept")
     expect = brute.repeated_bytes([*rows, (100, rows[6][1])], 200)
@@ -402,6 +414,15 @@ def test_phrases(docs, rows, nothing, window, gram, hot):
         assert phrase_automata.phrase_rows(nothing).count() == 0
 
 
+def test_a_passage_in_every_text_is_no_group_of_phrases(spark):
+    rows = shared_passage(60, 70)
+    df = spark.createDataFrame([*rows, rows[0], rows[5]], "doc_id long, text string").repartition(3)
+    out = phrase_automata.phrase_rows(df, hot=10)
+    assert by_id(out, "n_words", "n_removed", "kept_sha256") == brute.repeated_words(rows)
+    marks = phrase_automata.R.mark(df, "doc_id", "text", phrase_automata.kind(), True, {}, phrase_automata._units, 10)
+    assert largest_group(marks.probes) <= 10 and marks.windows.count() > 60
+
+
 def test_kept_texts(docs, rows):
     left = by_id(phrase_automata.kept_texts(docs), "text")
     expect = brute.repeated_words(rows, 20)
