@@ -49,7 +49,7 @@ _word = re.compile(rb"[^ \t-\r]+")
 def kind(window: int = WINDOW, gram: int = GRAM) -> R.Kind:
     if window - gram > 255 or gram > window:
         raise ValueError("the window must have fewer than 256 grams")
-    return R.Kind(window, gram, 1, R.word_units(gram))
+    return R.Kind(window, gram, R.word_units(gram))
 
 
 def _units(data: bytes, low: np.ndarray, end: np.ndarray) -> list[bytes]:

@@ -49,7 +49,6 @@ class Kind(NamedTuple):
     """What a window is made of."""
     window: int
     gram: int
-    step: int                                   # windows of a split run
     units: Callable[[np.ndarray, np.ndarray], Units]   # of (bytes, offsets)
 
 
@@ -146,18 +145,14 @@ def mark(docs: DataFrame, id_col: str, text_col: str, kind: Kind, first_stays: b
         "id", "r", "t", *facts, F.when(F.col("whole").isNotNull() | F.col("probe").isNotNull(), F.col("text")).alias("text"),
         "whole", "probe"), "marked-texts")
     asked = texts.filter("probe is not null").select("r", "t", "text", "probe")
-    few = asked
-    if first_stays:
-        few = asked.withColumn("probe", F.filter("probe", lambda m: ~m["hot"])).filter(F.size("probe") > 0)
+    few = asked.withColumn("probe", F.filter("probe", lambda m: ~m["hot"])).filter(F.size("probe") > 0)
     many = asked.withColumn("probe", F.filter("probe", lambda m: m["hot"])).filter(F.size("probe") > 0)
-    return Marked(texts, few.mapInArrow(_bring(kind, units_of), "key long, r long, t int, loc long, alone boolean, units binary"),
+    return Marked(texts, few.mapInArrow(_bring(units_of, kind.window), "key long, r long, t int, loc long, alone boolean, units binary"),
                   many.mapInArrow(_apart(kind), "g long, h long, r long, t int, a long, alone boolean"))
 
 
-def _bring(kind: Kind, units_of: Callable):
-    """The units of each probe; a hot gram's run in pieces of ``step`` windows,
-    keyed by what the piece's windows have in common.  Repeated rows of a task
-    bring theirs once."""
+def _bring(units_of: Callable, window: int):
+    """The units of each probe.  Repeated rows of a task bring theirs once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
@@ -167,24 +162,9 @@ def _bring(kind: Kind, units_of: Callable):
                     if (r, t) in done:
                         continue
                     done.add((r, t))
-                    data = text.encode()
-                    u = None
-                    take: list[tuple[int, int, int, bool]] = []
-                    for m in probe:
-                        if not m["hot"]:
-                            take.append((m["g"], m["loc"], 0, m["alone"]))
-                            continue
-                        u = u or kind.units(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                        low, anchor, high = (int(x) for x in placed(np.int64(m["loc"])))
-                        for d in range((anchor - high) // kind.step, (anchor - low) // kind.step + 1):
-                            e1, e2 = d * kind.step, (d + 1) * kind.step - 1
-                            a, b = max(low, anchor - e2), min(high, anchor - e1)
-                            core = u.hashes.ranges(np.array([anchor - e1]), np.array([anchor - e2 + kind.window]))
-                            key = K.mix(core + np.uint64(m["g"] & 0xFFFFFFFFFFFFFFFF))
-                            take.append((int(key.view(np.int64)[0]), int(place(np.int64(a), np.int64(anchor), np.int64(b))), 1, m["alone"]))
-                    low, _, high = placed(np.array([x[1] for x in take], np.int64))
-                    for x, units in zip(take, units_of(data, low, high + kind.window)):
-                        out.append((x[0], r, t, x[1], x[3], units))
+                    low, _, high = placed(np.array([m["loc"] for m in probe], np.int64))
+                    for m, units in zip(probe, units_of(text.encode(), low, high + window)):
+                        out.append((m["g"], r, t, m["loc"], m["alone"], units))
                 if out:
                     cols = list(zip(*out))
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())

@@ -30,13 +30,12 @@ from .minhash import groups
 
 WINDOW = 200
 GRAM = 32
-STEP = 16
 
 
-def kind(window: int = WINDOW, gram: int = GRAM, step: int = STEP) -> R.Kind:
+def kind(window: int = WINDOW, gram: int = GRAM) -> R.Kind:
     if window - gram > 255 or gram > window:
         raise ValueError("the window must have fewer than 256 grams")
-    return R.Kind(window, gram, step, R.byte_units(gram))
+    return R.Kind(window, gram, R.byte_units(gram))
 
 
 def _units(data: bytes, low: np.ndarray, end: np.ndarray) -> list[bytes]:
@@ -114,7 +113,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
     facts = {"n_bytes": F.octet_length(text).cast("long"), "sha": F.sha2(F.encode(text, "UTF-8"), 256)}
     marks = R.mark(docs, id_col, text_col, kind(window, gram), False, facts, _units, hot)
     last = marks.probes.repartition("key").sortWithinPartitions("key").mapInArrow(_last_digits(window), "r long, t int, a long, b long")
-    return R.joined(marks, last)
+    return R.joined(marks, last.unionByName(R.told_apart(marks, window, False)))
 
 
 def substring_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,

@@ -142,6 +142,16 @@ def largest_group(probes) -> int:
     return max((r["count"] for r in probes.groupBy("key").count().collect()), default=0)
 
 
+def test_a_passage_in_every_text_is_no_group_of_substrings(spark):
+    rows = shared_passage(60, 70)
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string").repartition(3)
+    expect = brute.repeated_bytes([*rows, (100, rows[0][1])], 200)
+    out = suffix_dedup.substring_rows(df, hot=10)
+    assert by_id(out, "n_bytes", "n_removed", "n_spans", "kept_sha256") == {i: expect[i] for i, _ in rows}
+    marks = suffix_dedup.R.mark(df, "doc_id", "text", suffix_dedup.kind(), False, {}, suffix_dedup._units, 10)
+    assert largest_group(marks.probes) <= 10 and marks.windows.count() > 60
+
+
 def test_kept_bytes(docs, rows):
     left = by_id(suffix_dedup.kept_bytes(docs), "kept")
     expect = brute.repeated_bytes([*rows, (100, rows[6][1])], 200)
