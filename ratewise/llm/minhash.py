@@ -21,7 +21,8 @@ At similarity 0.8 a pair shares no bucket with probability
 Cases: null and empty texts and texts without words have no shingle and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
 equal rows are one class; ids are integers that name a document, and a row
-without id is in its texts' group but never gives the group its name; an empty
+without id is in its texts' group but never gives the group its name; of a
+group without any id the rows of the smallest row key are kept; an empty
 table gives no rows; other columns are ignored (``drop_copies`` carries them).
 """
 
@@ -297,21 +298,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = (more.join(name("u"), "u", "left").join(name("v"), "v", "left")
             .select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v")))
     joined = components(more)
-    groups_ = (classes.select("f1", "f2", "n", "c", "rows").join(comps.withColumnRenamed("node", "c"), "c", "left")
+    groups_ = (classes.select("f1", "f2", "n", "c", "rows", "k1", "k2").join(comps.withColumnRenamed("node", "c"), "c", "left")
                .withColumn("comp", F.coalesce("comp", "c"))
                .join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("last")), "comp", "left")
-               .select("f1", "f2", "n", "c", "rows", F.coalesce("last", "comp").alias("g"))
-               # a class of one row that is its own group needs no lookup
-               .filter("rows > 1 or g <> c").select("f1", "f2", "n", "g"))
+               .select("f1", "f2", "n", "c", "rows", "k1", "k2", F.coalesce("last", "comp").alias("g")))
+    # a class of one row that is its own group needs no lookup if it has an id
+    groups_ = scratch(groups_.filter(f"rows > 1 or g <> c or g >= {NAMELESS}"), "groups")
+    # a group without any id is kept by its smallest row key
+    nameless = groups_.filter(F.col("g") >= NAMELESS)
+    low = scratch(nameless.groupBy("g").agg(F.min(F.struct("k1", "k2")).alias("low")), "nameless")
+    groups_ = (nameless.join(low, "g").select("f1", "f2", "n", "g", "low")
+               .unionByName(groups_.filter(F.col("g") < NAMELESS).select("f1", "f2", "n", "g"), allowMissingColumns=True))
     out = signed.select("id", "k1", "k2", "n", "f1", "f2").join(groups_, ["f1", "f2", "n"], "left")
     group = F.when(F.col("g") >= NAMELESS, F.lit(None)).otherwise(F.coalesce("g", "id"))
+    kept = F.when(F.col("low").isNotNull(), F.struct("k1", "k2") == F.col("low")).otherwise(F.col("id").eqNullSafe(group))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"),
-                      F.col("id").eqNullSafe(group).alias("kept"), "k1", "k2")
+                      kept.alias("kept"), "k1", "k2")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with all its columns: the one whose id names
-    the group.  Of rows with the same id and text one stays."""
+    the group, or the smallest row key if no row of the group has an id.  Of
+    rows with the same id and text one stays."""
     gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select("k1", "k2").distinct()
     keyed = pack(docs, text_col).select("*", *row_key(F.col(f"__row.`{id_col}`"), F.col("__text0"))).drop("__text0")
     left = keyed.join(gone, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.first("__row").alias("__row"))

@@ -341,6 +341,24 @@ def test_rows_without_id_never_name_a_group(spark):
     assert sorted((r.doc_id or 0, r.text[:5]) for r in minhash.drop_copies(df).collect()) == [(0, "alone"), (7, t[:5])]
 
 
+def test_one_row_of_a_group_without_ids_is_kept(spark):
+    rng = random.Random(10)
+    chain, other = [words(rng, 60)], words(rng, 50)
+    for i in range(3):  # neighbours are near, the ends need not be
+        chain.append([*chain[-1][:-2], f"x{i}", f"y{i}"])
+    rows = [*[(None, " ".join(c)) for c in chain], (None, " ".join(chain[0]).upper()), (None, " ".join(chain[1])),
+            (None, " ".join(other)), (3, " ".join(other) + " x"), (None, " ".join(words(rng, 40))), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = minhash.near_duplicates(df)
+    assert out.count() == len(rows)
+    left = [(r.doc_id, r.text) for r in minhash.drop_copies(df).collect()]
+    texts = {t for _, t in rows[:6]}
+    assert sum(t in texts for _, t in left) == 1
+    assert sorted(map(str, (x for x in left if x[1] not in texts))) == sorted(map(str, [rows[7], *rows[8:]]))
+    again = [r.text for r in minhash.drop_copies(df.repartition(1)).collect()]
+    assert sorted(map(str, again)) == sorted(str(t) for _, t in left)
+
+
 def test_drop_copies_keeps_columns_and_one_of_each(docs, rows):
     out = minhash.drop_copies(docs)
     assert out.schema.names == docs.schema.names
