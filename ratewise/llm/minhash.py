@@ -265,7 +265,10 @@ def _rest(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT,
                     cut: float = CUT, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of the
-    group), kept, and the row key k1, k2."""
+    group), kept, and the row key k1, k2.  The bands and the signature cut are
+    made for a ``percent`` of ``PERCENT`` or more; a lower one is an error."""
+    if percent < PERCENT:
+        raise ValueError(f"the bands find pairs of {PERCENT} percent or more, not {percent}")
     signed = scratch(_signed(docs, id_col, text_col, width), "signed")
     # partial aggregation folds a class of any size before the exchange
     classes = scratch(

@@ -341,6 +341,11 @@ def test_rows_without_id_never_name_a_group(spark):
     assert sorted((r.doc_id or 0, r.text[:5]) for r in minhash.drop_copies(df).collect()) == [(0, "alone"), (7, t[:5])]
 
 
+def test_a_similarity_below_the_bands_is_an_error(docs):
+    with pytest.raises(ValueError, match="80 percent"):
+        minhash.near_duplicates(docs, percent=50)
+
+
 def test_one_row_of_a_group_without_ids_is_kept(spark):
     rng = random.Random(10)
     chain, other = [words(rng, 60)], words(rng, 50)
