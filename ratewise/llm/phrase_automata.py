@@ -16,7 +16,7 @@ id, or same text and earlier) is removed.
    found by partial aggregation, the later ones by a join.
 
 A shard's automaton holds the windows of one Arrow batch of grams, whatever the
-corpus' size; every document passes exactly the shards of its own passages.
+corpus' size; of equal passages only the first goes to a shard.
 
 Cases: null and empty texts have no words; texts of fewer words than a window
 lose nothing; rows with the same id and text are one text (neither is earlier);
