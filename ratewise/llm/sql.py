@@ -113,7 +113,24 @@ kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n fro
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)"""
 
+OP13 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, (row_number() over o)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window o as (partition by anchor_id, positive_id order by score desc, id)
+qualify row_number() over o <= 10"""
+
 ORACLE: dict[str, str] = {
     "op2_sharding": OP2, "op3_suffix_dedup": OP3, "op6_minhash": OP6, "op8_phrase_automata": OP8,
-    "op9_quality_rules": OP9, "op10_decontamination": OP10,
+    "op9_quality_rules": OP9, "op10_decontamination": OP10, "op13_hard_negatives": OP13,
 }
