@@ -78,7 +78,7 @@ def words(column: pa.Array) -> Words:
     breaks = np.r_[0, np.cumsum(kind == 2)]
     text = np.searchsorted(offsets, starts, side="right") - 1
     joined = (breaks[ends[:-1]] == breaks[starts[1:]]) & (text[:-1] == text[1:]) if len(starts) else np.zeros(0, bool)
-    one, two = Prefix(data).ranges(starts, ends), Prefix(data[::1] ^ np.uint8(0xA5)).ranges(starts, ends)
+    one, two = Prefix(data).ranges(starts, ends), Prefix(data ^ np.uint8(0xA5)).ranges(starts, ends)
     return Words(np.r_[data, np.uint8(32)], starts, ends, joined, text, np.stack([one, two]))
 
 
@@ -229,13 +229,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     known = _scan(known, back, tails, "before").filter("size >= 2").filter(100 * F.greatest("after", "before") < cover * F.col("f"))
     known = known.join(F.broadcast(totals), "lang")  # one row per language
     big = "cast({} as decimal(18, 0))"
-    cut = [f"case when size > {k} then {{tail}} end" for k in range(1, LONGEST)]
     options = []
     for k in range(1, LONGEST):
         r = "case " + " ".join(f"when size = {n} then t{n - k}" for n in range(k + 1, LONGEST + 1)) + " end"
         score = f"(1000 * ({big.format('f')} * {big.format('n')})) div ({big.format(f'h{k}')} * {big.format(f'({r})')})"
         options.append(f"case when size > {k} then struct({score} as score, {k} as k, h{k} as l, {r} as r) end")
-    del cut
     known = known.withColumn("best", F.expr(f"array_min(array({', '.join(options)}))"))
     out = known.select("lang", "phrase", F.col("f").alias("a"), "best.l", "best.r", "n", "best.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

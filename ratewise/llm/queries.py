@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, hard_negatives, language_id, minhash, phrase_automata, pii_crf, quality_rules, secret_scan, sharding,
+from . import (collocations, decontaminate, hard_negatives, language_id, minhash, phrase_automata, pii_crf, quality_rules, secret_scan, sharding,
                sp_sampling, suffix_dedup, token_counts)
 from .common import documents
 from .sql import ORACLE
@@ -61,10 +61,14 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_rows(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.negative_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_counts, op2_sharding, op3_suffix_dedup, op4_secret_scan, op5_sentencepiece, op6_minhash, op7_pii_crf, op8_phrase_automata,
-    op9_quality_rules, op10_decontamination, op11_language_id, op13_hard_negatives)}
+    op9_quality_rules, op10_decontamination, op11_language_id, op12_collocations, op13_hard_negatives)}

@@ -113,6 +113,28 @@ kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n fro
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)"""
 
+OP12 = rf"""
+with piece as (select row_number() over () as r, coalesce(lang, 'und') as lang,
+    unnest(string_split_regex({_LOWER}, '[.,;:!?\n\x0b\x0c\r]')) as t from documents),
+w as (select lang, ws from (select lang, regexp_extract_all(t, '[^ \t]+') as ws from piece) where len(ws) > 0),
+total as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+gram as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+         from w, range(1, 6) as s(k) where len(ws) >= k),
+f as (select lang, k, phrase, string_split(phrase, ' ') as ws, count(*)::hugeint as a from gram group by all having count(*) >= 100),
+cut as (
+  select c.lang, c.phrase, c.a, x.a as l, y.a as r, total.n, x.k as first, (1000 * c.a * total.n) // (x.a * y.a) as score
+  from f c join f x on x.lang = c.lang and x.k < c.k and x.phrase = array_to_string(c.ws[1:x.k], ' ')
+    join f y on y.lang = c.lang and y.k = c.k - x.k and y.phrase = array_to_string(c.ws[x.k + 1:], ' ')
+    join total on total.lang = c.lang),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, first) = 1),
+part as (select distinct lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, a
+         from f, range(2, 5) as s(m), range(1, 5) as t(i) where m < k and i + m - 1 <= k),
+held as (select distinct best.lang, best.phrase from best join part on part.lang = best.lang and part.phrase = best.phrase and 100 * part.a >= 100 * best.a)
+select lang, row_number() over o as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from best anti join held using (lang, phrase)
+window o as (partition by lang order by score desc, a desc, phrase)
+qualify row_number() over o <= 2000"""
+
 OP13 = """
 with e as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
@@ -132,5 +154,5 @@ qualify row_number() over o <= 10"""
 
 ORACLE: dict[str, str] = {
     "op2_sharding": OP2, "op3_suffix_dedup": OP3, "op6_minhash": OP6, "op8_phrase_automata": OP8,
-    "op9_quality_rules": OP9, "op10_decontamination": OP10, "op13_hard_negatives": OP13,
+    "op9_quality_rules": OP9, "op10_decontamination": OP10, "op12_collocations": OP12, "op13_hard_negatives": OP13,
 }
