@@ -109,6 +109,20 @@ class LexiconScorer:
         return spark.createDataFrame(rows, "term string, label string, weight double")
 
 
+_DEFAULT: list = []
+
+
+def set_default_scorer(scorer) -> None:
+    """Make ``scorer`` (a ``TrainedScorer``, say) the one that jobs use when
+    they are given none; ``None`` goes back to the word list."""
+    _DEFAULT[:] = [] if scorer is None else [scorer]
+
+
+def default_scorer():
+    """The scorer of jobs that are given none."""
+    return _DEFAULT[0] if _DEFAULT else LexiconScorer()
+
+
 def lexicon_scores_join(df: DataFrame, key: str, cleaned: str, lexicon: DataFrame,
                         bias: float = DEFAULT_BIAS) -> DataFrame:
     """M10 for a lexicon table (term, label, weight) of any size: explode the

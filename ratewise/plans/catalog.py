@@ -816,3 +816,38 @@ def q_conversation_rollup(spark, sf_dir):
     s = jobs.score_and_rate(c, "text")
     out = reports.compliance_rollup(s, "role", "mcr_rating", "severity")
     return out.withColumn("level", F.col("level").cast("int"))
+
+
+# ---------------------------------------------------------------------------
+# The trained scorer (M4, M8): fitted on the labels, tested on held-out rows
+# ---------------------------------------------------------------------------
+
+TRAINED_LABELS = ["quality", "toxic"]
+
+
+def _labelled_documents(spark, sf_dir):
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", *TRAINED_LABELS)
+    return _docs_table(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
+
+
+def _trained(spark, sf_dir):
+    from ratewise.operators import trained
+    rows = _labelled_documents(spark, sf_dir).filter(~trained.held_out("doc_id"))
+    return trained.train(rows, TRAINED_LABELS, categories={"language": "toxic"})
+
+
+@register("trained_scorer_metrics")
+def q_trained_scorer_metrics(spark, sf_dir):
+    """The trained scorer on the labelled rows it has not seen."""
+    from ratewise.operators import trained
+    held = _labelled_documents(spark, sf_dir).filter(trained.held_out("doc_id")).withColumn("cleaned", X.clean_text("text"))
+    return trained.held_out_metrics(_trained(spark, sf_dir).probabilities(held, "cleaned"), TRAINED_LABELS)
+
+
+@register("trained_score_and_rate")
+def q_trained_score_and_rate(spark, sf_dir):
+    """V13 / M8 with the trained scorer: every document rated, the language
+    probability from the model of the toxic label."""
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir).select("doc_id", "text"), "text", scorer=_trained(spark, sf_dir))
+    return s.select("doc_id", F.round(V.prob("raw_probabilities", 4), 6).alias("p_language"), "mcr_rating", "mcr_descriptors",
+                    F.round("severity", 6).alias("severity"), "safety_level", "kid_safe")

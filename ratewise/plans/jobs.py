@@ -32,7 +32,7 @@ from ratewise.functions import text as X
 from ratewise.operators import joins, quality, rate
 from ratewise.operators.index import with_row_index
 from ratewise.operators.partitioning import spread
-from ratewise.operators.scoring import LexiconScorer, apply_scorer, with_analysis
+from ratewise.operators.scoring import apply_scorer, default_scorer, with_analysis
 from ratewise.session import write_table
 from ratewise.sources import csv_io
 
@@ -107,7 +107,7 @@ def with_classification(df: DataFrame, explicit="explicit", violence="violence",
 
 def analyse_text(df: DataFrame, text_col: str = "text", scorer=None, mode: str = "token") -> DataFrame:
     """M8: add ``cleaned``, ``probs`` and the DM5 columns."""
-    scorer = scorer or LexiconScorer()
+    scorer = scorer or default_scorer()
     with_clean = spread(df).withColumn("cleaned", X.clean_text(text_col, mode))
     scored = apply_scorer(with_clean, scorer, "cleaned", "probs")
     return with_analysis(scored, "probs", words=X.word_count(text_col), empty=F.col("cleaned") == "")
@@ -134,7 +134,7 @@ def dedup_score_and_rate(df: DataFrame, id_col: str, text_col: str = "text", sco
        ``rows_per_task`` rows is dealt to as many buckets as it needs.
 
     Both writes run when the function is called."""
-    scorer = scorer or LexiconScorer()
+    scorer = scorer or default_scorer()
     keep = keep or []
     keyed = spread(df).select(id_col, *keep, X.word_count(text_col).alias("total_words"),
                               X.clean_text(text_col, mode).alias("cleaned"))
