@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_text, scratch, slices, vocabulary
+from .textkit import mix
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words of more letters are left out of learning (scoring takes any length).
@@ -53,12 +54,17 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces(NamedTuple):
-    """The vocabulary: text of each piece -> id (and of each beginning of a piece
-    that is none itself -> -1), ids of the 256 bytes, size, longest piece."""
+    """The vocabulary as a trie: ``ids`` gives the id of each piece, ``bytes``
+    the ids of the 256 single bytes.  A step from a node by a character is looked
+    up in an open hash table of (node, character) -> node; ``piece`` is the piece
+    that ends at a node, or -1."""
     ids: dict[str, int]
     bytes: list[int]
     size: int
     longest: int
+    keys: np.ndarray
+    nodes: np.ndarray
+    piece: np.ndarray
 
 
 class Model(NamedTuple):
@@ -77,11 +83,38 @@ def pieces(proto: bytes) -> Pieces:
             single[int(sp.id_to_piece(i)[3:5], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             ids[sp.id_to_piece(i)] = i
-    longest = max(map(len, ids))
-    for text in list(ids):
-        for j in range(1, len(text)):
-            ids.setdefault(text[:j], -1)
-    return Pieces(ids, single, sp.get_piece_size(), longest)
+    node = {"": 0}
+    for text in ids:
+        for j in range(1, len(text) + 1):
+            node.setdefault(text[:j], len(node))
+    steps = [(node[x[:-1]] << 21 | ord(x[-1]), n) for x, n in node.items() if x]
+    room = 1 << (4 * len(steps)).bit_length()
+    keys, nodes = np.full(room, -1, np.int64), np.zeros(room, np.int32)
+    for (key, n), at in zip(steps, _slot(np.array([k for k, _ in steps]), room).tolist()):
+        while keys[at] >= 0:
+            at = (at + 1) % room
+        keys[at], nodes[at] = key, n
+    return Pieces(ids, single, sp.get_piece_size(), max(map(len, ids)), keys, nodes, np.array([ids.get(x, -1) for x in node]))
+
+
+def _slot(key: np.ndarray, room: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64)) & np.uint64(room - 1)).astype(np.int64)
+
+
+def step(vocab: Pieces, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """The node behind each step, or -1."""
+    key = node.astype(np.int64) << 21 | char
+    at = _slot(key, len(vocab.keys))
+    seen = vocab.keys[at]
+    out = np.where(seen == key, vocab.nodes[at], -1)
+    open_ = np.flatnonzero((seen != key) & (seen >= 0))
+    while len(open_):  # the next slots, up to an empty one
+        at[open_] = (at[open_] + 1) % len(vocab.keys)
+        seen = vocab.keys[at[open_]]
+        hit = seen == key[open_]
+        out[open_[hit]] = vocab.nodes[at[open_[hit]]]
+        open_ = open_[(seen >= 0) & ~hit]
+    return out
 
 
 class Edges(NamedTuple):
@@ -98,34 +131,34 @@ class Edges(NamedTuple):
 
 
 def edges(words: list[str], vocab: Pieces) -> Edges:
-    """Lattices of words of at most ``LONGEST`` letters."""
-    get = vocab.ids.get
-    packed, number, chars, at = [], [], [], {}
-    add = packed.append
-    for w in words:
-        w = "▁" + w
-        size, before = len(w), len(packed)
-        for i in range(size):
-            for j in range(i + 1, size + 1):
-                k = get(w[i:j])
-                if k is None or k < 0:
-                    if j == i + 1:  # no piece of its own: its bytes
-                        c = at.get(w[i])
-                        if c is None:
-                            c = at[w[i]] = -1 - len(chars)
-                            chars.append(w[i])
-                        add((c << 12) | (i << 6) | j)
-                    if k is None:
-                        break
-                else:
-                    add((k << 12) | (i << 6) | j)
-        number.append(len(packed) - before)
-    code = np.array(packed, dtype=np.int64)
-    end = code & 63
-    order = np.argsort(end, kind="stable")
-    code = code[order]
-    word = np.repeat(np.arange(len(words)), number)[order]
-    return Edges(word, (code >> 6) & 63, end[order], code >> 12, chars, np.array([len(w) + 1 for w in words], dtype=np.int64))
+    """Lattices of words of at most ``LONGEST`` letters: all places of all words
+    go down the trie together, one character a round."""
+    size = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    text = "▁" + "▁".join(words)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    stop = np.cumsum(size)
+    word = np.repeat(np.arange(len(words)), size)
+    begin = (stop - size)[word]
+    place, node = np.arange(len(chars)), np.zeros(len(chars), np.int32)
+    found = []
+    for depth in range(1, vocab.longest + 1):
+        node = step(vocab, node, chars[place + depth - 1])
+        piece = np.where(node >= 0, vocab.piece[node], -1)
+        if depth == 1:  # a character that is no piece itself stands for its bytes
+            bare = piece < 0
+            codes, number = np.unique(chars[bare], return_inverse=True)
+            found.append((place[bare], np.full(bare.sum(), 1), -1 - number))
+        whole = piece >= 0
+        found.append((place[whole], np.full(whole.sum(), depth), piece[whole]))
+        on = (node >= 0) & (place + depth < stop[word[place]])
+        place, node = place[on], node[on]
+        if not len(place):
+            break
+    place, length, piece = (np.concatenate(x) for x in zip(*found))
+    start = place - begin[place]
+    end, owner = start + length, word[place]
+    order = np.argsort(end * len(words) + owner, kind="stable")
+    return Edges(owner[order], start[order], end[order], piece[order], [chr(c) for c in codes.tolist()], size)
 
 
 def _weights(e: Edges, vocab: Pieces, p: np.ndarray) -> np.ndarray:
