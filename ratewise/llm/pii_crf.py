@@ -8,8 +8,9 @@ numpy batches over all lines of an Arrow slice.  Map-only: no shuffle; the
 model is a few thousand numbers.
 
 The labelled table is a bounded sample (``rows`` texts with an ``@`` or ``+``
-and as many others, the first by a hash of their id), its words labelled by
-the patterns; ``train`` takes any other table of the same form.
+and as many others, the first by a hash of the row, of at most ``LONGEST``
+bytes each), its words labelled by the patterns; ``train`` takes any other table
+of the same form.
 
 Cases: null and empty texts have no spans; repeated rows each get the same
 result; texts of any length are decoded whole; an empty table (or one without
@@ -68,7 +69,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The patterns' spans (code points, end exclusive), by kind then start."""
     spans = [("email", a, b) for a, b in emails(text)]
-    spans += [("ip", m.start(), m.end()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    spans += [("ip", m.start(), m.end()) for m in _ip.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (d.lstrip("0") for d in m[0].split(".")))]
     for m in _card.finditer(text):
         if m.end() - m.start() >= 16:
             d = m[0].replace(" ", "").replace("-", "")
@@ -213,7 +214,7 @@ def train(ids: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float =
 # ---------------------------------------------------------- labelled table
 
 SAMPLE = 300   # texts of each of the two samples
-LONGEST = 20_000   # characters of a sampled text
+LONGEST = 20_000   # bytes of a sampled text
 WINDOW = 12    # words of a training sequence
 
 
@@ -262,12 +263,23 @@ def labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE) -> list[str]:
-    """At most 2 * ``rows`` texts for the labelled table, in a fixed order."""
+    """About ``rows`` texts with a sign of personal data and as many others, the
+    first by a hash of the row, in a fixed order.  The hash bound that holds
+    them follows from two counts, so no more than these texts leave the tasks."""
     text = F.col(text_col)
     usable = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).filter(F.octet_length("text") <= LONGEST)
     marked = F.contains("text", F.lit("@")) | F.contains("text", F.lit("+"))
-    take = lambda df: [r.text for r in df.orderBy("h", "text").limit(rows).collect()]
-    return take(usable.filter(marked)) + take(usable.filter(~marked))
+    usable = usable.withColumn("marked", marked)
+    found = usable.agg(F.count_if("marked").alias("a"), F.count_if(~F.col("marked")).alias("b")).first()
+
+    def bound(n: int) -> int:
+        """Twice the rows wanted lie below it, on average."""
+        return min(2 ** 63 - 1, -2 ** 63 + (2 ** 64 * 2 * rows) // max(n, 1))
+
+    few = usable.filter(F.col("h") <= F.when(F.col("marked"), F.lit(bound(found.a))).otherwise(F.lit(bound(found.b))))
+    held = sorted((not r.marked, r.h, r.text) for r in few.collect())
+    take = lambda other: [t for o, _, t in held if o == other][:rows]
+    return take(False) + take(True)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Model | None:
