@@ -851,3 +851,80 @@ def q_trained_score_and_rate(spark, sf_dir):
     s = jobs.score_and_rate(_docs_table(spark, sf_dir).select("doc_id", "text"), "text", scorer=_trained(spark, sf_dir))
     return s.select("doc_id", F.round(V.prob("raw_probabilities", 4), 6).alias("p_language"), "mcr_rating", "mcr_descriptors",
                     F.round("severity", 6).alias("severity"), "safety_level", "kid_safe")
+
+
+# ---------------------------------------------------------------------------
+# Sentences (T7): statistics over all documents, then boundaries per document
+# ---------------------------------------------------------------------------
+
+_SENTENCE_STATS = r"""
+WITH piece AS (
+  SELECT r, doc_id, text, unnest(ps) AS p, unnest(range(len(ps))) AS tok_no
+  FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+[ \t-\r]*') AS ps FROM documents)),
+tok AS (
+  SELECT r, doc_id, tok_no, p, contains(p, chr(10)) AS line,
+         regexp_replace(regexp_replace(regexp_extract(p, '^[^ \t-\r]+'), '^["''(\[]+', ''), '["'')\]]+$', '') AS core FROM piece),
+typed AS (
+  SELECT *, CASE WHEN regexp_matches(w, '^\p{L}[\p{L}.]*$') THEN w END AS type
+  FROM (SELECT *, translate(regexp_replace(core, '\.$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM tok)),
+followed AS (SELECT *, lead(core) OVER o AS next, lead(type) OVER o AS next_type FROM typed WINDOW o AS (PARTITION BY r ORDER BY tok_no)),
+whole AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (WHERE suffix(core, '.')) / count(*)::DOUBLE AS share FROM typed),
+types AS (
+  SELECT type, count(*) FILTER (WHERE suffix(core, '.')) AS c_period, count(*) FILTER (WHERE NOT suffix(core, '.')) AS c_plain
+  FROM typed WHERE type IS NOT NULL GROUP BY type),
+scored AS (
+  SELECT type, c_period, c_plain,
+         2 * (c_period * ln(0.99) + c_plain * ln(0.01)
+              - (c_period * ln(share) + CASE WHEN c_plain > 0 THEN c_plain * ln(1 - share) ELSE 0 END))
+         * exp(-length(replace(type, '.', ''))::DOUBLE) * (length(type) - length(replace(type, '.', '')) + 1)
+         * pow(length(replace(type, '.', ''))::DOUBLE, -c_plain) AS score
+  FROM types, whole WHERE c_period > 0),
+abbr AS (SELECT type FROM scored WHERE score >= 0.3),
+sure AS (
+  SELECT next_type AS type FROM followed
+  WHERE next IS NOT NULL AND NOT line AND regexp_matches(core, '[.!?]$')
+    AND NOT (suffix(core, '.') AND type IS NOT NULL AND type IN (SELECT type FROM abbr))),
+n_ends AS (SELECT count(*)::DOUBLE AS ends FROM sure),
+counted AS (
+  SELECT s.type, s.k, t.c_period + t.c_plain AS w, ends, total,
+         (t.c_period + t.c_plain) / total AS p, s.k / ends AS p1, (t.c_period + t.c_plain - s.k) / (total - ends) AS p2
+  FROM (SELECT type, count(*) AS k FROM sure WHERE type IS NOT NULL GROUP BY type) s JOIN types t USING (type), n_ends, whole),
+g AS (
+  SELECT type, k AS c_after, w AS c_total,
+         2 * (CASE WHEN k > 0 THEN k * ln(p1) ELSE 0 END + CASE WHEN ends > k THEN (ends - k) * ln(1 - p1) ELSE 0 END
+              + CASE WHEN w > k THEN (w - k) * ln(p2) ELSE 0 END + CASE WHEN total - ends > w - k THEN (total - ends - (w - k)) * ln(1 - p2) ELSE 0 END
+              - CASE WHEN w > 0 THEN w * ln(p) ELSE 0 END - CASE WHEN total > w THEN (total - w) * ln(1 - p) ELSE 0 END) AS g2
+  FROM counted WHERE p1 > p),
+starters AS (SELECT * FROM g WHERE g2 >= 30)"""
+
+
+@register("sentence_statistics", _SENTENCE_STATS + """
+SELECT 'period' AS kind, type, c_period AS a, c_plain AS b, round(score, 6) + 0.0 AS score, score >= 0.3 AS chosen FROM scored
+UNION ALL SELECT 'starter', type, c_after, c_total, round(g2, 4), true FROM starters""")
+def q_sentence_statistics(spark, sf_dir):
+    """What the texts say about abbreviations and sentence starters."""
+    from ratewise.operators import sentences
+    s = sentences.statistics(_docs_table(spark, sf_dir))
+    a = s.types.select(F.lit("period").alias("kind"), "type", F.col("c_period").alias("a"), F.col("c_plain").alias("b"),
+                       F.round("score", 6).alias("score"), F.col("is_abbreviation").alias("chosen"))
+    return a.unionByName(s.starters.select(F.lit("starter").alias("kind"), "type", F.col("c_after").alias("a"), F.col("c_total").alias("b"),
+                                           F.round("g2", 4).alias("score"), F.lit(True).alias("chosen")))
+
+
+@register("sentence_spans", _SENTENCE_STATS + r""",
+ended AS (
+  SELECT r, doc_id, tok_no, p, line OR regexp_matches(core, '[!?]$')
+         OR (suffix(core, '.') AND NOT (type IS NOT NULL AND type IN (SELECT type FROM abbr)
+             AND NOT (coalesce(regexp_matches(next, '^\p{Lu}'), false) AND coalesce(next_type IN (SELECT type FROM starters), false)))) AS stop
+  FROM followed),
+placed AS (
+  SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY r ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n,
+         sum(length(p)) OVER (PARTITION BY r ORDER BY tok_no) - length(p) AS b FROM ended),
+lead_ AS (SELECT row_number() OVER () AS r, length(regexp_extract(coalesce(text, ''), '^[ \t-\r]*')) AS skip FROM documents)
+SELECT doc_id, n::INT AS n, (skip + min(b))::BIGINT AS "start", (skip + max(b + length(regexp_extract(p, '^[^ \t-\r]+'))))::BIGINT AS "end"
+FROM placed JOIN lead_ USING (r) GROUP BY r, doc_id, n, skip""")
+def q_sentence_spans(spark, sf_dir):
+    """The sentences of every document as spans of its text."""
+    from ratewise.operators import sentences
+    return sentences.sentences(_docs_table(spark, sf_dir))
