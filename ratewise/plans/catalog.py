@@ -928,3 +928,67 @@ def q_sentence_spans(spark, sf_dir):
     """The sentences of every document as spans of its text."""
     from ratewise.operators import sentences
     return sentences.sentences(_docs_table(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Lemmas learned from the corpus
+# ---------------------------------------------------------------------------
+
+_LEARNED_LEMMAS = r"""
+WITH types AS (
+  SELECT w, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\p{L}+')) AS w
+    FROM documents) GROUP BY w),
+split AS (
+  SELECT w, left(w, (length(w) - k)::INT) AS stem, CASE WHEN k = 0 THEN '' ELSE right(w, k::INT) END AS ending
+  FROM types, range(5) AS s(k) WHERE length(w) >= 3 AND length(w) - k >= 3),
+productive AS (
+  (SELECT ending FROM split WHERE ending <> '' GROUP BY ending ORDER BY count(*) * length(ending) DESC, ending LIMIT 64)
+  UNION ALL SELECT ''),
+held AS (SELECT * FROM split SEMI JOIN productive USING (ending)),
+stems AS (
+  SELECT stem, list_sort(list(ending)) AS endings, array_to_string(list_sort(list(ending)), '|') AS paradigm
+  FROM held GROUP BY stem HAVING count(*) > 1),
+paradigm AS (
+  SELECT paradigm, count(*) AS stems, len(any_value(endings)) AS e, sum(length(stem)) AS letters, any_value(endings) AS endings
+  FROM stems GROUP BY paradigm),
+good AS (
+  SELECT paradigm, stems, (e - 1) * letters + (stems - 1) * length(array_to_string(endings, '')) - 3 * (stems + e) AS saved,
+         (SELECT x FROM (SELECT unnest(endings) AS x) ORDER BY length(x), x LIMIT 1) AS base
+  FROM paradigm WHERE stems >= 5),
+best AS (
+  SELECT held.w, held.stem, held.ending, good.base FROM held JOIN stems USING (stem) JOIN good USING (paradigm)
+  WHERE saved > 0
+  QUALIFY row_number() OVER (PARTITION BY held.w ORDER BY saved DESC, length(held.stem) DESC, held.stem DESC) = 1),
+pair AS (
+  SELECT types.w, n, coalesce(stem || base, types.w) AS lemma,
+         CASE WHEN ending <> base THEN length(ending) ELSE 0 END AS cut, CASE WHEN ending <> base THEN base ELSE '' END AS add_
+  FROM types LEFT JOIN best ON best.w = types.w),
+vote AS (
+  SELECT right(w, k::INT) AS suffix, cut, add_, count(*) AS n FROM pair, range(1, 6) AS s(k) WHERE k < length(w) GROUP BY ALL),
+node AS (
+  SELECT suffix, cut, add_, sum(n) OVER (PARTITION BY suffix) AS n FROM vote
+  QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY vote.n DESC, cut, add_ DESC) = 1 AND sum(n) OVER (PARTITION BY suffix) >= 5),
+rule AS (
+  SELECT node.* FROM node LEFT JOIN node AS up ON up.suffix = CASE WHEN length(node.suffix) > 1 THEN right(node.suffix, (length(node.suffix) - 1)::INT) END
+  WHERE NOT (node.cut = coalesce(up.cut, 0) AND node.add_ = coalesce(up.add_, ''))
+  ORDER BY node.n DESC, node.suffix LIMIT 2000),
+hit AS (
+  SELECT pair.w, rule.cut, rule.add_ FROM pair, range(1, 6) AS s(k), rule
+  WHERE k < length(pair.w) AND rule.suffix = right(pair.w, k::INT)
+  QUALIFY row_number() OVER (PARTITION BY pair.w ORDER BY k DESC) = 1)
+SELECT pair.w AS token, pair.n::BIGINT AS n, pair.lemma,
+       CASE WHEN length(pair.w) - coalesce(hit.cut, 0) >= 3 THEN left(pair.w, (length(pair.w) - coalesce(hit.cut, 0))::INT) || coalesce(hit.add_, '')
+            ELSE pair.w END AS rule_lemma
+FROM pair LEFT JOIN hit ON hit.w = pair.w"""
+
+
+@register("learned_lemmas", _LEARNED_LEMMAS)
+def q_learned_lemmas(spark, sf_dir):
+    """Every word of the documents with the lemma learned for it, and the
+    one that the suffix rules alone would give."""
+    from ratewise.operators import paradigms
+    d = _docs_table(spark, sf_dir)
+    model = paradigms.learn(d)
+    found = paradigms.lemmas(paradigms.word_types(d), model)
+    return paradigms.apply_rules(found, model.rules, "w", "rule_lemma").select(F.col("w").alias("token"), "n", "lemma", "rule_lemma")
