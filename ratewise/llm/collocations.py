@@ -57,15 +57,16 @@ _U = np.uint64
 
 
 class Words(NamedTuple):
-    data: np.ndarray    # bytes of the slice and one space
+    data: np.ndarray    # bytes of the slice, one space, and what goes before a phrase
     starts: np.ndarray
     ends: np.ndarray
     joined: np.ndarray  # word i and i + 1 stand in one piece
     text: np.ndarray    # text of each word
     keys: np.ndarray    # two hashes of each word
+    lead: np.ndarray    # (start, size) in data of each text's language and a line feed
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, languages: list[str] | None = None) -> Words:
     data, offsets = flat(column)
     data = lower_ascii(data).astype(np.uint8, copy=False)
     kind = _KIND[data]
@@ -79,7 +80,13 @@ def words(column: pa.Array) -> Words:
     text = np.searchsorted(offsets, starts, side="right") - 1
     joined = (breaks[ends[:-1]] == breaks[starts[1:]]) & (text[:-1] == text[1:]) if len(starts) else np.zeros(0, bool)
     one, two = Prefix(data).ranges(starts, ends), Prefix(data ^ np.uint8(0xA5)).ranges(starts, ends)
-    return Words(np.r_[data, np.uint8(32)], starts, ends, joined, text, np.stack([one, two]))
+    place, held, at = {}, [], len(data) + 1
+    for x in dict.fromkeys(languages or []):
+        held.append(np.frombuffer((x + "\n").encode(), np.uint8))
+        place[x] = (at, len(held[-1]))
+        at += len(held[-1])
+    lead = np.array([place[x] for x in languages or []], np.int64).reshape(-1, 2)
+    return Words(np.concatenate([data, np.full(1, 32, np.uint8), *held]), starts, ends, joined, text, np.stack([one, two]), lead)
 
 
 def phrase_keys(w: Words, at: np.ndarray, n: int, lang: np.ndarray) -> np.ndarray:
@@ -96,17 +103,19 @@ def language_keys(languages: list[str]) -> np.ndarray:
 
 
 def phrase_texts(w: Words, at: np.ndarray, n: int) -> pa.Array:
-    """The phrases as strings, their words joined by one space."""
-    first = np.empty((len(at), 2 * n - 1), np.int64)
+    """The phrases as strings: the language and a line feed (which no word
+    holds), then the words joined by one space."""
+    first = np.empty((len(at), 2 * n), np.int64)
     size = np.ones_like(first)
-    first[:, 1::2] = len(w.data) - 1  # the space
+    first[:, 0], size[:, 0] = w.lead[w.text[at]].T
+    first[:, 2::2] = w.lead[:, 0].min(initial=len(w.data)) - 1  # the space
     index = at[:, None] + np.arange(n)
-    first[:, ::2] = w.starts[index]
-    size[:, ::2] = w.ends[index] - w.starts[index]
+    first[:, 1::2] = w.starts[index]
+    size[:, 1::2] = w.ends[index] - w.starts[index]
     first, size = first.reshape(-1), size.reshape(-1)
     end = np.cumsum(size)
     data = w.data[np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + size, size)]
-    offsets = np.r_[0, end[2 * n - 2::2 * n - 1]].astype(np.int64)
+    offsets = np.r_[0, end[2 * n - 1::2 * n]].astype(np.int64)
     return pa.Array.from_buffers(pa.large_utf8(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
 
 
@@ -167,14 +176,15 @@ def phrase_counts(docs: DataFrame, sizes: tuple[int, ...], table: np.ndarray | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", COUNTED):
-                w = words(part.column("text"))
-                langs = part.column("lang")
-                lang = language_keys(langs.to_pylist())
+                langs = part.column("lang").to_pylist()
+                w, lang = words(part.column("text"), langs), language_keys(langs)
                 for n, at in places(w, lang, sizes, shared.value).items():
                     at, f = counted(w, at, n, lang)
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.text[at])), phrase_texts(w, at, n), pa.array(f)], names=["lang", "phrase", "f"])
+                    yield pa.RecordBatch.from_arrays([phrase_texts(w, at, n), pa.array(f)], names=["key", "f"])
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counts = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    return counts.select(F.left("key", F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def survivors(counts: DataFrame, n: int) -> np.ndarray:
@@ -197,9 +207,12 @@ def count_streams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """(lang, phrase, f) of all phrases of 1 to 5 words with f >= ``least``,
     and (lang, n) with the number of words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).filter("text is not null")
-    single = scratch(phrase_counts(texts, (1,), None), "words")
+    # the rarer words of a language are written as one row, for its total
+    single = (phrase_counts(texts, (1,), None).groupBy("lang", F.when(F.col("f") >= least, F.col("phrase")).alias("phrase"))
+              .agg(F.sum("f").alias("f")))
+    single = scratch(single, "words")
     totals = single.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = single.filter(F.col("f") >= least)
+    often = single.filter("phrase is not null")
     pairs = scratch(phrase_counts(texts, (2,), survivors(often, 1)).filter(F.col("f") >= least), "pairs")
     longer = scratch(phrase_counts(texts, tuple(range(3, LONGEST + 1)), survivors(pairs, 2)).filter(F.col("f") >= least), "longer")
     return often.unionByName(pairs).unionByName(longer), totals
