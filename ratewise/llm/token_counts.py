@@ -6,9 +6,10 @@ token count of such a pre-token does not depend on its neighbours.
 
 Tier 1 is a broadcast table (pre-token -> length) of the most frequent
 pre-tokens, at most ``table_size`` of them, from counts over all texts: each
-task sends its most frequent few thousand, only those are summed.  Tier 2 is a
+task keeps one bounded list of its most frequent ones, and whole lists are
+merged, group of tasks by group of tasks, until ``FAN`` are left.  Tier 2 is a
 bounded cache in each worker; its misses are encoded in batches by the
-tokenizers library.  No pre-token is ever shuffled, and the tables change
+tokenizers library.  No exchange is keyed by pre-tokens, and the tables change
 speed only: every length comes from the library.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; the special string
@@ -26,6 +27,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ from .common import per_text, slices, vocabulary
 LIMIT = 512
 TABLE_SIZE = 65_536     # entries of tier 1
 PER_TASK = 8_192        # entries a task proposes for it
+FAN = 32                # lists merged at once
 COUNTED = 400_000       # distinct pre-tokens a task counts before it drops the rare ones
 CACHED = 400_000        # entries of tier 2 in a worker
 LONGEST = 64            # characters of a pre-token that either table holds
@@ -64,9 +67,20 @@ def splitter(specials: list[str]) -> Callable[[str], tuple[list[str], int]]:
 
 def frequent(docs: DataFrame, text_col: str, specials: list[str], table_size: int = TABLE_SIZE) -> list[str]:
     """The most frequent pre-tokens of all texts (each task's own list is cut
-    at ``PER_TASK``, so the sum over tasks is a close lower bound)."""
+    at ``PER_TASK``, a merged one at ``table_size``, so the sums are close lower
+    bounds)."""
     split = splitter(specials)
 
+    def row(part: int, top: list[tuple[str, int]]) -> dict[str, pa.Array]:
+        return {"part": pa.array([part], pa.int32()), "p": pa.array([[k for k, _ in top]], pa.list_(pa.string())),
+                "n": pa.array([[n for _, n in top]], pa.list_(pa.int64()))}
+
+    def merged(table: pa.Table) -> pa.Table:
+        total: Counter[str] = Counter()
+        for keys, counts in zip(table.column("p").to_pylist(), table.column("n").to_pylist()):
+            total.update(dict(zip(keys, counts)))
+        return pa.table(row(table.column("part")[0].as_py(), sorted(total.items(), key=lambda x: (-x[1], x[0]))[:table_size]))
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
@@ -77,10 +91,15 @@ def frequent(docs: DataFrame, text_col: str, specials: list[str], table_size: in
                 if len(seen) > COUNTED:
                     seen = Counter({k: n for k, n in seen.items() if n > 1} if len(seen) < 4 * COUNTED else dict(seen.most_common(COUNTED)))
         top = [(k, n) for k, n in seen.most_common(PER_TASK) if n > 1 and len(k) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
-
-    sums = docs.select(F.col(text_col).alias("__text")).mapInArrow(heads, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    return [r.p for r in sums.orderBy(F.desc("n"), "p").limit(table_size).collect()]
+        yield pa.RecordBatch.from_pydict(row(TaskContext.get().partitionId(), top))
+
+    schema, source = "part int, p array<string>, n array<long>", docs.select(F.col(text_col).alias("__text"))
+    lists, left = source.mapInArrow(heads, schema), source.rdd.getNumPartitions()
+    while left > FAN:
+        lists = lists.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(lambda t: merged(t), schema)
+        left = -(-left // FAN)
+    held = lists.toArrow()  # at most FAN lists
+    return merged(held).column("p")[0].as_py() if held.num_rows else []
 
 
 def lengths(tokenizer_json: str, specials_counted: bool = True) -> Callable[[list[str]], list[int]]:

@@ -73,6 +73,20 @@ def test_token_counts(spark, docs, rows, nothing):
     assert token_counts.token_rows(nothing).count() == 0
 
 
+def test_frequent_pre_tokens_without_an_exchange_of_them(spark, docs, rows, monkeypatch):
+    from collections import Counter
+    total = Counter()
+    for t in [t for _, t in rows] + [rows[6][1], rows[0][1]]:
+        total.update(token_counts.PRE_TOKEN.findall(t or ""))
+    top = {p for p, n in total.items() if n >= 20 and len(p) <= token_counts.LONGEST}
+    for fan in (32, 2):  # one merge on the driver, and a tree of several levels
+        monkeypatch.setattr(token_counts, "FAN", fan)
+        got = token_counts.frequent(docs, "text", [], 5000)
+        assert top <= set(got) and len(set(got)) == len(got)
+        assert token_counts.frequent(docs.repartition(7), "text", [], 5) == token_counts.frequent(docs.repartition(7), "text", [], 5)
+    assert token_counts.frequent(docs.limit(0), "text", []) == []
+
+
 def test_pre_tokens_do_not_change_counts():
     from tokenizers import Tokenizer
 
