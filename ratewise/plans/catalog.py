@@ -19,6 +19,7 @@ from ratewise.functions import text as X
 from ratewise.operators import quality, rate, reports
 from ratewise.operators.partitioning import spread
 from ratewise.operators.scoring import LexiconScorer
+from ratewise.session import write_table
 from ratewise.plans import jobs
 from ratewise.plans import oracle as O
 from ratewise.plans import oracle_rules as S
@@ -992,3 +993,74 @@ def q_learned_lemmas(spark, sf_dir):
     model = paradigms.learn(d)
     found = paradigms.lemmas(paradigms.word_types(d), model)
     return paradigms.apply_rules(found, model.rules, "w", "rule_lemma").select(F.col("w").alias("token"), "n", "lemma", "rule_lemma")
+
+
+# ---------------------------------------------------------------------------
+# Scores against labels: exact ROC, isotonic calibration
+# ---------------------------------------------------------------------------
+
+_SCORE_LABEL_SQL = _docs_scored_sql() + """,
+pairs AS (
+""" + "\n  UNION ALL ".join(f"SELECT '{c}/{l}' AS pair, round(p_{c}, 6) + 0.0 AS p, {l} AS y FROM dr JOIN labels USING (doc_id) WHERE {l} IS NOT NULL"
+                            for c in LABELS for l in ("quality", "toxic")) + """),
+grp AS (SELECT pair, p, count(*) FILTER (WHERE y > 0) AS pos, count(*) FILTER (WHERE y <= 0) AS neg FROM pairs GROUP BY pair, p)"""
+
+
+def _score_label_pairs(spark, sf_dir):
+    """One row per labelled document, category and label."""
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    s = jobs.score_and_rate(_docs_table(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"), "text")
+    s = s.select("quality", "toxic", *[V.prob("raw_probabilities", i + 1).alias(f"p_{c}") for i, c in enumerate(LABELS)])
+    rows = F.array(*[F.struct(F.lit(f"{c}/{l}").alias("pair"), F.col(f"p_{c}").alias("p"), F.col(l).alias("y")) for c in LABELS for l in ("quality", "toxic")])
+    return s.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@register("label_roc", _SCORE_LABEL_SQL + """,
+run AS (
+  SELECT *, sum(pos) OVER up AS tp, sum(neg) OVER up AS fp, sum(pos) OVER (PARTITION BY pair) AS n_pos, sum(neg) OVER (PARTITION BY pair) AS n_neg
+  FROM grp WINDOW up AS (PARTITION BY pair ORDER BY p DESC)),
+area AS (SELECT pair, sum(neg * (2 * tp - pos)) / (2.0 * any_value(n_pos) * any_value(n_neg)) AS auc FROM run GROUP BY pair),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY pair ORDER BY tp * n_neg - fp * n_pos DESC, p DESC) = 1)
+SELECT pair, n_pos::BIGINT AS n_pos, n_neg::BIGINT AS n_neg, round(auc, 9) AS auc, p AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp
+FROM best JOIN area USING (pair)""")
+def q_label_roc(spark, sf_dir):
+    """Exact area under the ROC curve and best threshold of every category
+    against every label."""
+    from ratewise.operators import calibration
+    out = calibration.roc(_score_label_pairs(spark, sf_dir), "pair", "p", "y")
+    return out.withColumn("auc", F.round("auc", 9))
+
+
+_ISOTONIC_SQL = _SCORE_LABEL_SQL + """,
+seq AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY p) AS i FROM grp),
+span AS (
+  SELECT a.pair, a.i AS a, b.i AS b, sum(m.pos) / sum(m.pos + m.neg) AS mean
+  FROM seq a JOIN seq b ON a.pair = b.pair AND a.i <= b.i JOIN seq m ON m.pair = a.pair AND m.i BETWEEN a.i AND b.i GROUP BY a.pair, a.i, b.i),
+fit AS (  -- the largest over beginnings of the least mean over ends
+  SELECT pair, i, max(least_) AS calibrated FROM (
+    SELECT s.pair, s.i, x.a, min(x.mean) AS least_ FROM seq s JOIN span x ON x.pair = s.pair AND x.a <= s.i AND x.b >= s.i GROUP BY s.pair, s.i, x.a)
+  GROUP BY pair, i),
+fitted AS (SELECT seq.*, round(calibrated, 9) AS calibrated FROM seq JOIN fit USING (pair, i))"""
+
+
+@register("isotonic_calibration", _ISOTONIC_SQL + """
+SELECT pair, min(p) AS low, max(p) AS high, sum(pos + neg)::BIGINT AS n, sum(pos)::BIGINT AS pos, calibrated
+FROM fitted GROUP BY pair, calibrated""")
+def q_isotonic_calibration(spark, sf_dir):
+    """The isotonic fit of every label on every category's score."""
+    from ratewise.operators import calibration
+    out = calibration.isotonic(_score_label_pairs(spark, sf_dir), "pair", "p", "y")
+    return out.withColumn("calibrated", F.round("calibrated", 9))
+
+
+@register("calibration_error", _ISOTONIC_SQL + """
+SELECT pair, sum(pos + neg)::BIGINT AS n, round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 7) AS brier,
+       round(sum(pos * (1 - calibrated) * (1 - calibrated) + neg * calibrated * calibrated) / sum(pos + neg), 7) AS brier_calibrated
+FROM fitted GROUP BY pair""")
+def q_calibration_error(spark, sf_dir):
+    """Brier score before and after calibration."""
+    from ratewise.operators import calibration
+    pairs = write_table(calibration.tie_groups(_score_label_pairs(spark, sf_dir), "pair", "p", "y"), "tie-groups")
+    blocks = calibration.isotonic(_score_label_pairs(spark, sf_dir), "pair", "p", "y")
+    out = calibration.errors(pairs, blocks, "pair")
+    return out.select("pair", "n", F.round("brier", 7).alias("brier"), F.round("brier_calibrated", 7).alias("brier_calibrated"))
