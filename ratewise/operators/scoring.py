@@ -271,3 +271,44 @@ def lexicon_model_loader(path: str | None = None, lexicon=None, bias: float = DE
         return out
 
     return predict
+
+
+# ---------------------------------------------------------------------------
+# Long texts: overlapping windows, pooled
+# ---------------------------------------------------------------------------
+
+
+@dataclass
+class WindowedScorer:
+    """Scores whole texts by overlapping windows of ``width`` words, ``stride``
+    words apart; a text's probability of a label is the largest of its windows.
+
+    A model with a bounded input thus sees every word of a text.  A text of up
+    to ``width`` words is one window.  Windows are rows of their own, so a long
+    text is spread over batches (which ``model_scorer`` packs by length) and its
+    windows' maxima meet in its task before the exchange of (row, maxima).
+    Rows are written once under the shared folder, so batch tables only."""
+
+    scorer: object
+    width: int = 1024
+    stride: int = 512
+
+    def __post_init__(self) -> None:
+        if not 0 < self.stride <= self.width:
+            raise ValueError("a stride of 1 to width words covers every word")
+
+    def windows(self, cleaned: Column) -> Column:
+        """The windows of a cleaned text, as texts; the last one ends with it."""
+        words = F.split(cleaned, " ")
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - self.width) / F.lit(self.stride))).cast("int")
+        return F.transform(F.sequence(F.lit(0), last),
+                           lambda i: F.array_join(F.slice(words, i * self.stride + 1, F.lit(self.width)), " "))
+
+    def score_frame(self, df: DataFrame, cleaned: str, out: str) -> DataFrame:
+        from ratewise.session import write_table
+        rows = write_table(df.withColumn("__row", F.monotonically_increasing_id()), "windowed")
+        parts = rows.select("__row", F.explode(self.windows(F.col(cleaned))).alias("__window"))
+        scored = apply_scorer(parts, self.scorer, "__window", "__p")
+        best = scored.groupBy("__row").agg(*[F.max(F.col("__p")[i]).alias(f"__p{i}") for i in range(len(LABEL_ORDER))])
+        best = best.select("__row", F.array(*[F.col(f"__p{i}").cast("double") for i in range(len(LABEL_ORDER))]).alias(out))
+        return rows.join(best, "__row").drop("__row")

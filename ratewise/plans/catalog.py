@@ -1064,3 +1064,32 @@ def q_calibration_error(spark, sf_dir):
     blocks = calibration.isotonic(_score_label_pairs(spark, sf_dir), "pair", "p", "y")
     out = calibration.errors(pairs, blocks, "pair")
     return out.select("pair", "n", F.round("brier", 7).alias("brier"), F.round("brier_calibrated", 7).alias("brier_calibrated"))
+
+
+# ---------------------------------------------------------------------------
+# Long texts by overlapping windows
+# ---------------------------------------------------------------------------
+
+
+def _windowed_sql() -> str:
+    ps = ", ".join(f"{p} AS p_{c}" for p, c in zip(O.probs_sql("cleaned"), LABELS))
+    best = ", ".join(f"round(max(CASE WHEN cleaned = '' THEN 0.0 ELSE p_{c} END), 9) AS p_{c}" for c in LABELS)
+    return f"""
+WITH c AS (SELECT row_number() OVER () AS r, doc_id, string_split({O.clean_token_sql('text')}, ' ') AS ws FROM documents),
+win AS (
+  SELECT r, doc_id, unnest(list_transform(range(0, greatest(0, ceil((len(ws) - 200) / 100.0))::BIGINT + 1), lambda i: array_to_string(ws[i * 100 + 1:i * 100 + 200], ' '))) AS cleaned
+  FROM c),
+scored AS (SELECT r, doc_id, cleaned, {ps} FROM win)
+SELECT doc_id, count(*) AS n_windows, {best} FROM scored GROUP BY r, doc_id"""
+
+
+@register("windowed_scores", _windowed_sql())
+def q_windowed_scores(spark, sf_dir):
+    """Every document scored by windows of 200 words, 100 apart, and
+    pooled; no word of a long text is cut off."""
+    from ratewise.operators.scoring import WindowedScorer
+    scorer = WindowedScorer(LexiconScorer(), 200, 100)
+    d = _docs_table(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+    out = scorer.score_frame(d, "cleaned", "p")
+    p = [F.round(F.when(F.col("cleaned") == "", 0.0).otherwise(F.col("p")[i]), 9).alias(f"p_{c}") for i, c in enumerate(LABELS)]
+    return out.select("doc_id", F.size(scorer.windows(F.col("cleaned"))).cast("bigint").alias("n_windows"), *p)
