@@ -165,7 +165,8 @@ def test_entry_contract(spark):
     assert df.count() > 0
     qs, sql = E.queries(), E.oracle_sql()
     from ratewise.plans import catalog
-    assert set(catalog.QUERIES) <= set(sql) <= set(qs)   # every query of the library has its DuckDB SQL
+    # every query of the library has its DuckDB SQL, but for the iterative fit (tests/test_trained.py)
+    assert set(catalog.QUERIES) - {"trained_scorer_metrics", "trained_score_and_rate"} <= set(sql) <= set(qs)
     assert len(qs) >= 30 and all(callable(f) for f in qs.values())
 
 
