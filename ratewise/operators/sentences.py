@@ -10,9 +10,11 @@ Sentence Boundary Detection", 2006), as aggregates over all documents:
    starter.  Only distinct (ending word, next word) pairs meet the first table.
 
 A sentence ends at a line end, at ``!`` or ``?``, and at a period, except after
-an abbreviation whose next word is not a capitalised starter.  The periods that
-end nothing are the only tokens that a document is joined with; everything else
-is computed within the row, in linear time for each sentence.
+an abbreviation whose next word is not a capitalised starter.  Texts are read
+twice.  The statistics count words (and, behind a possible end, pairs of words)
+as they stand, and look at each different one once.  The sentences need the
+places where one may end, found in numpy over whole batches in linear time; only
+the periods among them meet the abbreviations, and no text is shuffled.
 
 Tokens are runs of characters other than space and ``\t``..``\r``; a null text
 has no sentence.
@@ -20,8 +22,11 @@ has no sentence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ ABBREVIATION, STARTER = 0.3, 30.0
 #: Share of periods behind an abbreviation, by hypothesis.
 ALWAYS = 0.99
 
-PIECE = r"[^ \t-\r]+[ \t-\r]*"
-MARK = "\x01"
+#: Characters of text that a batch of possible ends is worked out for at once.
+SLICE = 200_000
 
 
 class Statistics(NamedTuple):
@@ -41,28 +46,32 @@ class Statistics(NamedTuple):
     starters: DataFrame  # type, c_after, c_total, g2
 
 
-def _core(piece: Column) -> Column:
-    token = F.regexp_extract(piece, r"^[^ \t-\r]+", 0)
-    return F.regexp_replace(F.regexp_replace(token, r"""^["'(\[]+""", ""), r"""["')\]]+$""", "")
+def _core(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, r"""^["'(\[]+""", ""), r"""["')\]]+\z""", "")
 
 
 def _type(core: Column) -> Column:
     """The word as counted: lower-case, without its period; null if it is no
     word of letters and inner periods."""
-    word = F.translate(F.regexp_replace(core, r"\.$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(word.rlike(r"^\p{L}[\p{L}.]*$"), word)
+    word = F.translate(F.regexp_replace(core, r"\.\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(word.rlike(r"^\p{L}[\p{L}.]*\z"), word)
 
 
-def _cores(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """The row's tokens: their cores, and whether a line ends behind them."""
-    pieces = docs.select(*id_cols, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PIECE), F.lit(0)).alias("__p"))
-    return pieces.select(*id_cols, F.transform("__p", lambda p: F.struct(_core(p).alias("core"), F.contains(p, F.lit("\n")).alias("line"))).alias("__t"))
+def _words(text_col: str) -> Column:
+    """The row's tokens in order; a line end is a token "\\n" of its own."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" \n ")), " "), "")
 
 
-def _pairs(cores: DataFrame, id_cols: list[str]) -> DataFrame:
-    """One row per token: its place, core, line end, and the next core."""
-    zipped = F.transform("__t", lambda t, i: F.struct(t["core"].alias("core"), t["line"].alias("line"), F.get(F.col("__t"), i + 1)["core"].alias("next")))
-    return cores.select(*id_cols, F.posexplode(zipped).alias("at", "t")).select(*id_cols, "at", "t.*")
+def _counted_tokens(docs: DataFrame, text_col: str) -> DataFrame:
+    """(token, next, n): how often each token occurs; a token that may end a
+    sentence together with the one behind it."""
+    words = docs.select(_words(text_col).alias("__t"))
+    may_end = lambda t: t.contains(".") | t.contains("!") | t.contains("?")
+    pairs = F.transform("__t", lambda t, i: F.struct(t.alias("token"), F.when(may_end(t), F.get(F.col("__t"), i + 1)).alias("next")))
+    return words.select(F.explode(pairs).alias("p")).select("p.*").filter("token <> '\\n'").groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _log_l(p: Column, k: Column, n: Column) -> Column:
@@ -72,11 +81,11 @@ def _log_l(p: Column, k: Column, n: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
-    """Both tables, from two scans of the texts."""
-    tokens = _pairs(_cores(docs, [], text_col), [])
-    period = F.col("core").endswith(".")
-    # types of one token row, counted map-side first
-    counted = write_table(tokens.groupBy(_type(F.col("core")).alias("type"), period.alias("period")).agg(F.count(F.lit(1)).alias("n")), "token-types")
+    """Both tables, from one scan of the texts."""
+    tokens = _counted_tokens(docs, text_col).select(_core(F.col("token")).alias("core"), "next", "n")
+    tokens = tokens.select(_type(F.col("core")).alias("type"), F.col("core").endswith(".").alias("period"), F.col("core").rlike(r"[.!?]\z").alias("ends"), "next", "n")
+    tokens = write_table(tokens, "token-counts")
+    counted = write_table(tokens.groupBy("type", "period").agg(F.sum("n").alias("n")), "token-types")
     whole = counted.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("ends"))
     types = (counted.filter("type is not null").groupBy("type")
              .agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("c_period"),
@@ -90,8 +99,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     types = types.filter("c_period > 0").withColumn("score", score).withColumn("is_abbreviation", F.col("score") >= ABBREVIATION)
     types = write_table(types.select("type", "c_period", "c_plain", "score", "is_abbreviation"), "period-types")
     # sure ends, and the words behind them
-    ends = tokens.filter(F.col("core").rlike(r"[.!?]$") & ~F.col("line") & F.col("next").isNotNull())
-    pairs = ends.groupBy(F.when(period, _type(F.col("core"))).alias("type"), _type(F.col("next")).alias("next")).agg(F.count(F.lit(1)).alias("n"))
+    ends = tokens.filter("ends and next <> '\\n'").withColumn("next", _type(_core(F.col("next"))))
+    pairs = ends.groupBy(F.when(F.col("period"), F.col("type")).alias("type"), "next").agg(F.sum("n").alias("n"))
     sure = write_table(pairs.join(types.filter("is_abbreviation").select("type"), "type", "left_anti").groupBy("next").agg(F.sum("n").alias("c_after")), "sure-ends")
     totals = counted.filter("type is not null").groupBy("type").agg(F.sum("n").alias("c_total"))
     all_ends = sure.agg(F.sum("c_after").alias("n_ends")).join(F.broadcast(whole.select("all")))
@@ -103,42 +112,87 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     return Statistics(types, write_table(starters, "starters"))
 
 
-def inner_periods(docs: DataFrame, stats: Statistics, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, places): the tokens of a row that end in a period but end no
-    sentence.  Only abbreviations leave their row."""
-    tokens = _pairs(_cores(docs, keys, text_col), keys).filter(F.col("core").endswith(".") & ~F.col("line"))
-    held = tokens.select(*keys, "at", _type(F.col("core")).alias("type"), _type(F.col("next")).alias("next_type"),
-                         F.coalesce(F.col("next").rlike(r"^\p{Lu}"), F.lit(False)).alias("upper"))
+def possible_ends(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, starts, ends, at, token, next): every row's text cut wherever a
+    sentence may end, as code points (end exclusive, without the white space
+    behind); ``at`` are the cuts that a period makes, with the token there and
+    the one behind it.  Rows without a token are left out."""
+    limit = SLICE
+
+    def cut(texts: list[str]) -> list[pa.Array]:
+        text = "\n".join(texts) + "\n"
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(size + 1) - size - 1
+        inside = ~((c == 32) | ((c >= 9) & (c <= 13)))
+        edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        row = np.searchsorted(base, start, side="right") - 1
+        last = np.r_[row[1:] != row[:-1], np.ones(min(1, len(row)), bool)]
+        lines = np.flatnonzero(c == 10)
+        line = np.r_[np.searchsorted(lines, start[1:]) > np.searchsorted(lines, end[:-1]), np.ones(min(1, len(row)), bool)]
+        # the token's last character without closing quotes and brackets
+        closes = (c == 34) | (c == 39) | (c == 41) | (c == 93)
+        kept = np.maximum.accumulate(np.where(closes, np.int32(-1), np.arange(len(c), dtype=np.int32)))[end - 1]
+        char = np.where(kept >= start, c[kept], 0)
+        period = char == 46
+        stops = np.flatnonzero(period | (char == 33) | (char == 63) | line | last)
+        soft = np.flatnonzero((period & ~line & ~last)[stops])
+        first = np.r_[np.zeros(min(1, len(stops)), np.int64), stops[:-1] + 1]
+        n = np.bincount(row[stops], minlength=len(texts))
+        offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        cuts = [pa.ListArray.from_arrays(offsets, pa.array(x - base[row[stops]])) for x in (start[first], end[stops])]
+        mine = row[stops[soft]]
+        place = soft - (np.cumsum(n) - n)[mine]
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(mine, minlength=len(texts)))].astype(np.int32))
+        token, after = ([text[a:b] for a, b in zip(start[t].tolist(), end[t].tolist())] for t in (stops[soft], stops[soft] + 1))
+        return cuts + [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(place.astype(np.int32)), pa.array(token, pa.string()), pa.array(after, pa.string()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            group = np.cumsum([len(t) for t in texts]) // limit
+            for a, b in zip(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if texts else [],
+                            [*(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]):
+                part = batch.slice(a, b - a).drop_columns(["__text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *cut(texts[a:b])], names=names)
+
+    names = [*keys, "starts", "ends", "at", "token", "next"]
+    rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(run, f"{kinds}, starts array<long>, ends array<long>, at array<int>, token array<string>, next array<string>")
+    return out.filter(F.size("ends") > 0)
+
+
+def _not_ends(cuts: DataFrame, stats: Statistics, keys: list[str]) -> DataFrame:
+    """(keys, places): the cuts behind abbreviations."""
+    held = cuts.select(*keys, F.explode(F.arrays_zip("at", "token", "next")).alias("p")).select(
+        *keys, "p.at", _type(_core(F.col("p.token"))).alias("type"), _core(F.col("p.next")).alias("next"))
+    held = held.select(*keys, "at", "type", _type(F.col("next")).alias("next_type"), F.col("next").rlike(r"^\p{Lu}").alias("upper"))
     held = held.join(stats.types.filter("is_abbreviation").select("type"), "type", "left_semi")
     starts = stats.starters.select(F.col("type").alias("next_type"), F.lit(True).alias("starts"))
     held = held.join(starts, "next_type", "left").filter(~(F.col("upper") & F.coalesce("starts", F.lit(False))))
     return held.groupBy(*keys).agg(F.collect_set("at").alias("places"))
 
 
+def inner_periods(docs: DataFrame, stats: Statistics, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, places): the possible ends of a row that are a period but end no
+    sentence.  Only periods leave their row."""
+    return _not_ends(possible_ends(docs, keys, text_col), stats, keys)
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stats: Statistics | None = None) -> DataFrame:
     """(id, n, start, end): the sentences of every row in order, as code points
     of the text (end exclusive, without the white space behind)."""
     stats = stats or statistics(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
-                       F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(F.lit("sentences"), text_col, id_col).alias("__k2"))
-    keys = ["__k1", "__k2"]
-    held = inner_periods(rows, stats, keys, "__text")
-    cut = rows.join(held, keys, "left")
-
-    def marked(p: Column, i: Column) -> Column:
-        core = _core(p)
-        ends = F.contains(p, F.lit("\n")) | core.rlike(r"[!?]$") | (core.endswith(".") & ~F.coalesce(F.array_contains("places", i), F.lit(False)))
-        return F.when(ends, F.concat(p, F.lit(MARK))).otherwise(p)
-
-    clean = F.translate("__text", MARK, "\x02")
-    parts = F.transform(F.regexp_extract_all(clean, F.lit(PIECE), F.lit(0)), marked)
-    cut = cut.select("__id", F.length(F.regexp_extract("__text", r"^[ \t-\r]*", 0)).alias("__lead"), F.split(F.array_join(parts, ""), MARK).alias("__s"))
-    cut = cut.withColumns({"__size": F.transform("__s", lambda s: F.length(s)),
-                           "__kept": F.transform("__s", lambda s: F.length(F.regexp_replace(s, r"[ \t-\r]+$", "")))})
-
-    def span(size: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice("__size", F.lit(1), i), F.col("__lead"), lambda total, x: total + x)
-        return F.struct(i.alias("n"), start.cast("long").alias("start"), (start + F.get(F.col("__kept"), i)).cast("long").alias("end"), size.alias("size"))
-
-    spans = cut.select("__id", F.explode(F.transform("__size", span)).alias("s")).filter("s.size > 0")
-    return spans.select(F.col("__id").alias(id_col), "s.n", "s.start", "s.end")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    cuts = write_table(possible_ends(rows, ["__id", "__row"], "__text"), "sentence-ends")
+    held = cuts.select("__id", "__row", "starts", "ends").join(_not_ends(cuts, stats, ["__row"]), "__row", "left")
+    whole = F.sequence(F.lit(0), F.size("ends") - 1)
+    held = held.withColumn("__k", F.when(F.col("places").isNull(), whole).otherwise(F.array_except(whole, "places")))
+
+    def span(k: Column, n: Column) -> Column:
+        begin = F.when(n == 0, F.lit(0)).otherwise(F.get(F.col("__k"), n - 1) + 1)
+        return F.struct(n.alias("n"), F.get(F.col("starts"), begin).alias("start"), F.get(F.col("ends"), k).alias("end"))
+
+    return held.select(F.col("__id").alias(id_col), F.explode(F.transform("__k", span)).alias("s")).select(id_col, "s.n", "s.start", "s.end")

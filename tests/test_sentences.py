@@ -86,3 +86,13 @@ def test_spans(spark, docs):
 def test_documents_move_only_where_they_hold_an_abbreviation(docs):
     plan = sentences.inner_periods(docs, sentences.statistics(docs), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_a_text_of_many_sentences_takes_linear_time(spark, docs):
+    import time
+    stats = sentences.statistics(docs)
+    one = spark.createDataFrame([(1, "Ab cd. Ef? gh dr. Smith!\n" * 8000)], "doc_id long, text string")
+    t = time.time()
+    got = sorted(map(tuple, sentences.sentences(one, stats=stats).collect()))
+    assert time.time() - t < 15
+    assert len(got) == 24_000 and got[:3] == [(1, 0, 0, 6), (1, 1, 7, 10), (1, 2, 11, 24)] and got[-1] == (1, 23_999, 7999 * 25 + 11, 8000 * 25 - 1)
