@@ -96,3 +96,16 @@ def test_a_text_of_many_sentences_takes_linear_time(spark, docs):
     got = sorted(map(tuple, sentences.sentences(one, stats=stats).collect()))
     assert time.time() - t < 15
     assert len(got) == 24_000 and got[:3] == [(1, 0, 0, 6), (1, 1, 7, 10), (1, 2, 11, 24)] and got[-1] == (1, 23_999, 7999 * 25 + 11, 8000 * 25 - 1)
+
+
+def test_separators_of_unicode_belong_to_the_word(spark):
+    """As in the SQL, where only the end of the word counts as its end."""
+    rows = [(1, "an end.\u2028 The end. He said \"no.\"\u2028 what!\x85 then go."), (2, "end. end end")]
+    stats = sentences.statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.type, r.c_period, r.c_plain) for r in stats.types.collect()} == {("end", 2, 2), ("go", 1, 0)}
+
+
+def test_different_words_are_looked_at_once(spark):
+    docs = spark.createDataFrame([(i, "the dog ran home. The dog") for i in range(50)], "doc_id long, text string")
+    counted = sentences._counted_tokens(docs, "text").collect()
+    assert {(r.token, r.next, r.n) for r in counted} == {("the", None, 50), ("dog", None, 100), ("ran", None, 50), ("home.", "The", 50), ("The", None, 50)}
