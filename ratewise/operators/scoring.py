@@ -87,22 +87,30 @@ class LexiconScorer:
             by_weight.setdefault(float(w), []).append(term)
         return sorted(by_weight.items())
 
+    def hits(self, tokens: Column) -> Column:
+        """The tokens that the lexicon holds: one hashed look-up each, so that
+        the weight tiers go over a handful of words instead of a text."""
+        return F.filter(tokens, _member_of(sorted({t for terms in self.lexicon.values() for t, _ in terms})))
+
     def logit(self, tokens: Column, label: str) -> Column:
         z = F.lit(float(self.bias))
         for w, terms in self.tiers(label):
             z = z + F.size(F.filter(tokens, _member_of(terms))).cast("double") * F.lit(w)
         return z
 
+    def probabilities(self, hits: Column) -> Column:
+        return F.array(*[V.sigmoid(self.logit(hits, lab)) for lab in LABEL_ORDER])
+
     def __call__(self, cleaned) -> Column:
-        tokens = F.split(_c(cleaned), " ")
-        return F.array(*[V.sigmoid(self.logit(tokens, lab)) for lab in LABEL_ORDER])
+        # a lambda over one element: array filters do not share a common argument
+        hits = self.hits(F.split(_c(cleaned), " "))
+        return F.transform(F.array(hits), lambda h: self.probabilities(h))[0]
 
     def score_frame(self, df: DataFrame, cleaned: str, out: str) -> DataFrame:
-        """Same as ``__call__`` but split once into its own column, so the
-        interpreted array filters share one token array per row."""
-        tok = df.withColumn("__tokens", F.split(F.col(cleaned), " "))
-        probs = F.array(*[V.sigmoid(self.logit(F.col("__tokens"), lab)) for lab in LABEL_ORDER])
-        return tok.withColumn(out, probs).drop("__tokens")
+        """Same as ``__call__`` but with the words found as their own column, so
+        the interpreted array filters share one short array per row."""
+        tok = df.withColumn("__hits", self.hits(F.split(F.col(cleaned), " ")))
+        return tok.withColumn(out, self.probabilities(F.col("__hits"))).drop("__hits")
 
     def table(self, spark) -> DataFrame:
         rows = [(t, lab, float(w)) for lab, terms in self.lexicon.items() for t, w in terms]
@@ -297,12 +305,18 @@ class WindowedScorer:
         if not 0 < self.stride <= self.width:
             raise ValueError("a stride of 1 to width words covers every word")
 
+    def _last(self, words: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil((F.size(words) - self.width) / F.lit(self.stride))).cast("int")
+
+    def n_windows(self, cleaned: Column) -> Column:
+        """How many windows a cleaned text has."""
+        return self._last(F.split(cleaned, " ")) + 1
+
     def windows(self, cleaned: Column) -> Column:
         """The windows of a cleaned text, as texts; the last one ends with it."""
-        words = F.split(cleaned, " ")
-        last = F.greatest(F.lit(0), F.ceil((F.size(words) - self.width) / F.lit(self.stride))).cast("int")
-        return F.transform(F.sequence(F.lit(0), last),
-                           lambda i: F.array_join(F.slice(words, i * self.stride + 1, F.lit(self.width)), " "))
+        # a lambda over one element, for else every window would split the text anew
+        return F.transform(F.array(F.split(cleaned, " ")), lambda words: F.transform(
+            F.sequence(F.lit(0), self._last(words)), lambda i: F.array_join(F.slice(words, i * self.stride + 1, F.lit(self.width)), " ")))[0]
 
     def score_frame(self, df: DataFrame, cleaned: str, out: str) -> DataFrame:
         from ratewise.session import write_table

@@ -200,7 +200,7 @@ class TrainedScorer:
         return held.withColumns({prefix + c: V.sigmoid(self.logit(F.col("__at"), c)) for c in self.labels}).drop("__at")
 
     def score_frame(self, df: DataFrame, cleaned: str, out: str) -> DataFrame:
-        held = df.withColumns({"__at": word_buckets(F.col(cleaned), self.buckets), "__tokens": F.split(F.col(cleaned), " ")})
+        held = df.withColumns({"__at": word_buckets(F.col(cleaned), self.buckets), "__tokens": self.base.hits(F.split(F.col(cleaned), " "))})
         probs = [V.sigmoid(self.logit(F.col("__at"), self.categories[c]) if c in self.categories else self.base.logit(F.col("__tokens"), c))
                  for c in LABEL_ORDER]
         return held.withColumn(out, F.array(*probs)).drop("__at", "__tokens")

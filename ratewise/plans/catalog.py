@@ -478,13 +478,15 @@ def q_lemma_clean_rows(spark, sf_dir):
     """Cleaning with a lemma table that the documents' own words give:
     a word of more than three letters that ends in s and also occurs without
     it has the shorter word as its lemma."""
-    from ratewise.operators.lemma import clean_text_lemmatized
+    from ratewise.operators import lemma
     d = _docs(spark, sf_dir)
-    words = d.select(F.explode(X.word_tokens(X.expand_contractions(X.null_to_empty("text")))).alias("token")).distinct()
+    words = X.word_tokens(X.expand_contractions(X.null_to_empty("text")))
+    tokens = write_table(d.select("doc_id", words.alias("tokens")), "tokens")
+    words = write_table(tokens.select(F.explode("tokens").alias("token")).distinct(), "words")
     longer = words.select("token", F.expr("left(token, length(token) - 1)").alias("lemma")).filter(
         (F.length("token") > 3) & F.col("token").endswith("s"))
     lemmas = longer.join(words.select(F.col("token").alias("lemma")), "lemma").select("token", F.lit("n").alias("pos"), "lemma")
-    return clean_text_lemmatized(d, "doc_id", "text", lemmas)
+    return lemma.clean_tokens_lemmatized(tokens, "doc_id", "tokens", write_table(lemmas, "lemmas"))
 
 
 # ---------------------------------------------------------------------------
@@ -1090,6 +1092,8 @@ def q_windowed_scores(spark, sf_dir):
     from ratewise.operators.scoring import WindowedScorer
     scorer = WindowedScorer(LexiconScorer(), 200, 100)
     d = _docs_table(spark, sf_dir).select("doc_id", X.clean_text("text").alias("cleaned"))
+    # the texts stay behind: only these columns are joined with the scores
+    d = d.withColumns({"n_windows": scorer.n_windows(F.col("cleaned")).cast("bigint"), "empty": F.col("cleaned") == ""})
     out = scorer.score_frame(d, "cleaned", "p")
-    p = [F.round(F.when(F.col("cleaned") == "", 0.0).otherwise(F.col("p")[i]), 9).alias(f"p_{c}") for i, c in enumerate(LABELS)]
-    return out.select("doc_id", F.size(scorer.windows(F.col("cleaned"))).cast("bigint").alias("n_windows"), *p)
+    p = [F.round(F.when(F.col("empty"), 0.0).otherwise(F.col("p")[i]), 9).alias(f"p_{c}") for i, c in enumerate(LABELS)]
+    return out.select("doc_id", "n_windows", *p)
