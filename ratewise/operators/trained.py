@@ -47,8 +47,8 @@ FOLDS = 5
 
 def word_buckets(cleaned: Column, buckets: int = BUCKETS) -> Column:
     """Sorted distinct buckets of a cleaned text's words."""
-    words = F.filter(F.split(cleaned, " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))))
+    words = F.array_remove(F.split(cleaned, " "), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))))
 
 
 def held_out(id_col: str, seed: int = 0, folds: int = FOLDS) -> Column:
@@ -59,8 +59,10 @@ def feature_table(rows: DataFrame, labels: Sequence[str], text_col: str = "text"
     """(at: buckets of the text, y: 0/1 per label, null where unknown), written
     once.  Rows without any label or any word carry nothing and are left out."""
     y = F.array(*[F.when(F.col(c).isNotNull(), (F.col(c) > 0).cast("double")) for c in labels])
-    table = rows.select(word_buckets(X.clean_text(text_col, mode), buckets).alias("at"), y.alias("y"))
-    return write_table(table.filter((F.size("at") > 0) & F.exists("y", lambda v: v.isNotNull())), "features")
+    known = rows.filter(F.coalesce(*[F.col(c).cast("double") for c in labels]).isNotNull())
+    table = known.select(word_buckets(X.clean_text(text_col, mode), buckets).alias("at"), y.alias("y"))
+    # filtered when read: a filter here would be pushed below, and clean every text twice
+    return write_table(table, "features").filter(F.size("at") > 0)
 
 
 def loss_and_gradient(at: np.ndarray, size: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

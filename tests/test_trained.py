@@ -110,3 +110,10 @@ def test_held_out_rows(spark):
     for r in out.values():
         assert r.tp + r.fp + r.fn + r.tn == r.n and r.log_loss < r.base_log_loss
     assert out["toxic"].precision >= 0.9 and out["toxic"].recall >= 0.45
+
+
+def test_features_clean_each_text_once(rows, monkeypatch):
+    plans = []
+    monkeypatch.setattr(trained, "write_table", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write_table(df, name))
+    trained.feature_table(rows, ["toxic", "spam"], buckets=BUCKETS)
+    assert plans[0].count("regexp_extract_all") == 1
