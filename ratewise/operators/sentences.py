@@ -12,7 +12,7 @@ Sentence Boundary Detection", 2006), as aggregates over all documents:
 A sentence ends at a line end, at ``!`` or ``?``, and at a period, except after
 an abbreviation whose next word is not a capitalised starter.  Texts are read
 twice.  The statistics count words (and, behind a possible end, pairs of words)
-as they stand, and look at each different one once.  The sentences need the
+as they stand, in Arrow within each task, and look at each different one once.  The sentences need the
 places where one may end, found in numpy over whole batches in linear time; only
 the periods among them meet the abbreviations, and no text is shuffled.
 
@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ ALWAYS = 0.99
 
 #: Characters of text that a batch of possible ends is worked out for at once.
 SLICE = 200_000
+#: Bytes of text whose tokens are counted at once, and counts that a task holds.
+COUNTED, HELD = 4_000_000, 500_000
 
 
 class Statistics(NamedTuple):
@@ -47,31 +50,68 @@ class Statistics(NamedTuple):
 
 
 def _core(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, r"""^["'(\[]+""", ""), r"""["')\]]+\z""", "")
+    return F.rtrim(F.ltrim(token, F.lit("\"'([")), F.lit("\"')]"))
 
 
 def _type(core: Column) -> Column:
     """The word as counted: lower-case, without its period; null if it is no
     word of letters and inner periods."""
-    word = F.translate(F.regexp_replace(core, r"\.\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(word.rlike(r"^\p{L}[\p{L}.]*\z"), word)
+    word = F.when(core.endswith("."), F.left(core, F.length(core) - 1)).otherwise(core)
+    return F.when(core.rlike(r"^\p{L}[\p{L}.]*+\z"), _lower(word))
 
 
-def _words(text_col: str) -> Column:
-    """The row's tokens in order; a line end is a token "\\n" of its own."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" \n ")), " "), "")
+def _lower(word: Column) -> Column:
+    """With a-z for A-Z; of an ASCII word these are all capitals."""
+    ascii_only = F.octet_length(word) == F.length(word)
+    return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _counted_tokens(docs: DataFrame, text_col: str) -> DataFrame:
-    """(token, next, n): how often each token occurs; a token that may end a
-    sentence together with the one behind it."""
-    words = docs.select(_words(text_col).alias("__t"))
-    may_end = lambda t: t.contains(".") | t.contains("!") | t.contains("?")
-    pairs = F.transform("__t", lambda t, i: F.struct(t.alias("token"), F.when(may_end(t), F.get(F.col("__t"), i + 1)).alias("next")))
-    return words.select(F.explode(pairs).alias("p")).select("p.*").filter("token <> '\\n'").groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+    """(token, next, n): how often each token occurs; a token that ends in a
+    period, ``!`` or ``?`` (closing quotes and brackets aside) together with the
+    one behind it in its line, if there is one.  Counted in every task before
+    anything moves, over slices of ``COUNTED`` bytes and ``HELD`` rows."""
+    size, room = COUNTED, HELD
+
+    def count(texts: pa.Array) -> pa.Table:
+        lines = pc.split_pattern(texts, "\n").flatten()
+        split = pc.ascii_split_whitespace(lines)
+        coded = split.flatten().dictionary_encode()
+        names, code = coded.dictionary, coded.indices.to_numpy()
+        line = np.repeat(np.arange(len(lines)), pc.list_value_length(split).to_numpy())
+        some = (pc.binary_length(names).to_numpy() > 0)[code]  # white space at a line's ends leaves empty strings
+        code, line = code[some].astype(np.int64), line[some]
+        ends = pc.match_substring_regex(names, r"""[.!?]["')\]]*$""").to_numpy(zero_copy_only=False)
+        paired = np.r_[ends[code[:-1]] & (line[1:] == line[:-1]), np.zeros(min(1, len(code)), bool)]
+        alone = np.bincount(code[~paired], minlength=len(names))
+        first = np.flatnonzero(paired)
+        pairs, n = np.unique(code[first] * len(names) + code[first + 1], return_counts=True)
+        single = np.flatnonzero(alone)
+        token, after = names.take(pa.array(np.r_[single, pairs // max(1, len(names))])), names.take(pa.array(pairs % max(1, len(names))))
+        return pa.table({"token": token, "next": pa.concat_arrays([pa.nulls(len(single), token.type), after]), "n": pa.array(np.r_[alone[single], n])})
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        # of one slice each row is there once already
+        return held[0] if len(held) == 1 else pa.concat_tables(held).group_by(["token", "next"], use_threads=False).aggregate([("n", "sum")]).select(
+            ["token", "next", "n_sum"]).rename_columns(["token", "next", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            texts = batch.column(0).drop_null()
+            group = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // size
+            cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+            for a, b in zip(cut, cut[1:]):
+                held.append(count(texts.slice(a, b - a)))
+                if sum(t.num_rows for t in held) > room:
+                    held = [merged(held)]
+                    if held[0].num_rows > room // 2:  # else there is room for more of them
+                        yield from held.pop().to_batches(max_chunksize=100_000)
+        if held:
+            yield from merged(held).to_batches(max_chunksize=100_000)
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token string, next string, n long")
+    return counted.groupBy("token", "next").agg(F.sum("n").alias("n"))
 
 
 def _log_l(p: Column, k: Column, n: Column) -> Column:
@@ -82,15 +122,14 @@ def _log_l(p: Column, k: Column, n: Column) -> Column:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     """Both tables, from one scan of the texts."""
-    tokens = _counted_tokens(docs, text_col).select(_core(F.col("token")).alias("core"), "next", "n")
-    tokens = tokens.select(_type(F.col("core")).alias("type"), F.col("core").endswith(".").alias("period"), F.col("core").rlike(r"[.!?]\z").alias("ends"), "next", "n")
+    tokens = _counted_tokens(docs, text_col).select(_core(F.col("token")).alias("core"), _core(F.col("next")).alias("next"), "n")
+    tokens = tokens.select(_type(F.col("core")).alias("type"), F.col("core").endswith(".").alias("period"),
+                           F.col("next").isNotNull().alias("followed"), _type(F.col("next")).alias("next"), "n")
     tokens = write_table(tokens, "token-counts")
-    counted = write_table(tokens.groupBy("type", "period").agg(F.sum("n").alias("n")), "token-types")
-    whole = counted.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("ends"))
-    types = (counted.filter("type is not null").groupBy("type")
-             .agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("c_period"),
-                  F.sum(F.when(~F.col("period"), F.col("n")).otherwise(0)).alias("c_plain"))
-             .join(F.broadcast(whole)))  # one row
+    period, plain = (F.sum(F.when(which, F.col("n")).otherwise(0)) for which in (F.col("period"), ~F.col("period")))
+    counted = write_table(tokens.groupBy("type").agg(period.alias("c_period"), plain.alias("c_plain")), "token-types")
+    whole = counted.agg(F.sum(F.col("c_period") + F.col("c_plain")).alias("all"), F.sum("c_period").alias("ends"))
+    types = counted.filter("type is not null").join(F.broadcast(whole))  # one row
     share = F.col("ends") / F.col("all")
     likely = 2.0 * (F.col("c_period") * F.log(F.lit(ALWAYS)) + F.col("c_plain") * F.log(F.lit(1 - ALWAYS)) - _log_l(share, F.col("c_period"), F.col("c_period") + F.col("c_plain")))
     inner = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
@@ -99,10 +138,10 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     types = types.filter("c_period > 0").withColumn("score", score).withColumn("is_abbreviation", F.col("score") >= ABBREVIATION)
     types = write_table(types.select("type", "c_period", "c_plain", "score", "is_abbreviation"), "period-types")
     # sure ends, and the words behind them
-    ends = tokens.filter("ends and next <> '\\n'").withColumn("next", _type(_core(F.col("next"))))
-    pairs = ends.groupBy(F.when(F.col("period"), F.col("type")).alias("type"), "next").agg(F.sum("n").alias("n"))
-    sure = write_table(pairs.join(types.filter("is_abbreviation").select("type"), "type", "left_anti").groupBy("next").agg(F.sum("n").alias("c_after")), "sure-ends")
-    totals = counted.filter("type is not null").groupBy("type").agg(F.sum("n").alias("c_total"))
+    abbreviations = write_table(types.filter("is_abbreviation").select("type"), "abbreviations")
+    pairs = tokens.filter("followed").select(F.when(F.col("period"), F.col("type")).alias("type"), "next", "n")
+    sure = write_table(pairs.join(abbreviations, "type", "left_anti").groupBy("next").agg(F.sum("n").alias("c_after")), "sure-ends")
+    totals = counted.filter("type is not null").select("type", (F.col("c_period") + F.col("c_plain")).alias("c_total"))
     all_ends = sure.agg(F.sum("c_after").alias("n_ends")).join(F.broadcast(whole.select("all")))
     starters = (sure.filter("next is not null").withColumnRenamed("next", "type").join(totals, "type").join(F.broadcast(all_ends)))
     k, n1, w, n = F.col("c_after"), F.col("n_ends"), F.col("c_total"), F.col("all")

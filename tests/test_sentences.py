@@ -109,3 +109,21 @@ def test_different_words_are_looked_at_once(spark):
     docs = spark.createDataFrame([(i, "the dog ran home. The dog") for i in range(50)], "doc_id long, text string")
     counted = sentences._counted_tokens(docs, "text").collect()
     assert {(r.token, r.next, r.n) for r in counted} == {("the", None, 50), ("dog", None, 100), ("ran", None, 50), ("home.", "The", 50), ("The", None, 50)}
+
+
+@pytest.mark.parametrize("counted, held", [(4_000_000, 500_000), (40, 6)])
+def test_tokens_are_counted_by_slices(spark, monkeypatch, counted, held):
+    """Equal to a count token by token; a line's last token has none behind it."""
+    import collections
+    monkeypatch.setattr(sentences, "COUNTED", counted)
+    monkeypatch.setattr(sentences, "HELD", held)
+    rng = random.Random(4)
+    pieces = ["The", "the", "end.", "end.\")", "Ab.c", "x!", "(y?')", "\"'.", "...", "é.", "\x1c", "a\x85b", " .", " ", "\t", "\x0b", "\r", "\n", "\n\n"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "", "\x0c"]) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "", "\n"]
+    expect = collections.Counter()
+    for text in texts:
+        for line in (text or "").split("\n"):
+            tokens = re.findall(r"[^ \t-\r]+", line)
+            expect.update((t, after if re.search(r"""[.!?]["')\]]*\Z""", t) else None) for t, after in zip(tokens, [*tokens[1:], None]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {(r.token, r.next): r.n for r in sentences._counted_tokens(docs, "text").collect()} == dict(expect)
