@@ -129,7 +129,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
               .agg(F.bool_or("first").alias("first"), F.array_sort(F.collect_list(F.struct(place.alias("place"), "text"))).alias("parts"))
               .select("first", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text")))
     records = texts.filter(F.col("kind") == WHOLE).select("first", "text").unionByName(joined)
-    return records.withColumn("text", F.regexp_replace("text", r"\r\z", "")).filter("text <> ''")
+    cr = F.col("text").endswith("\r")
+    return records.filter("text not in ('', '\r')").withColumn("text", F.when(cr, F.left("text", F.length("text") - 1)).otherwise(F.col("text")))
 
 
 def read_split_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: str | None = None) -> DataFrame:
@@ -138,7 +139,8 @@ def read_split_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt
     if corrupt:
         options["columnNameOfCorruptRecord"] = corrupt
     rows = csv_records(spark, path).filter(~F.col("first"))
-    return rows.select(F.from_csv("text", _ddl(schema), options).alias("r")).select("r.*")
+    # a generator: filters on its columns are not moved below it, where each would parse the record again
+    return rows.select(F.inline(F.array(F.from_csv("text", _ddl(schema), options))))
 
 
 def _ddl(schema: T.StructType) -> str:

@@ -126,3 +126,17 @@ def both_rows(spark, path):
         return csv_io.read_score_csv(spark, path).collect()
     finally:
         spark.conf.unset(SPLIT)
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    """Also where a reader filters its columns; too long rows raise all the same."""
+    path = str(tmp_path / "a.csv")
+    with open(path, "w", newline="") as f:
+        f.write('a,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n')
+    rows = csv_io.read_score_csv(spark, path).filter("b <> 'z'")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert [tuple(r) for r in rows.collect()] == [("1", "x\r\ny")]
+    with open(path, "a", newline="") as f:
+        f.write("3,p,q\r\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        csv_io.read_score_csv(spark, path).count()
