@@ -11,9 +11,12 @@ sample's inclusion probability.
 
 No piece of the vocabulary continues after white space, so the lattice of a
 text is the chain of its words' lattices, and each distinct word's sums are
-worked out once per slice, frequent ones once per task.  All words of a slice advance together in numpy; the
-random numbers are hashes of (row key, place in the text, sample), so a row's
-samples do not depend on how rows are batched.
+worked out once per slice, frequent ones once per worker.  Words are numbered by
+their hashes, and every text is compared with its words' lattices character by
+character.  Only edges that a piece has are stored, by node; a slice's lattices
+are written over the last one's.  All words of a slice advance together in
+numpy; the random numbers are hashes of (row key, place in the text, sample), so
+a row's samples do not depend on how rows are batched.
 
 A segmentation's weight is the product of its pieces' weights.  The model file
 ranks pieces by merge order and has no probabilities; a piece's weight is
@@ -31,6 +34,7 @@ text reads back as a space, as in the library.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -46,10 +50,10 @@ from .common import per_text, slices, vocabulary
 SAMPLES = 2
 POWER = 1.0
 MARK = "▁"
-_unit = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _NEVER = -np.inf
 SLOT_BITS = 21
-CACHED = 200_000  # lattice nodes that a task keeps, about 110 bytes each
+CACHED = 200_000  # lattice nodes that a worker keeps
+_END = 0xFFFFFFFF  # in place of a character: the node after a word's last
 SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
 
 
@@ -76,7 +80,7 @@ class Vocabulary:
         h = K.Prefix(K.mix(flat)).ranges(np.concatenate([[0], ends[:-1]]), ends)
         order = np.argsort(h)
         self.hashes = h[order]
-        self.ids = np.array([begun[x] for x in keys])[order]
+        self.ids = np.array([begun[x] for x in keys], np.int32)[order]
         self.more = np.array([x in longer for x in keys])[order]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces have one hash")
@@ -102,16 +106,14 @@ class Vocabulary:
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece id of each hash (-1: none), and whether longer pieces begin so."""
-        out, more = np.full(len(h), -1, np.int64), np.zeros(len(h), bool)
         low = (h & SLOT_MASK).astype(np.int64)
         i = self.slot[low]
-        at = np.flatnonzero(i >= 0)
-        i, low = i[at], low[at]
-        again = np.flatnonzero(self.shared[low])
-        i[again] = np.minimum(np.searchsorted(self.hashes, h[at[again]]), len(self.hashes) - 1)
-        hit = self.hashes[i] == h[at]
-        out[at[hit]], more[at[hit]] = self.ids[i[hit]], self.more[i[hit]]
-        return out, more
+        hit = self.hashes[i] == h  # an empty slot's -1 is the last entry, whose slot is not empty
+        again = np.flatnonzero(~hit & (i >= 0))
+        again = again[self.shared[low[again]]]
+        i[again] = np.minimum(np.searchsorted(self.hashes, h[again]), len(self.hashes) - 1)
+        hit[again] = self.hashes[i[again]] == h[again]
+        return np.where(hit, self.ids[i], -1), hit & self.more[i]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids, word marks and all."""
@@ -121,125 +123,198 @@ class Vocabulary:
 
 
 class Lattice:
-    """Lattices of distinct words.  Word u of length n has the nodes
-    node[u] .. node[u] + n; edge L of a node takes L characters."""
+    """Lattices of words, one after the other.  A word of n characters has the
+    nodes ``node`` .. ``node + n``; the edges of node v are
+    first[v] .. first[v + 1], by size.  Arrays are longer than what they hold."""
 
-    def __init__(self, vocab: Vocabulary, words: list[str]):
-        length = np.array([len(w) for w in words], np.int64)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.nodes = vocab, 0
+        self.point = np.zeros(0, np.uint32)    # by node: its character
+        self.first = np.zeros(1, np.int64)
+        self.size = np.zeros(0, np.int16)      # by edge: characters,
+        self.goes_on = np.zeros(0, bool)       # whether the word does after it,
+        self.piece = np.zeros(0, np.int32)     # its piece (-1: spelled in bytes),
+        self.logp = np.zeros(0)                # log-probability at its node,
+        self.below = np.zeros(0, np.float32)   # and that of the node's shorter edges together (the first: -1)
+
+    def _room(self, nodes: int, edges: int, held: int) -> None:
+        """Space for so many more; ``held`` edges are in use."""
+        for name, used, n in (("point", self.nodes, self.nodes + nodes), ("first", self.nodes + 1, self.nodes + nodes + 1),
+                              *((x, held, held + edges) for x in ("size", "goes_on", "piece", "logp", "below"))):
+            old = getattr(self, name)
+            if len(old) < n:
+                new = np.empty(n + n // 4, old.dtype)
+                new[:used] = old[:used]
+                setattr(self, name, new)
+
+    def add(self, points: np.ndarray, prefix: K.Prefix, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Append the words at points[begin:begin + length]; the first node of each."""
+        vocab, longest = self.vocab, self.vocab.longest
         end = np.cumsum(length)
-        word = np.repeat(np.arange(len(words)), length)
-        self.length, self.node = length, end - length + np.arange(len(words))
-        at = np.arange(len(chars)) + word  # node of each character
-        nodes, longest = len(chars) + len(words), vocab.longest
-        self.piece = np.full((nodes, longest), -1, np.int16 if len(vocab.weight) <= 1 << 15 else np.int32)
-        self.spelled = np.zeros(nodes, np.float32)  # weight of a character without a piece
-        edge = np.full((nodes, longest), _NEVER, np.float32)
-        prefix = K.Prefix(K.mix(chars))
-        left = end[word] - np.arange(len(chars))
-        i = np.arange(len(chars))
+        chars, nodes = int(end[-1]) if len(end) else 0, int(length.sum()) + len(length)
+        if not nodes:
+            return np.zeros(0, np.int64)
+        word = np.repeat(np.arange(len(length)), length)
+        i = np.arange(chars)
+        node = i + word                             # nodes and edges count from 0 in here
+        place = i + (begin - (end - length))[word]
+        left = end[word] - i                        # characters to the word's end
+        # edges, by size; ``degree`` counts those found at each character
+        degree = np.zeros(chars, np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        at, sums, down, ahead = place, prefix.sums[place], prefix.down[place], left
         for size in range(1, longest + 1):
-            ids, more = vocab.lookup(prefix.ranges(i, i + size))
-            has = ids >= 0
+            ids, more = vocab.lookup(K.mix((prefix.sums[at + size] - sums) * down + K.U(size)))
+            has = np.arange(len(i)) if size == 1 else np.flatnonzero(ids >= 0)
+            weight, which = vocab.weight[ids[has]], i[has]
             if size == 1:  # characters without a piece: bytes
-                x = i[~has]
-                self.spelled[at[x]] = np.float32(vocab.byte_weight) * (1 + (chars[x] > 0x7F) + (chars[x] > 0x7FF) + (chars[x] > 0xFFFF))
-                edge[at[x], 0] = self.spelled[at[x]]
-            self.piece[at[i[has]], size - 1] = ids[has]
-            edge[at[i[has]], size - 1] = vocab.weight[ids[has]]
-            i = i[more]  # only where a longer piece may go on
-            i = i[left[i] > size]
-            if not len(i):
+                x = np.flatnonzero(ids < 0)
+                c = points[place[x]]
+                weight[x] = np.float32(vocab.byte_weight) * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)).astype(np.float32)
+            found.append((which, degree[which], np.full(len(has), size, np.int16), ids[has], weight))
+            degree[which] += 1
+            go = np.flatnonzero(more & (ahead > size))  # only where a longer piece may go on
+            if not len(go):
                 break
-        # backward sums and each node's cumulative edge probabilities, from the
-        # words' ends: all nodes t characters before an end at once
-        self.weight = vocab.weight
-        self.total = total = np.zeros(nodes + longest)
-        self.upto = np.ones((nodes, longest), np.float32)
-        order = np.argsort(-length, kind="stable")
-        last, sizes = (self.node + length)[order], length[order]
-        live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
-        for t in range(1, len(live) + 1):
-            i, m = last[:live[t - 1]] - t, min(t, longest)
-            x = edge[i, :m] + total[i[:, None] + np.arange(1, m + 1)]
-            top = x.max(1)
-            x = np.exp(x - top[:, None])
-            x = np.cumsum(x, axis=1)
-            total[i] = top + np.log(x[:, -1])
-            self.upto[i, :m - 1] = x[:, :-1] / x[:, -1:]
-
-    def edges(self, node: int) -> np.ndarray:
-        """Probability of the edge of each size at one node."""
-        has = self.piece[node] >= 0
-        has[0] |= self.spelled[node] != 0
-        p = np.zeros(len(has))
-        size = np.flatnonzero(has) + 1
-        p[has] = np.exp(self.logp(np.full(len(size), node), size))
-        return p
-
-    def logp(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Log-probability of the edges of ``size`` characters at their nodes."""
-        piece = self.piece[node, size - 1]
-        return np.where(piece >= 0, self.weight[piece], self.spelled[node]) + self.total[node + size] - self.total[node]
+            i, at, sums, down, ahead = i[go], at[go], sums[go], down[go], ahead[go]
+        char, rank, size, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        # for the sums: by characters left; in there the nodes' first edges,
+        # their second edges and so on, nodes with most edges first
+        farthest, most = int(left.max()), int(degree.max())
+        width = most + 1
+        with_edges = np.bincount(left * width + degree, minlength=(farthest + 1) * width).reshape(-1, width)
+        with_edges = np.cumsum(with_edges[:, :0:-1], axis=1)[:, ::-1]  # [t, j]: nodes t before an end, of more than j edges
+        start = np.concatenate([[0], np.cumsum(with_edges)])[:-1].reshape(-1, most)
+        level = np.concatenate([[0], np.cumsum(with_edges[:, 0])])
+        key = left * width + (most - degree)
+        order = np.argsort(key.astype(np.uint16) if farthest < (1 << 16) // width - 1 else key, kind="stable")
+        where = np.empty(chars, np.int64)
+        where[order] = np.arange(chars) - level[left[order]]
+        spot = start[left[char], rank] + where[char]
+        x, to = np.empty(len(spot)), np.empty(len(spot), np.int64)
+        x[spot], to[spot] = weight, node[char] + size
+        order = node[order]
+        total, upto = np.zeros(nodes), np.empty(len(spot))
+        for t in range(1, farthest + 1):
+            a, n = int(start[t, 0]), with_edges[t].tolist()
+            n = n[:n.index(0)] if 0 in n else n
+            cut = [a]
+            for m in n:
+                cut.append(cut[-1] + m)
+            parts = list(zip(n, cut, cut[1:], strict=False))
+            x[a:cut[-1]] += total[to[a:cut[-1]]]
+            top = x[a:cut[1]].copy()
+            for m, b, c in parts[1:]:
+                np.maximum(top[:m], x[b:c], out=top[:m])
+            for m, b, c in parts:
+                np.subtract(x[b:c], top[:m], out=upto[b:c])
+            np.exp(upto[a:cut[-1]], out=upto[a:cut[-1]])
+            every = upto[a:cut[1]].copy()
+            for (_, before, _), (m, b, c) in zip(parts, parts[1:], strict=False):
+                upto[b:c] += upto[before:before + m]
+                every[:m] = upto[b:c]
+            for m, b, c in parts:
+                upto[b:c] /= every[:m]
+            total[order[level[t]:level[t + 1]]] = top + np.log(every)
+        # by node
+        base, held = self.nodes, int(self.first[self.nodes])
+        self._room(nodes, len(spot), held)
+        count = np.zeros(nodes, np.int64)
+        count[node] = degree
+        first = np.concatenate([[0], np.cumsum(count)])
+        self.first[base:base + nodes + 1] = first + held
+        self.point[base:base + nodes] = _END
+        self.point[base + node] = points[place]
+        spot_of = first[node[char]] + rank
+        edge = spot_of + held
+        self.size[edge], self.piece[edge], self.goes_on[edge] = size, piece, left[char] > size
+        self.logp[edge] = x[spot] - total[node[char]]
+        below = np.full(len(edge) + 1, -1, np.float32)
+        below[spot_of + 1] = upto[spot]
+        below[first[node]] = -1
+        self.below[held:held + len(edge)] = below[:-1]
+        self.nodes += nodes
+        return base + end - length + np.arange(len(length))
 
 
 class Known:
-    """Lattices of words that earlier slices of a task held twice or more, at
-    most ``CACHED`` nodes of them."""
+    """Lattices of a slice's words: those of words that earlier slices held
+    twice or more (at most ``CACHED`` nodes), and behind them those of the words
+    that are new, until the next slice.  A sampler is done with before the next."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.words = vocab, {}
-        self.lattice = Lattice(vocab, [])
-
-    def get(self, words: list[str]) -> tuple[Lattice, list[int]]:
-        """(lattice of the words, in their order; the places of the new ones)."""
-        old = self.lattice
-        at = np.array([self.words.get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(at < 0)
-        fresh = Lattice(self.vocab, [words[i] for i in new.tolist()])
-        both = Lattice.__new__(Lattice)
-        both.weight, n = old.weight, len(old.piece)
-        both.node, both.length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        seen = np.flatnonzero(at >= 0)
-        both.node[seen], both.length[seen] = old.node[at[seen]], old.length[at[seen]]
-        both.node[new], both.length[new] = fresh.node + n, fresh.length
-        both.piece, both.upto = np.concatenate([old.piece, fresh.piece]), np.concatenate([old.upto, fresh.upto])
-        both.spelled, both.total = np.concatenate([old.spelled, fresh.spelled]), np.concatenate([old.total[:n], fresh.total])
-        return both, new
-
-    def add(self, words: list[str], lattice: Lattice, chosen: np.ndarray) -> None:
-        """Keep the chosen words' lattices, as far as there is room."""
-        old = self.lattice
-        size = lattice.length[chosen] + 1
-        chosen = chosen[np.cumsum(size) <= CACHED - len(old.piece)]
-        if not len(chosen):
-            return
-        size = lattice.length[chosen] + 1
-        begin = np.cumsum(size) - size
-        rows = np.repeat(lattice.node[chosen] - begin, size) + np.arange(int(size.sum()))
-        n = len(old.piece)
-        self.words.update((words[w], len(old.node) + i) for i, w in enumerate(chosen.tolist()))
-        old.node, old.length = np.concatenate([old.node, begin + n]), np.concatenate([old.length, size - 1])
-        old.piece, old.upto = np.concatenate([old.piece, lattice.piece[rows]]), np.concatenate([old.upto, lattice.upto[rows]])
-        old.spelled = np.concatenate([old.spelled, lattice.spelled[rows]])
-        old.total = np.concatenate([old.total[:n], lattice.total[rows], np.zeros(self.vocab.longest)])
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.lattice, self.kept = Lattice(self.vocab), 0
+        self.hashes, self.nodes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of kept words, by hash
+
+    def get(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """First node of each word; the words are all of ``points``, in order."""
+        if len(self.lattice.point) > 20 * CACHED:  # after a very long text
+            self.clear()
+        lat = self.lattice
+        lat.nodes = self.kept
+        prefix = K.Prefix(K.mix(points))
+        hashes, one, number, count = np.unique(word_hashes(prefix, begin, length), return_index=True, return_inverse=True, return_counts=True)
+        node = np.empty(len(hashes), np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        old = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(at < len(self.hashes))
+        old[inside] = self.hashes[at[inside]] == hashes[inside]
+        node[old] = self.nodes[at[old]]
+        keep = np.flatnonzero(~old & (count > 1))
+        keep = keep[np.cumsum(length[one[keep]] + 1) <= CACHED - lat.nodes]
+        if len(keep):
+            node[keep] = lat.add(points, prefix, begin[one[keep]], length[one[keep]])
+            self.kept, old[keep] = lat.nodes, True
+            self.nodes = np.insert(self.nodes, at[keep], node[keep])
+            self.hashes = np.insert(self.hashes, at[keep], hashes[keep])
+        new = np.flatnonzero(~old)
+        node[new] = lat.add(points, prefix, begin[one[new]], length[one[new]])
+        node = node[number]
+        place = np.arange(len(points)) + np.repeat(node - begin, length)
+        if (lat.point.take(place, mode="clip") != points).any() or (lat.point.take(node + length, mode="clip") != _END).any():
+            # two words have one hash: number them by their characters
+            text, seen = points.tobytes().decode("utf-32-le"), {}
+            number = np.array([seen.setdefault(text[a:a + n], len(seen)) for a, n in zip(begin.tolist(), length.tolist(), strict=True)])
+            one = np.unique(number, return_index=True)[1]
+            lat.nodes = self.kept
+            node = lat.add(points, prefix, begin[one], length[one])[number]
+        return node
+
+
+def word_hashes(prefix: K.Prefix, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return prefix.ranges(begin, begin + length)
+
+
+def hashed(seed: np.ndarray, place: np.ndarray, what: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return seed + (place.astype(np.uint64) * np.uint64(64) + np.uint64(what)) * np.uint64(K._BASE)
+
+
+def unit(state: np.ndarray) -> np.ndarray:
+    return ((K.mix(state) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 def uniform(seed: np.ndarray, place: np.ndarray, what: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on (row, place, purpose) alone."""
-    with np.errstate(over="ignore"):
-        x = K.mix(seed + (place.astype(np.uint64) * np.uint64(64) + np.uint64(what)) * np.uint64(K._BASE))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return unit(hashed(seed, place, what))
 
 
-class Paths:
-    """One segmentation of every text of a slice, by character place: length
-    of the edge that starts there (0: none), its piece and log-probability,
+class Path:
+    """One segmentation of every text of a slice.  ``by_place`` has the edge
+    that starts at each character (-1: none); the other arrays are by edge, those
+    of text d at start[d]:start[d + 1]: the character, piece and log-probability,
     and the perturbed value of the edges not taken."""
 
-    def __init__(self, n: int):
-        self.size, self.piece = np.zeros(n, np.int32), np.full(n, -1, np.int32)
-        self.logp, self.rest = np.zeros(n), np.full(n, _NEVER)
+    def __init__(self, by_place: np.ndarray, first: np.ndarray, lattice: Lattice):
+        self.by_place, self.at = by_place, np.flatnonzero(by_place >= 0)
+        self.edge = by_place[self.at]
+        self.piece, self.logp = lattice.piece[self.edge], lattice.logp[self.edge]
+        self.rest = np.full(len(self.at), _NEVER)
+        self.start = np.searchsorted(self.at, first)
 
 
 def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -253,127 +328,139 @@ class Sampler:
     """Samples for the texts of one slice."""
 
     def __init__(self, known: Known, texts: list[str], keys: np.ndarray):
-        self.vocab = known.vocab
-        number: dict[str, int] = {}
-        marked = [(MARK + t).replace(" ", MARK) if t else "" for t in texts]
-        units = [_unit.findall(m) for m in marked]
-        flat = [number.setdefault(w, len(number)) for u in units for w in u]
-        self.marked = marked
-        self.points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        self.unit = np.array(flat, np.int64)
-        words = list(number)
-        self.lattice, new = known.get(words)
-        if len(known.lattice.piece) < CACHED and len(new):
-            known.add(words, self.lattice, new[np.bincount(self.unit, minlength=len(words))[new] > 1])
-        size = np.array([len(m) for m in marked], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(size)])     # characters of text d
-        length = self.lattice.length[self.unit]
-        self.place = np.cumsum(length) - length                 # first character of each word
-        self.doc = np.repeat(np.arange(len(texts)), [len(u) for u in units])
+        self.vocab, self.texts = known.vocab, len(texts)
+        self.marked = "".join([MARK + t for t in texts if t]).replace(" ", MARK)
+        self.points = points = np.frombuffer(self.marked.encode("utf-32-le"), np.uint32)
+        self.first = np.concatenate([[0], np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)])  # characters of text d
+        # words: a line end; or marks, if any, and what follows up to a mark or line end
+        mark, line = points == ord(MARK), points == ord("\n")
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (mark[1:] & ~mark[:-1])
+        begins[self.first[:-1][np.diff(self.first) > 0]] = True
+        self.place = np.flatnonzero(begins)                     # first character of each word
+        self.length = np.diff(np.append(self.place, len(points)))
+        self.node = known.get(points, self.place, self.length)
+        self.lattice = known.lattice
+        self.word = np.searchsorted(self.place, self.first)     # words of text d
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.word))
         self.seed = K.mix(keys.view(np.uint64))
-        self.texts = len(texts)
+        # what the random numbers' hashes advance by over an edge
+        self.step = np.arange(self.vocab.longest + 1, dtype=np.uint64) * np.uint64(64) * np.uint64(K._BASE)
 
-    def walk(self, path: Paths, words: np.ndarray, skip: np.ndarray, sample: int) -> None:
+    def walk(self, by_place: np.ndarray, words: np.ndarray, skip: np.ndarray, sample: int) -> None:
         """Draw the edges of ``words`` from ``skip`` characters on."""
         lat = self.lattice
-        keep = skip < lat.length[self.unit[words]]
+        keep = skip < self.length[words]
         words, skip = words[keep], skip[keep]
-        node, place, left = lat.node[self.unit[words]] + skip, self.place[words] + skip, lat.length[self.unit[words]] - skip
-        seed, base = self.seed[self.doc[words]], self.first[self.doc[words]]
+        node, place, doc = self.node[words] + skip, self.place[words] + skip, self.doc[words]
+        state = hashed(self.seed[doc], place - self.first[doc], 2 * sample)
         while len(node):
-            u = uniform(seed, place - base, 2 * sample)
-            # sums grow at edges only and reach 1 at the last one, so this is an edge
-            size = (lat.upto[node] >= u.astype(np.float32)[:, None]).argmax(1) + 1
-            path.size[place], path.piece[place], path.logp[place] = size, lat.piece[node, size - 1], lat.logp(node, size)
-            on = left > size
-            node, place, left, seed, base = (x[on] for x in (node + size, place + size, left - size, seed, base))
-
-    def draw(self, k: int) -> tuple[list[tuple[int, int, Paths, float, float]], np.ndarray]:
+            u = unit(state).astype(np.float32)
+            # the longest edge is the likeliest; sums grow at edges only, so the first one that reaches u is drawn
+            edge = lat.first[node + 1] - 1
+            over = np.flatnonzero(lat.below[edge] >= u)
+            while len(over):
+                edge[over] -= 1
+                over = over[lat.below[edge[over]] >= u[over]]
+            by_place[place] = edge
+            on = np.flatnonzero(lat.goes_on[edge])
+            size = lat.size[edge[on]].astype(np.int64)
+            node, place, state = node[on] + size, place[on] + size, state[on] + self.step[size]
+
+    def draw(self, k: int) -> tuple[list[tuple[int, int, Path, float, float]], np.ndarray]:
         """((text, sample number, path, log-probability, perturbed value) ...),
         and each text's bound: the best value after its last sample."""
-        n = int(self.first[-1])
-        some = np.flatnonzero(np.diff(self.first) > 0)
-        owner = np.repeat(np.arange(self.texts), np.diff(self.first))
+        n, lat = int(self.first[-1]), self.lattice
+        going = np.flatnonzero(np.diff(self.first) > 0)
         value = np.full(self.texts, _NEVER)
-        value[some] = -np.log(-np.log(uniform(self.seed[some], np.zeros(len(some), np.int64), 1)))
-        paths: list[Paths] = []
-        chosen: list[tuple[int, int, Paths, float, float]] = []
-        taken: dict[tuple[int, int, int], list[int]] = {}  # (path, place) -> edges at its node already opened
-        path = Paths(n)
-        self.walk(path, np.arange(len(self.unit)), np.zeros(len(self.unit), np.int64), 0)
-        fresh = np.zeros(self.texts, np.int64)  # place from which a text's path is new
-        fresh[:] = self.first[:-1]
-        going = some
+        value[going] = -np.log(-np.log(uniform(self.seed[going], np.zeros(len(going), np.int64), 1)))
+        paths: list[Path] = []
+        chosen: list[tuple[int, int, Path, float, float]] = []
+        taken: dict[tuple[int, int], list[int]] = {}  # (path, place) -> edges of its node already opened
+        by_place = np.full(n, -1, np.int64)
+        self.walk(by_place, np.arange(len(self.place)), np.zeros(len(self.place), np.int64), 0)
+        fresh = self.first[:-1].copy()  # place from which a text's path is new
         for sample in range(k):
+            path = Path(by_place, self.first, lat)
             # log-probabilities of the texts' paths, and of every prefix
-            upto = np.cumsum(path.logp)
-            before = np.concatenate([[0.0], upto])[self.first[:-1]]
-            whole = np.concatenate([[0.0], upto])[self.first[1:]] - before
-            for d in going.tolist():
-                chosen.append((d, sample, path, float(whole[d]), float(value[d])))
+            upto = np.concatenate([[0.0], np.cumsum(path.logp)])
+            before = upto[path.start[:-1]]
+            whole = upto[path.start[1:]] - before
+            chosen += [(d, sample, path, logp, v) for d, logp, v in zip(going.tolist(), whole[going].tolist(), value[going].tolist(), strict=True)]
             paths.append(path)
             # what the path leaves beside it, from where it is new
-            at = np.flatnonzero(path.size)
-            at = at[at >= fresh[owner[at]]]
-            live = np.zeros(self.texts, bool)
-            live[going] = True
-            at = at[live[owner[at]]]
-            d = owner[at]
+            d = np.repeat(np.arange(self.texts), np.diff(path.start))
+            new = np.flatnonzero(path.at >= fresh[d])
+            d, logp = d[new], path.logp[new]
             with np.errstate(divide="ignore"):
-                beside = np.log(np.maximum(-np.expm1(path.logp[at]), 0.0))
-            beside[path.logp[at] > -1e-12] = _NEVER
-            location = (upto[at] - path.logp[at] - before[d]) + beside
-            path.rest[at] = truncated(location, value[d], uniform(self.seed[d], at - self.first[d], 2 * sample + 1))
-            best, source, place = np.full(self.texts, _NEVER), np.zeros(self.texts, np.int64), np.zeros(self.texts, np.int64)
-            starts = self.first[:-1][some]
+                beside = np.log(np.maximum(-np.expm1(logp), 0.0))
+            beside[logp > -1e-12] = _NEVER
+            location = (upto[1:][new] - logp - before[d]) + beside
+            path.rest[new] = truncated(location, value[d], uniform(self.seed[d], path.at[new] - self.first[d], 2 * sample + 1))
+            best, source = np.full(self.texts, _NEVER), np.zeros(self.texts, np.int64)
             for j, p in enumerate(paths):
-                top = np.maximum.reduceat(p.rest, starts)
-                better = top > best[some]
-                best[some[better]], source[some[better]] = top[better], j
+                some = np.flatnonzero(np.diff(p.start))
+                if len(some):
+                    top = np.maximum.reduceat(p.rest, p.start[some])
+                    better = top > best[some]
+                    best[some[better]], source[some[better]] = top[better], j
             value = best
             going = going[np.isfinite(best[going])]
             if sample == k - 1 or not len(going):
                 break
             # open the best subtree of each text: same prefix, another edge, then anew
-            new = Paths(n)
-            words, skips = [], []
-            first_word = np.searchsorted(self.doc, np.arange(self.texts + 1))
-            for d in going.tolist():
-                j, a, b = int(source[d]), int(self.first[d]), int(self.first[d + 1])
-                old = paths[j]
-                s = a + int(np.argmax(old.rest[a:b]))
-                new.size[a:s], new.piece[a:s], new.logp[a:s] = old.size[a:s], old.piece[a:s], old.logp[a:s]
-                w = int(np.searchsorted(self.place[first_word[d]:first_word[d + 1]], s, side="right")) - 1 + int(first_word[d])
-                node = int(self.lattice.node[self.unit[w]]) + s - int(self.place[w])
-                gone = taken.setdefault((j, s, d), [int(old.size[s])])
-                p = self.lattice.edges(node)
-                p[[g - 1 for g in gone]] = 0.0
-                c = np.cumsum(p)
-                u = float(uniform(self.seed[d:d + 1], np.array([s - a]), 2 * (sample + 1) + 40)[0])
-                size = min(int((c < u * c[-1]).sum()), len(c) - 1)
-                new.size[s], new.piece[s], new.logp[s] = size + 1, self.lattice.piece[node, size], self.lattice.logp(np.array([node]), np.array([size + 1]))[0]
-                gone.append(size + 1)
-                # the edges still closed at this node keep a value below this one
-                p[size] = 0.0
-                rest = float(p.sum())
-                prefix = float(old.logp[a:s].sum())
-                old.rest[s] = float(truncated(np.array([prefix + np.log(rest)]), np.array([best[d]]),
-                                              uniform(self.seed[d:d + 1], np.array([s - a]), 2 * (sample + 1) + 41))[0]) if rest > 0 else _NEVER
-                words.append(np.arange(w, first_word[d + 1]))
-                skips.append(np.where(np.arange(w, first_word[d + 1]) == w, s - int(self.place[w]) + size + 1, 0))
-                fresh[d] = s + 1
-            self.walk(new, np.concatenate(words), np.concatenate(skips), sample + 1)
-            path = new
+            by_place = np.full(n, -1, np.int64)
+            logp_at = [np.zeros(n) for _ in paths]
+            for x, p in zip(logp_at, paths, strict=True):
+                x[p.at] = p.logp
+            at, place, prefix = (np.zeros(len(going), t) for t in (np.int64, np.int64, np.float64))
+            for g, (d, j) in enumerate(zip(going.tolist(), source[going].tolist(), strict=True)):
+                old, a = paths[j], self.first[d]
+                at[g] = i = old.start[d] + np.argmax(old.rest[old.start[d]:old.start[d + 1]])
+                place[g] = s = old.at[i]
+                by_place[a:s] = old.by_place[a:s]
+                prefix[g] = logp_at[j][a:s].sum()
+            word = np.searchsorted(self.place, place, side="right") - 1
+            node = self.node[word] + place - self.place[word]
+            # probabilities of the edges of each size, but those already opened
+            edges = np.full((len(going), self.vocab.longest), -1, np.int64)
+            p = np.zeros(edges.shape)
+            count = lat.first[node + 1] - lat.first[node]
+            row = np.repeat(np.arange(len(going)), count)
+            e = np.arange(len(row)) + np.repeat(lat.first[node] - (np.cumsum(count) - count), count)
+            edges[row, lat.size[e] - 1], p[row, lat.size[e] - 1] = e, np.exp(lat.logp[e])
+            gone = [taken.setdefault((j, s), [int(paths[j].by_place[s])]) for j, s in zip(source[going].tolist(), place.tolist(), strict=True)]
+            row, e = np.repeat(np.arange(len(going)), [len(x) for x in gone]), np.array([e for x in gone for e in x])
+            p[row, lat.size[e] - 1] = 0.0
+            c = np.cumsum(p, axis=1)
+            seed, offset, every = self.seed[going], place - self.first[going], np.arange(len(going))
+            u = uniform(seed, offset, 2 * (sample + 1) + 40)
+            size = np.minimum((c < (u * c[:, -1])[:, None]).sum(1), c.shape[1] - 1)
+            by_place[place] = edges[every, size]
+            for x, e in zip(gone, by_place[place].tolist(), strict=True):
+                x.append(e)
+            # the edges still closed at this node keep a value below this one
+            p[every, size] = 0.0
+            with np.errstate(divide="ignore"):
+                rest = truncated(prefix + np.log(p.sum(axis=1)), best[going], uniform(seed, offset, 2 * (sample + 1) + 41))
+            for j, old in enumerate(paths):
+                mine = source[going] == j
+                old.rest[at[mine]] = rest[mine]
+            count = self.word[going + 1] - word
+            begin = np.cumsum(count) - count
+            skip = np.zeros(int(count.sum()), np.int64)
+            skip[begin] = place - self.place[word] + size + 1
+            self.walk(by_place, np.repeat(word - begin, count) + np.arange(len(skip)), skip, sample + 1)
+            fresh[going] = place + 1
         return chosen, value
 
-    def ids(self, path: Paths) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, path: Path) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ids[first[d]:first[d+1]] are text d's piece ids on the
         path, bytes spelled out."""
-        at = np.flatnonzero(path.size)
-        ids = path.piece[at].astype(np.int64)
-        count = np.ones(len(at), np.int64)
+        ids = path.piece.astype(np.int64)
+        count = np.ones(len(ids), np.int64)
         spelled = np.flatnonzero(ids < 0)
-        point = self.points[at[spelled]].astype(np.int64)
+        point = self.points[path.at[spelled]].astype(np.int64)
         count[spelled] += (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
         end = np.cumsum(count)
         out = np.repeat(ids, count)
@@ -385,7 +472,11 @@ class Sampler:
                 if j == 0:
                     byte = c if n == 1 else (c >> (6 * (n - 1))) | (0xF00 >> n & 0xFF)
                 out[start + j] = self.vocab.byte_id[byte]
-        return out, np.concatenate([[0], end])[np.searchsorted(at, self.first)]
+        return out, np.concatenate([[0], end])[path.start]
+
+    def spelled(self, text: int) -> str:
+        """A text as its pieces spell it, word marks and all."""
+        return self.marked[self.first[text]:self.first[text + 1]]
 
 
 def log_inclusion(x: float) -> float:
@@ -395,6 +486,12 @@ def log_inclusion(x: float) -> float:
     return float(np.log(-np.expm1(-np.exp(x)))) if x < 3.7 else 0.0
 
 
+@functools.lru_cache(maxsize=1)
+def _known(model: bytes, power: float) -> Known:
+    """Kept by a Python worker for its next tasks."""
+    return Known(Vocabulary(model, power))
+
+
 def _model(path: str | None) -> bytes:
     with open(path or vocabulary("piece_bpe_32k.model"), "rb") as f:
         return f.read()
@@ -411,9 +508,8 @@ def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind_of_id = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
         for batch in batches:
-            known = known or Known(Vocabulary(shared.value, power))
+            known = _known(shared.value, power)
             vocab = known.vocab
             for part in slices(batch, "text", 1_000_000):
                 texts = ["" if t is None else t for t in part.column("text").to_pylist()]
@@ -423,12 +519,12 @@ def sample_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for path in dict.fromkeys(c[2] for c in chosen):
                     mine = [c for c in chosen if c[2] is path]
                     ids, first = sampler.ids(path)
-                    same = vocab.decode(ids) == "".join(sampler.marked[c[0]] for c in mine).encode()
+                    same = vocab.decode(ids) == "".join([sampler.spelled(c[0]) for c in mine]).encode()
                     ids32 = ids.astype("<i4")
                     for d, sample, _, logp, _ in mine:
                         own = ids32[first[d]:first[d + 1]]
                         inclusion = log_inclusion(logp - bound[d]) if np.isfinite(bound[d]) else 0.0
-                        rows.append((d, sample, logp, inclusion, own, same or vocab.decode(own) == sampler.marked[d].encode()))
+                        rows.append((d, sample, logp, inclusion, own, same or vocab.decode(own) == sampler.spelled(d).encode()))
                 rows.sort(key=lambda r: r[:2])
                 take = pa.array([r[0] for r in rows], pa.int64())
                 cols = [part.column("id").take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[4]) for r in rows], pa.int64()),

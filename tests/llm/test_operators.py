@@ -312,6 +312,67 @@ def test_samples_decode_to_the_text_and_follow_the_key(spark, docs, rows, nothin
     assert sp_sampling.sample_rows(nothing).count() == 0
 
 
+def drawn(known, texts, k=3):
+    import numpy as np
+    sampler = sp_sampling.Sampler(known, texts, np.arange(len(texts)) * 7919 + 5)
+    chosen, bound = sampler.draw(k)
+    flat = {id(c[2]): sampler.ids(c[2]) for c in chosen}
+    return [(d, n, flat[id(p)][0][flat[id(p)][1][d]:flat[id(p)][1][d + 1]].tolist(), logp, v) for d, n, p, logp, v in chosen], bound.tolist()
+
+
+def test_sampling_makes_no_python_call_per_word():
+    import sys
+    known = sp_sampling.Known(sp_sampling.Vocabulary(sp_sampling._model(None)))
+    rng, calls = random.Random(4), [0]
+    texts = [" ".join(words(rng, 2000)) + f" w{i}" for i in range(20)]
+
+    def count(_frame, event, _arg):
+        calls[0] += event in ("call", "c_call")
+    for _ in range(2):  # new words, then kept ones
+        calls[0] = 0
+        sys.setprofile(count)
+        try:
+            sampler = drawn(known, texts, 2)
+        finally:
+            sys.setprofile(None)
+        assert sum(len(c[2]) for c in sampler[0]) > 80_000 and calls[0] < 10_000
+
+
+def test_samples_do_not_depend_on_kept_lattices_or_on_word_hashes(monkeypatch):
+    import numpy as np
+    vocab = sp_sampling.Vocabulary(sp_sampling._model(None))
+    rng = random.Random(5)
+    slices = [["", "a\n b  b", "\n\n \u2581\u2581x\u2581 y ", "\0 \0x \U0001d4b3\u00e9", "tail  "] + [" ".join(words(rng, 60)) for _ in range(8)] for _ in range(3)]
+    once = [drawn(sp_sampling.Known(vocab), s) for s in slices]
+    known = sp_sampling.Known(vocab)
+    assert [drawn(known, s) for s in slices] == once and known.kept
+    few = sp_sampling.Known(vocab)
+    monkeypatch.setattr(sp_sampling, "CACHED", 25)  # little is kept, and cleared by each slice
+    assert [drawn(few, s) for s in slices] == once and few.kept <= 25
+    monkeypatch.undo()
+    # words of one length share a hash, then all words do
+    for weak in (lambda _prefix, _begin, length: length.astype(np.uint64), lambda _prefix, _begin, length: np.zeros(len(length), np.uint64)):
+        monkeypatch.setattr(sp_sampling, "word_hashes", weak)
+        known = sp_sampling.Known(vocab)
+        assert [drawn(known, s) for s in slices] == once
+
+
+def test_words_of_a_text_are_cut_at_marks_and_line_ends():
+    import re
+
+    import numpy as np
+    known = sp_sampling.Known(sp_sampling.Vocabulary(sp_sampling._model(None)))
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab \n\u2581\t\u00e9") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    sampler = sp_sampling.Sampler(known, texts, np.arange(len(texts)))
+    m = sp_sampling.MARK
+    for d, text in enumerate(texts):
+        marked = (m + text).replace(" ", m) if text else ""
+        mine = range(sampler.word[d], sampler.word[d + 1])
+        assert sampler.spelled(d) == marked
+        assert [sampler.marked[sampler.place[w]:sampler.place[w] + sampler.length[w]] for w in mine] == re.findall(f"\n|{m}*[^{m}\n]+|{m}+", marked)
+
+
 def test_encode_decode_round_trip(docs, rows):
     back = by_id(sp_sampling.decode_rows(sp_sampling.encode_rows(docs)), "text")
     assert back == {i: (t or "",) for i, t in rows}
